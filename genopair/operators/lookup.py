@@ -40,12 +40,13 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list, how: str = "inner"
     both sides shuffle; the lookup rows are then repeated once per salt and each row of
     ``big`` takes the salt of its own content, so that the rows of one hot key spread over
     several tasks. Salts come from content, not from row order: a recomputed task gives
-    every row the same salt again.
+    every row the same salt again. ``salts=1`` is for lookup tables that are long themselves
+    and keys that repeat about equally often; adaptive execution still splits skewed ones.
     """
     if fits_broadcast(small):
         return big.join(F.broadcast(small), keys, how)
     others = [c for c in big.columns if c not in keys and not isinstance(big.schema[c].dataType, T.MapType)]
-    if not others or how == "left_anti":
+    if not others or salts <= 1:
         return big.join(small, keys, how)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -49,7 +49,7 @@ def variant_call_rate(encoded: DataFrame, n_cases, keys: list = VARIANT) -> Data
 def filter_call_rate(encoded: DataFrame, n_cases, min_rate: float = MIN_CALL_RATE, keys: list = VARIANT) -> DataFrame:
     """The encoded rows of variants called in at least ``min_rate`` of all cases."""
     rates = variant_call_rate(encoded, n_cases, keys).filter(F.col("call_rate") >= min_rate)
-    return lookup_join(encoded, rates.select(*keys), keys, "left_semi")
+    return lookup_join(encoded, rates.select(*keys), keys, "left_semi", salts=1)
 
 
 def call_rate_report(rates: DataFrame, min_rate: float = MIN_CALL_RATE) -> DataFrame:
@@ -94,4 +94,4 @@ def repeated_positions(variants: DataFrame) -> DataFrame:
 def keep_variants(encoded: DataFrame, kept: DataFrame) -> DataFrame:
     """Encoded rows of the variants in ``kept``."""
     keys = ["chrom", "variant_idx"]
-    return lookup_join(encoded, kept.select(*keys), keys, "left_semi")
+    return lookup_join(encoded, kept.select(*keys), keys, "left_semi", salts=1)
