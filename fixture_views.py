@@ -179,7 +179,9 @@ def grid_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per part (variant) with the dosages of all customers (samples) in key order."""
     n = table(spark, sf_dir, "customer").count()
-    return grid_variants(spark, sf_dir).withColumn(
+    # the part file is small; the arrays made from it are not
+    spread = grid_variants(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism, "variant_idx")
+    return spread.withColumn(
         "dosage",
         F.transform(
             F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")),
@@ -207,6 +209,7 @@ def grid_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
             (c - 1).alias("case_id"),
             F.when(F.col("c_nationkey") >= 12, 1).otherwise(0).alias("agvhi24"),
             F.when(c % 37 != 1, F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0)).alias("agvhi34"),
+            F.when(c % 8 == 1, 10).when(c % 8 == 3, 20).when(c % 8 == 5, 40).otherwise(50).alias("disease"),
         )
     )
 
@@ -223,5 +226,197 @@ grid_pairs AS (
   SELECT c_custkey - 1 AS case_id, c_custkey - 1 AS did, c_custkey AS rid FROM customer WHERE c_custkey % 2 = 1),
 grid_outcomes AS (
   SELECT c_custkey - 1 AS case_id, CASE WHEN c_nationkey >= 12 THEN 1 ELSE 0 END AS agvhi24,
-         CASE WHEN c_custkey % 37 <> 1 THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END END AS agvhi34
+         CASE WHEN c_custkey % 37 <> 1 THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END END AS agvhi34,
+         CASE c_custkey % 8 WHEN 1 THEN 10 WHEN 3 THEN 20 WHEN 5 THEN 40 ELSE 50 END AS disease
   FROM customer WHERE c_custkey % 2 = 1)"""
+
+
+# --- customers as typed cases ---------------------------------------------------------------
+
+CASE_LOCI = ("A", "B", "C", "DRB1", "DQB1", "DPB1")
+TYPED_LOCI = ("A", "B", "C", "DRB1", "DRB3", "DRB4", "DRB5", "DQB1", "DQA1", "DPB1", "DPA1")
+
+
+def _typings(locus: str, k: int) -> dict:
+    """Recipient and donor alleles of one locus; every third case matches, nearly matches, differs."""
+    c = F.col("c_custkey")
+
+    def allele(key: Column, last: str = "01") -> Column:
+        return F.concat(
+            F.lit(f"{locus}*0"),
+            ((key * 31 + k * 17) % 3 + 1).cast("string"),
+            F.lit(":0"),
+            ((key + k) % 5 + 1).cast("string"),
+            F.lit(f":{last}"),
+        )
+
+    kind = (c + k) % 3
+    return {
+        "r1": allele(c),
+        "r2": allele(c + 7),
+        "d1": F.when(kind < 2, allele(c)).otherwise(allele(c + 1)),
+        "d2": F.when(kind == 0, allele(c + 7)).when(kind == 1, allele(c + 7, "02")).otherwise(allele(c + 8)),
+    }
+
+
+def typed_cases(spark: SparkSession, sf_dir: str, loci: tuple, column) -> DataFrame:
+    """Wide typings, one row per customer; ``column(side, locus, n)`` names the columns."""
+    c = F.col("c_custkey")
+    columns = [c.alias("case_id"), (c * 2).alias("did"), (c * 2 + 1).alias("rid")]
+    for k, locus in enumerate(loci):
+        columns += [value.alias(column(key[0], locus, int(key[1]))) for key, value in _typings(locus, k).items()]
+    return table(spark, sf_dir, "customer").select(*columns)
+
+
+def typed_sql(loci: tuple) -> str:
+    """The same typings in long form: ``case_id, did, rid, locus, r1, r2, d1, d2``."""
+    listed = ", ".join(f"({k}, '{locus}')" for k, locus in enumerate(loci))
+
+    def allele(key, last="01"):
+        return (
+            f"locus || '*0' || CAST(({key} * 31 + k * 17) % 3 + 1 AS VARCHAR) || ':0' || "
+            f"CAST(({key} + k) % 5 + 1 AS VARCHAR) || ':{last}'"
+        )
+
+    c = "c_custkey"
+    return f"""
+typed AS (
+  SELECT c_custkey AS case_id, c_custkey * 2 AS did, c_custkey * 2 + 1 AS rid, k, locus,
+         {allele(c)} AS r1, {allele("(c_custkey + 7)")} AS r2,
+         CASE WHEN (c_custkey + k) % 3 < 2 THEN {allele(c)} ELSE {allele("(c_custkey + 1)")} END AS d1,
+         CASE (c_custkey + k) % 3 WHEN 0 THEN {allele("(c_custkey + 7)")} WHEN 1 THEN {allele("(c_custkey + 7)", "02")}
+              ELSE {allele("(c_custkey + 8)")} END AS d2
+  FROM customer, (VALUES {listed}) AS l(k, locus))"""
+
+
+def allele_sequences(alleles: DataFrame) -> DataFrame:
+    """A sequence table for the given alleles, made from their digests; some parts are empty."""
+    digest = F.md5("allele")
+    one = alleles.select("allele").distinct()
+    return one.select(
+        "allele",
+        F.when(F.substring(digest, 1, 1) < "8", F.lit(""))
+        .otherwise(F.concat(F.lit("AC|GT*"), F.substring(digest, 2, 10)))
+        .alias("unaligned"),
+        F.substring(digest, 5, 12).alias("exon2"),
+        F.when(F.substring(digest, 3, 1) < "4", F.lit("***"))
+        .otherwise(F.concat(F.lit("*"), F.substring(digest, 17, 8), F.lit("*")))
+        .alias("exon3"),
+    )
+
+
+SEQUENCES_SQL = """
+seqs AS (
+  SELECT allele, CASE WHEN substr(md5(allele), 1, 1) < '8' THEN '' ELSE 'AC|GT*' || substr(md5(allele), 2, 10) END AS unaligned,
+         substr(md5(allele), 5, 12) AS exon2,
+         CASE WHEN substr(md5(allele), 3, 1) < '4' THEN '***' ELSE '*' || substr(md5(allele), 17, 8) || '*' END AS exon3
+  FROM (SELECT DISTINCT unnest([r1, r2, d1, d2]) AS allele FROM typed))"""
+
+
+# --- genes ------------------------------------------------------------------------------------
+
+
+def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    start = F.lit(1000000) + s * 15000
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("gene"), (s % 22 + 1).cast("int").alias("chrom"), start.alias("start"), (start + 200000).alias("end")
+    )
+
+
+GENES_SQL = """
+genes AS (
+  SELECT s_name AS gene, CAST(s_suppkey % 22 + 1 AS INTEGER) AS chrom, 1000000 + s_suppkey * 15000 AS gene_start,
+         1000000 + s_suppkey * 15000 + 200000 AS gene_end
+  FROM supplier)"""
+
+GRID_VARIANTS_SQL = """
+grid_variants AS (
+  SELECT CAST(p_partkey % 22 + 1 AS INTEGER) AS chrom, 1000000 + p_partkey * 1013 AS pos,
+         'rs' || CAST(p_partkey - CASE WHEN p_partkey % 50 = 1 THEN 1 ELSE 0 END AS VARCHAR) AS snp,
+         p_partkey AS variant_idx
+  FROM part)"""
+
+
+# --- files ---------------------------------------------------------------------------------------
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    from uuid import uuid4
+
+    from genopair.session import shared_folder
+
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def _open_output(path: str):
+    from pyarrow import fs
+
+    filesystem, p = fs.FileSystem.from_uri(path)
+    filesystem.create_dir(p.rsplit("/", 1)[0], recursive=True)
+    return filesystem.open_output_stream(p)
+
+
+def pack_calls(long_calls: DataFrame, values: tuple = ("dosage",)) -> DataFrame:
+    """Long fixture calls to one row per variant, samples in id order."""
+    fields = F.struct("sample_id", *values)
+    packed = long_calls.groupBy("chrom", "pos", "snp", "variant_idx").agg(F.sort_array(F.collect_list(fields)).alias("_s"))
+    return packed.select("chrom", "pos", "snp", "variant_idx", *[F.col(f"_s.{v}").alias(v) for v in values])
+
+
+def write_trios(spark: SparkSession, packed: DataFrame, sample_ids: DataFrame, folder: str, parts: int = 4) -> list:
+    """PLINK trios from packed dosages, one per task; returns their prefixes in variant order."""
+    names = [str(r[0]) for r in sample_ids.orderBy("sample_id").select("sample_id").collect()]
+
+    def write(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        prefix = f"{folder}/part-{TaskContext.get().partitionId():05d}"
+        fam = "".join(f"F{n} {n} 0 0 0 -9\n" for n in names).encode()
+        codes = {2: 0b00, None: 0b01, 1: 0b10, 0: 0b11}
+        bim, bed = [], [b"\x6c\x1b\x01"]
+        for batch in batches:
+            for row in batch.to_pylist():
+                bim.append(f"{row['chrom']}\t{row['snp']}\t0\t{row['pos']}\tA\tG\n")
+                bits = np.array([codes[x] for x in row["dosage"]] + [0] * (-len(names) % 4), np.uint8).reshape(-1, 4)
+                bed.append((bits << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8).tobytes())
+        if bim:
+            for suffix, content in ((".fam", fam), (".bim", "".join(bim).encode()), (".bed", b"".join(bed))):
+                with _open_output(prefix + suffix) as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_pydict({"prefix": [prefix]})
+
+    ordered = packed.repartitionByRange(parts, "variant_idx").sortWithinPartitions("variant_idx")
+    return sorted(r[0] for r in ordered.mapInArrow(write, "prefix string").collect())
+
+
+def write_vcf(spark: SparkSession, packed: DataFrame, sample_ids: DataFrame, folder: str, gzip: bool = False) -> list:
+    """VCF text from packed alleles: a header file and record files; returns the paths, header first."""
+    header = sample_ids.agg(F.sort_array(F.collect_list("sample_id")).alias("s")).select(
+        F.concat_ws("\t", F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"), F.col("s").cast("array<string>")).alias("value")
+    )
+    header.coalesce(1).write.text(f"{folder}/header")
+    calls_text = F.transform(
+        F.arrays_zip("a1", "a2"),
+        lambda g: F.concat(
+            F.coalesce(g["a1"].cast("string"), F.lit(".")), F.lit("/"), F.coalesce(g["a2"].cast("string"), F.lit(".")), F.lit(":9")
+        ),
+    )
+    text = F.concat_ws(
+        "\t",
+        F.concat(F.lit("chr"), F.col("chrom").cast("string")),
+        F.col("pos").cast("string"),
+        F.col("snp"),
+        F.lit("A"),
+        F.lit("C,G"),
+        F.lit("."),
+        F.lit("PASS"),
+        F.concat(F.lit("AC=1,2;AN="), F.size("a1").cast("string")),
+        F.lit("GT:DP"),
+        calls_text,
+    )
+    packed.select(text.alias("value")).write.option("compression", "gzip" if gzip else "none").text(f"{folder}/records")
+    return [f"{folder}/header", f"{folder}/records"]

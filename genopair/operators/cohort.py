@@ -30,10 +30,10 @@ def running_total(df: DataFrame, keys: list, order: list, value: str, name: str)
     offsets = per_bucket.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        marked.withColumn("_run", F.sum(value).over(inside))
+        marked.withColumn("_inside", F.sum(value).over(inside))
         .join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, F.col("_offset") + F.col("_run"))
-        .drop("_bucket", "_run", "_offset")
+        .withColumn(name, F.col("_offset") + F.col("_inside"))
+        .drop("_bucket", "_inside", "_offset")
     )
 
 

@@ -55,9 +55,9 @@ def plink_to_parquet(spark: SparkSession, prefixes, out: str, missing_ok: bool =
     data.samples.write.option("compression", CODEC).parquet(f"{out}/samples")
 
 
-def write_hml(report: DataFrame, path: str, version: str = "1.0.1", mode: str = "errorifexists") -> None:
+def write_hml(report: DataFrame, path: str, project: str, version: str = "1.0.1", mode: str = "errorifexists") -> None:
     """Typing report as XML, one ``sample`` element per row."""
-    root = f"hml project-name='GDR_HML_test' version='{version}'"
+    root = f'hml project-name="{project}" version="{version}"'
     (
         report.write.mode(mode)
         .format("xml")
