@@ -19,26 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per vector (sample) and dimension (variant): dosage and two alleles."""
-    cells = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("sample_id"), "embedding", F.posexplode("embedding").alias("d", "xf")
+    cells = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS sample_id", "embedding", "posexplode(embedding) AS (d, xf)")
+    cells = cells.selectExpr(
+        "sample_id",
+        "CAST(d AS BIGINT) AS d",
+        "CAST(xf AS DOUBLE) AS x",
+        f"CAST(embedding[(d + 1) % {DIMENSIONS}] AS DOUBLE) AS y",
+        "(sample_id * 31 + d * 17) % 97 AS noise",
     )
-    d, sample = F.col("d").cast("bigint"), F.col("sample_id")
-    x = F.col("xf").cast("double")
-    y = F.col("embedding")[(F.col("d") + 1) % DIMENSIONS].cast("double")
-    noise = (sample * 31 + d * 17) % 97
-
-    def banded(value, low, high, codes):
-        return F.when(value < low, codes[0]).when(value < high, codes[1]).otherwise(codes[2])
-
-    return cells.select(
-        (d % 22 + 1).cast("int").alias("chrom"),
-        (F.lit(16000000) + d * 7919).alias("pos"),
-        F.concat(F.lit("rs"), (F.lit(1000) + F.when(d >= 60, d - d % 2).otherwise(d)).cast("string")).alias("snp"),
-        d.alias("variant_idx"),
+    return cells.selectExpr(
+        "CAST(d % 22 + 1 AS INT) AS chrom",
+        "16000000 + d * 7919 AS pos",
+        "'rs' || CAST(1000 + CASE WHEN d >= 60 THEN d - d % 2 ELSE d END AS STRING) AS snp",
+        "d AS variant_idx",
         "sample_id",
-        F.when(noise >= d % 8, banded(x, -0.085, 0.085, (0, 1, 2))).cast("tinyint").alias("dosage"),
-        F.when(noise >= d % 8 * 4, banded(x, -0.10, 0.05, (2, 0, 1))).cast("tinyint").alias("a1"),
-        F.when(noise >= d % 8 * 4, banded(y, -0.15, 0.05, (2, 0, 1))).cast("tinyint").alias("a2"),
+        "CAST(CASE WHEN noise >= d % 8 THEN CASE WHEN x < -0.085D THEN 0 WHEN x < 0.085D THEN 1 ELSE 2 END END AS TINYINT) AS dosage",
+        "CAST(CASE WHEN noise >= d % 8 * 4 THEN CASE WHEN x < -0.10D THEN 2 WHEN x < 0.05D THEN 0 ELSE 1 END END AS TINYINT) AS a1",
+        "CAST(CASE WHEN noise >= d % 8 * 4 THEN CASE WHEN y < -0.15D THEN 2 WHEN y < 0.05D THEN 0 ELSE 1 END END AS TINYINT) AS a2",
     )
 
 
@@ -237,35 +234,30 @@ CASE_LOCI = ("A", "B", "C", "DRB1", "DQB1", "DPB1")
 TYPED_LOCI = ("A", "B", "C", "DRB1", "DRB3", "DRB4", "DRB5", "DQB1", "DQA1", "DPB1", "DPA1")
 
 
-def _typings(locus: str, k: int) -> dict:
-    """Recipient and donor alleles of one locus; every third case matches, nearly matches, differs."""
-    c = F.col("c_custkey")
+def _allele(locus: str, k: int, key: str, last: str = "01") -> str:
+    first, second = f"({key} * 31 + {k * 17}) % 3 + 1", f"({key} + {k}) % 5 + 1"
+    return f"'{locus}*0' || CAST({first} AS STRING) || ':0' || CAST({second} AS STRING) || ':{last}'"
 
-    def allele(key: Column, last: str = "01") -> Column:
-        return F.concat(
-            F.lit(f"{locus}*0"),
-            ((key * 31 + k * 17) % 3 + 1).cast("string"),
-            F.lit(":0"),
-            ((key + k) % 5 + 1).cast("string"),
-            F.lit(f":{last}"),
-        )
 
-    kind = (c + k) % 3
+def _typings(locus: str, k: int) -> dict:
+    """Recipient and donor alleles of one locus; every third case matches, nearly matches, differs."""
+    c, own1, own2 = "c_custkey", _allele(locus, k, "c_custkey"), _allele(locus, k, "(c_custkey + 7)")
+    kind = f"({c} + {k}) % 3"
     return {
-        "r1": allele(c),
-        "r2": allele(c + 7),
-        "d1": F.when(kind < 2, allele(c)).otherwise(allele(c + 1)),
-        "d2": F.when(kind == 0, allele(c + 7)).when(kind == 1, allele(c + 7, "02")).otherwise(allele(c + 8)),
+        "r1": own1,
+        "r2": own2,
+        "d1": f"CASE WHEN {kind} < 2 THEN {own1} ELSE {_allele(locus, k, '(c_custkey + 1)')} END",
+        "d2": f"CASE {kind} WHEN 0 THEN {own2} WHEN 1 THEN {_allele(locus, k, '(c_custkey + 7)', '02')} "
+        f"ELSE {_allele(locus, k, '(c_custkey + 8)')} END",
     }
 
 
 def typed_cases(spark: SparkSession, sf_dir: str, loci: tuple, column) -> DataFrame:
     """Wide typings, one row per customer; ``column(side, locus, n)`` names the columns."""
-    c = F.col("c_custkey")
-    columns = [c.alias("case_id"), (c * 2).alias("did"), (c * 2 + 1).alias("rid")]
+    columns = ["c_custkey AS case_id", "c_custkey * 2 AS did", "c_custkey * 2 + 1 AS rid"]
     for k, locus in enumerate(loci):
-        columns += [value.alias(column(key[0], locus, int(key[1]))) for key, value in _typings(locus, k).items()]
-    return table(spark, sf_dir, "customer").select(*columns)
+        columns += [f"{text} AS {column(key[0], locus, int(key[1]))}" for key, text in _typings(locus, k).items()]
+    return table(spark, sf_dir, "customer").selectExpr(*columns)
 
 
 def typed_sql(loci: tuple) -> str:
