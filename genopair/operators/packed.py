@@ -92,7 +92,9 @@ def packed_code_counts(
     coded = paired_rows(packed, roster, ["cls"], ("dosage",), keys).select(
         *keys, dosage_code(mode).alias("code"), "cls"
     )
-    by_class = coded.groupBy(*keys, "code", "cls").agg(F.count(F.lit(1)).alias("_n"))
+    # a variant's rows are all in one task, so this aggregate is complete before its shuffle;
+    # laying the result out by variant once serves every later step on the same key
+    by_class = coded.groupBy(*keys, "code", "cls").agg(F.count(F.lit(1)).alias("_n")).repartition(*keys)
     sides = [
         F.coalesce(F.sum(F.when(F.shiftright("cls", k).bitwiseAND(1) == value, F.col("_n"))), F.lit(0)).alias(f"n{value}_{o}")
         for k, o in enumerate(outcomes)
@@ -175,8 +177,3 @@ def by_case(encoded: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("variant_idx", "code"))).alias("codes")
     )
 
-
-def describe(result: DataFrame, variants: DataFrame) -> DataFrame:
-    """Put position and id back on results keyed by variant number."""
-    names = variants.select(*VARIANT_KEY, "pos", "snp")
-    return result.join(names, VARIANT_KEY)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from genopair.operators.lookup import lookup_join
 from genopair.operators.pairs import VARIANT
@@ -66,17 +67,19 @@ def drop_duplicate_snps(variants: DataFrame, scope: tuple = ("chrom",)) -> DataF
     """Remove every copy of an id that occurs more than once in its scope.
 
     ``scope=("chrom",)`` for one file per chromosome, ``()`` for a whole-genome file. A
-    group of one hands its own row back, so no join follows, and an id shared by a third
+    group of one hands its own values back, so no join follows, and an id shared by a third
     of the variants is combined on the map side.
     """
     keys = [*scope, "snp"]
-    rest = [c for c in variants.columns if c not in keys]
-    single = (
-        variants.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*rest)).alias("_row"))
-        .filter(F.col("_n") == 1)
-    )
-    return single.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*variants.columns)
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    # of a single row min is the value itself, and it keeps fixed-width columns in the hash aggregate
+    rest = [
+        (F.any_value(f.name) if isinstance(f.dataType, nested) else F.min(f.name)).alias(f.name)
+        for f in variants.schema.fields
+        if f.name not in keys
+    ]
+    single = variants.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *rest).filter(F.col("_n") == 1)
+    return single.select(*variants.columns)
 
 
 def duplicate_snps(variants: DataFrame, scope: tuple = ("chrom",)) -> DataFrame:

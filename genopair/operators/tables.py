@@ -4,8 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genopair.functions.encode import MATCH_TYPES
-from genopair.operators.lookup import lookup_join
+from genopair.operators.lookup import fits_broadcast, lookup_join
 from genopair.operators.pairs import VARIANT
+from genopair.operators.quality import MIN_CALL_RATE, call_rate, filter_call_rate
 
 LEVELS = {"count": (0, 1, 2), "presence": (0, 1)}
 
@@ -32,6 +33,9 @@ def contingency(
     levels = LEVELS[mode]
     if on_repeat not in ("sum", "drop"):
         raise ValueError("on_repeat is 'sum' or 'drop'")
+    if on_repeat == "sum" and repeated is not None and not fits_broadcast(repeated):
+        # marking the rows would shuffle them all; grouping every row by case costs the same
+        repeated = None
     if on_repeat == "drop":
         if repeated is None:
             repeated = _repeated_in(encoded)
@@ -66,7 +70,12 @@ def contingency(
             )
         )
 
-    cells = [
+    return tallied.groupBy("chrom", "pos").agg(*_cells(levels, floor))
+
+
+def _cells(levels: tuple, floor: int) -> list:
+    """Aggregates over rows of ``status, code, n``."""
+    return [
         F.greatest(
             F.coalesce(F.sum(F.when((F.col("status") == s) & (F.col("code") == c), F.col("n"))), F.lit(0)),
             F.lit(floor),
@@ -76,7 +85,35 @@ def contingency(
         for s in ("case", "control")
         for c in levels
     ]
-    return tallied.groupBy("chrom", "pos").agg(*cells)
+
+
+def contingency_at_call_rate(
+    encoded: DataFrame,
+    status: DataFrame,
+    n_cases,
+    repeated: DataFrame,
+    mode: str = "count",
+    min_rate: float = MIN_CALL_RATE,
+    floor: int = 0,
+) -> DataFrame:
+    """Contingency of the variants called in at least ``min_rate`` of all cases.
+
+    At a position with one variant its called cases come out of the same aggregate as its
+    cells, so the matrix is read once. Only the rows at repeated positions are filtered
+    variant by variant first and then summed per case.
+    """
+    places = repeated.select("chrom", "pos")
+    alone = lookup_join(encoded, places, ["chrom", "pos"], "left_anti", salts=1)
+    tallied = (
+        lookup_join(alone.select("chrom", "pos", "case_id", "code"), status, ["case_id"], "left")
+        .groupBy("chrom", "pos", "status", "code")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    called = F.coalesce(F.sum(F.when(F.col("code").isNotNull(), F.col("n"))), F.lit(0)).alias("_called")
+    table = tallied.groupBy("chrom", "pos").agg(*_cells(LEVELS[mode], floor), called)
+    table = table.filter(call_rate("_called", n_cases) >= min_rate).drop("_called")
+    shared = filter_call_rate(lookup_join(encoded, places, ["chrom", "pos"], "left_semi", salts=1), n_cases, min_rate)
+    return table.unionByName(contingency(shared, status, mode, floor=floor))
 
 
 def floored_contingency(encoded: DataFrame, status: DataFrame, mode: str = "count", **kw) -> DataFrame:

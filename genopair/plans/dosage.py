@@ -50,15 +50,18 @@ def mismatch_logistic(
     outcome_table: DataFrame,
     mode: str,
     outcomes: list = OUTCOMES,
+    variants: DataFrame | None = None,
     **kw,
 ) -> DataFrame:
     """Pair code of every variant against every outcome.
 
     ``mode`` is one of the dosage modes. Genotypes are read once, in file order, and leave
-    their task only as counts.
+    their task only as counts. ``variants`` is the variant table where the source keeps one
+    apart (PLINK); otherwise the packed table's own columns serve, without its genotypes.
     """
     counts = packed_code_counts(packed, samples, pairs, outcome_table, outcomes, mode)
-    return logistic_from_counts(counts, packed, pairs.select("case_id").distinct().count(), outcomes, **kw)
+    n_cases = pairs.select("case_id").distinct().count()
+    return logistic_from_counts(counts, packed if variants is None else variants, n_cases, outcomes, **kw)
 
 
 def recipient_disease_logistic(

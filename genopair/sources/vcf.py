@@ -76,8 +76,9 @@ def chrom_code(name: Column) -> Column:
 
 
 def _genotype(sample: Column, slot: Column) -> Column:
-    """The genotype part of a sample field with one kind of separator."""
-    return F.translate(F.get(F.split(sample, ":"), slot - 1), "|", "/")
+    """The genotype part of a sample field with one kind of separator; nearly always the first part."""
+    part = F.when(slot == 1, F.substring_index(sample, ":", 1)).otherwise(F.get(F.split(sample, ":"), slot - 1))
+    return F.translate(part, "|", "/")
 
 
 def _info_text(info: Column, key: str) -> Column:

@@ -355,8 +355,12 @@ def filtered_matrix_sink(spark, sf_dir):
 
 def _chi_inputs(spark, sf_dir):
     enc = pairs.encode_pairs(paired_dosages(spark, sf_dir), "count")
-    variants = enc.select(*pairs.VARIANT).distinct()
-    return enc, outcome_status(spark, sf_dir), quality.repeated_positions(variants)
+    return enc, outcome_status(spark, sf_dir), quality.repeated_positions(_variants_of(spark, sf_dir))
+
+
+def _variants_of(spark, sf_dir, placed=lambda df: df):
+    """The variant table of the fixture, which has no variant file of its own."""
+    return placed(fx.calls(spark, sf_dir).select(*pairs.VARIANT)).distinct()
 
 
 CHI_COUNT = [CALLS, PAIRS, OUTCOMES, STATUS, PAIRED, encoded_sql("count"), ot.contingency("cont", "encoded", "status", (0, 1, 2)), ot.chi_square("tested", "cont", (0, 1, 2))]
@@ -957,7 +961,7 @@ def contingency_repeated_positions(spark, sf_dir):
     """Positions with two variants: a case's codes are summed before counting."""
     calls = fx.crowd_positions(fx.calls(spark, sf_dir))
     enc = callset.encode_alleles(pairs.pair_calls(calls, fx.pairs(spark, sf_dir), callset.ALLELES), "count")
-    repeated = quality.repeated_positions(calls.select(*pairs.VARIANT).distinct())
+    repeated = quality.repeated_positions(_variants_of(spark, sf_dir, fx.crowd_positions))
     return tables.contingency(enc, outcome_status(spark, sf_dir), repeated=repeated)
 
 
@@ -972,7 +976,7 @@ def contingency_repeated_positions(spark, sf_dir):
 def contingency_repeats_dropped(spark, sf_dir):
     calls = fx.crowd_positions(fx.calls(spark, sf_dir))
     enc = callset.encode_alleles(pairs.pair_calls(calls, fx.pairs(spark, sf_dir), callset.ALLELES), "count")
-    repeated = quality.repeated_positions(calls.select(*pairs.VARIANT).distinct())
+    repeated = quality.repeated_positions(_variants_of(spark, sf_dir, fx.crowd_positions))
     return tables.contingency(enc, outcome_status(spark, sf_dir), on_repeat="drop", repeated=repeated)
 
 
@@ -1326,8 +1330,22 @@ FLAGSHIP = [CALLS, PAIRS, OUTCOMES, STATUS, PAIRED, encoded_sql("count", "every"
 )
 def mismatch_association(spark, sf_dir):
     """Pair, encode, filter by call rate, label, tabulate, test, take -ln p."""
-    enc = pairs.encode_pairs(paired_dosages(spark, sf_dir), "count")
-    kept = quality.filter_call_rate(enc, n_pairs(spark, sf_dir))
-    repeated = quality.repeated_positions(fx.calls(spark, sf_dir).select(*pairs.VARIANT).distinct())
-    tested = association.chi_square(tables.contingency(kept, outcome_status(spark, sf_dir), repeated=repeated))
-    return association.with_neg_log_p(tested)
+    enc, status, repeated = _chi_inputs(spark, sf_dir)
+    table = tables.contingency_at_call_rate(enc, status, n_pairs(spark, sf_dir), repeated)
+    return association.with_neg_log_p(association.chi_square(table))
+
+
+@query(
+    ot.sql(
+        *CROWDED, RATES,
+        f"kept AS (SELECT e.* FROM encoded e JOIN rates r USING ({KEYS}) WHERE r.call_rate >= 0.8)",
+        ot.contingency("cont", "kept", "status", (0, 1, 2)),
+        select="SELECT * FROM cont",
+    )
+)
+def contingency_at_call_rate(spark, sf_dir):
+    """Call-rate filter and table in one pass, repeated positions variant by variant."""
+    calls = fx.crowd_positions(fx.calls(spark, sf_dir))
+    enc = callset.encode_alleles(pairs.pair_calls(calls, fx.pairs(spark, sf_dir), callset.ALLELES), "count")
+    repeated = quality.repeated_positions(_variants_of(spark, sf_dir, fx.crowd_positions))
+    return tables.contingency_at_call_rate(enc, outcome_status(spark, sf_dir), n_pairs(spark, sf_dir), repeated, min_rate=0.8)

@@ -273,3 +273,11 @@ def test_group_logistic_runs_on_labels(spark):
     enc = spark.createDataFrame([(1, 1, "a", 0, f"c{k}", k % 2) for k in range(30)], ENCODED)
     s = spark.createDataFrame([(f"c{k}", "a" if k % 3 else "n", "D") for k in range(30)], "group_id string, group string, subject_type string")
     assert callset.group_logistic(enc, s).first().status == "ok"
+
+
+def test_contingency_at_call_rate_equals_filter_then_table(spark, matrix, status):
+    enc = spark.createDataFrame(matrix, ENCODED)
+    repeated = quality.repeated_positions(enc.select(*pairs.VARIANT).distinct())
+    for rate in (0.0, 0.88, 0.92, 1.0):
+        want = tables.contingency(quality.filter_call_rate(enc, 40, rate), status)
+        assert rows(tables.contingency_at_call_rate(enc, status, 40, repeated, min_rate=rate)) == rows(want)
