@@ -19,13 +19,21 @@ ERFC_COEFFICIENTS = (
 )
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; columns alone would repeat its whole text."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def erfc(z: Column) -> Column:
     """Complementary error function for z >= 0; accurate in relative terms far into the tail."""
-    t = F.lit(1.0) / (F.lit(1.0) + z * 0.5)
-    poly = F.lit(ERFC_COEFFICIENTS[-1])
-    for c in reversed(ERFC_COEFFICIENTS[:-1]):
-        poly = F.lit(c) + t * poly
-    return t * F.exp(-z * z + poly)
+
+    def fit(t, z):
+        poly = F.lit(ERFC_COEFFICIENTS[-1])
+        for c in reversed(ERFC_COEFFICIENTS[:-1]):
+            poly = F.lit(c) + t * poly
+        return t * F.exp(-z * z + poly)
+
+    return _bind(z, lambda z: _bind(F.lit(1.0) / (F.lit(1.0) + z * 0.5), lambda t: fit(t, z)))
 
 
 def two_sided_normal_p(z: Column) -> Column:

@@ -11,7 +11,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genopair.functions.encode import dosage_code
+from genopair.functions.encode import DOSAGE_LEVELS, dosage_code
 from genopair.operators.association import code_counts
 from genopair.operators.lookup import lookup_join
 from genopair.operators.pairs import encode_pairs, pair_calls
@@ -79,24 +79,32 @@ def packed_code_counts(
 ) -> DataFrame:
     """What ``code_counts`` gives on the long form, from packed rows.
 
-    The outcomes of a case are folded into one class number (NULL when any is missing), so
-    each exploded row carries three integers and is summed by variant, code and class.
+    The outcomes of a case are folded into one class number, and class and code into one
+    integer, so each exploded row is summed under a short fixed-width key.
     """
     single = outcome_table.groupBy("case_id").agg(*[F.min(o).alias(o) for o in outcomes])
     joined = pair_slots(pairs, samples).join(single, "case_id", "left")
     bits = sum((F.col(o).cast("int") * (1 << k) for k, o in enumerate(outcomes[1:], 1)), F.col(outcomes[0]).cast("int"))
-    roster = inline_table(joined.select("d", "r", bits.alias("cls")))
+    # one more class holds the cases that miss an outcome
+    incomplete = 1 << len(outcomes)
+    roster = inline_table(joined.select("d", "r", F.coalesce(bits, F.lit(incomplete)).alias("cls")))
     if roster is None:
         paired = pair_calls(unpack(packed, samples, ("dosage",), keys), pairs, ("dosage",), keys)
         return code_counts(encode_pairs(paired, mode, keys), outcome_table, outcomes, keys)
-    coded = paired_rows(packed, roster, ["cls"], ("dosage",), keys).select(
-        *keys, dosage_code(mode).alias("code"), "cls"
-    )
+    lowest, missing = min(DOSAGE_LEVELS[mode]), max(DOSAGE_LEVELS[mode]) + 1
+    slot = (F.coalesce(dosage_code(mode).cast("int"), F.lit(missing)) - lowest) * (incomplete + 1) + F.col("cls")
+    slotted = paired_rows(packed, roster, ["cls"], ("dosage",), keys).select(*keys, slot.alias("_slot"))
     # a variant's rows are all in one task, so this aggregate is complete before its shuffle;
     # laying the result out by variant once serves every later step on the same key
-    by_class = coded.groupBy(*keys, "code", "cls").agg(F.count(F.lit(1)).alias("_n")).repartition(*keys)
+    by_slot = slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n")).repartition(*keys)
+    code = F.floor(F.col("_slot") / (incomplete + 1)).cast("int") + lowest
+    by_class = by_slot.select(
+        *keys, F.when(code != missing, code).alias("code"), (F.col("_slot") % (incomplete + 1)).alias("_cls"), "_n"
+    )
     sides = [
-        F.coalesce(F.sum(F.when(F.shiftright("cls", k).bitwiseAND(1) == value, F.col("_n"))), F.lit(0)).alias(f"n{value}_{o}")
+        F.coalesce(
+            F.sum(F.when((F.col("_cls") < incomplete) & (F.shiftright("_cls", k).bitwiseAND(1) == value), F.col("_n"))), F.lit(0)
+        ).alias(f"n{value}_{o}")
         for k, o in enumerate(outcomes)
         for value in (0, 1)
     ]
