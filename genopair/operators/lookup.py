@@ -33,7 +33,9 @@ def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes:
     return rows <= max_rows and size <= max_bytes
 
 
-def lookup_join(big: DataFrame, small: DataFrame, keys: list, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def lookup_join(
+    big: DataFrame, small: DataFrame, keys: list, how: str = "inner", salts: int = SALTS, bound: DataFrame | None = None
+) -> DataFrame:
     """Join ``big`` with a lookup table; ``how`` is inner, left, left_semi or left_anti.
 
     The lookup side is broadcast when its measured size is within the bounds. Beyond them
@@ -42,8 +44,10 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list, how: str = "inner"
     several tasks. Salts come from content, not from row order: a recomputed task gives
     every row the same salt again. ``salts=1`` is for lookup tables that are long themselves
     and keys that repeat about equally often; adaptive execution still splits skewed ones.
+    ``bound`` is a table cheap to measure that ``small`` cannot outgrow, for a ``small`` that
+    takes a pass over the genotypes to compute.
     """
-    if fits_broadcast(small):
+    if fits_broadcast(small if bound is None else bound):
         return big.join(F.broadcast(small), keys, how)
     others = [c for c in big.columns if c not in keys and not isinstance(big.schema[c].dataType, T.MapType)]
     if not others or salts <= 1:

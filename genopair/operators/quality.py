@@ -47,10 +47,18 @@ def variant_call_rate(encoded: DataFrame, n_cases, keys: list = VARIANT) -> Data
     )
 
 
-def filter_call_rate(encoded: DataFrame, n_cases, min_rate: float = MIN_CALL_RATE, keys: list = VARIANT) -> DataFrame:
-    """The encoded rows of variants called in at least ``min_rate`` of all cases."""
+def filter_call_rate(
+    encoded: DataFrame, n_cases, min_rate: float = MIN_CALL_RATE, keys: list = VARIANT, variants: DataFrame | None = None
+) -> DataFrame:
+    """The encoded rows of variants called in at least ``min_rate`` of all cases.
+
+    ``encoded`` is read twice, once for the rates and once for the rows, so a saved matrix
+    serves best. With the variant table given, the size of the kept list is bounded by it;
+    without, the list is measured, which takes a further pass.
+    """
     rates = variant_call_rate(encoded, n_cases, keys).filter(F.col("call_rate") >= min_rate)
-    return lookup_join(encoded, rates.select(*keys), keys, "left_semi", salts=1)
+    bound = None if variants is None else variants.select(*keys)
+    return lookup_join(encoded, rates.select(*keys), keys, "left_semi", salts=1, bound=bound)
 
 
 def call_rate_report(rates: DataFrame, min_rate: float = MIN_CALL_RATE) -> DataFrame:

@@ -95,6 +95,7 @@ def contingency_at_call_rate(
     mode: str = "count",
     min_rate: float = MIN_CALL_RATE,
     floor: int = 0,
+    variants: DataFrame | None = None,
 ) -> DataFrame:
     """Contingency of the variants called in at least ``min_rate`` of all cases.
 
@@ -112,7 +113,8 @@ def contingency_at_call_rate(
     called = F.coalesce(F.sum(F.when(F.col("code").isNotNull(), F.col("n"))), F.lit(0)).alias("_called")
     table = tallied.groupBy("chrom", "pos").agg(*_cells(LEVELS[mode], floor), called)
     table = table.filter(call_rate("_called", n_cases) >= min_rate).drop("_called")
-    shared = filter_call_rate(lookup_join(encoded, places, ["chrom", "pos"], "left_semi", salts=1), n_cases, min_rate)
+    shared = lookup_join(encoded, places, ["chrom", "pos"], "left_semi", salts=1)
+    shared = filter_call_rate(shared, n_cases, min_rate, variants=variants)
     return table.unionByName(contingency(shared, status, mode, floor=floor))
 
 

@@ -29,7 +29,8 @@ MISSING = -1
 A1_COPIES = {0b00: 2, 0b01: MISSING, 0b10: 1, 0b11: 0}
 CHROM_CODES = {"X": 23, "Y": 24, "XY": 25, "MT": 26, "M": 26}
 
-TARGET_BYTES = 128 << 20  # genotype bytes per task
+TARGET_BYTES = 32 << 20  # genotype bytes per task, four genotypes each
+LEAST_BYTES = 1 << 20
 TYPICAL_BIM_LINE = 32
 BATCH_CELLS = 8 << 20  # decoded genotypes per Arrow batch
 
@@ -239,7 +240,7 @@ def read_plink(
     chroms=None,
     region=None,
     count_allele: str = "a1",
-    target_bytes: int = TARGET_BYTES,
+    target_bytes: int | None = None,
 ) -> PlinkData:
     """``PlinkData(variants, samples, packed)`` of one or more file trios over the same samples.
 
@@ -272,6 +273,10 @@ def read_plink(
         _same_samples(spark, present, n)
 
     width = -(-n // 4)
+    if target_bytes is None:
+        # small inputs still give every core a task
+        share = sum(_size(p + ".bed") for p in present) // (2 * spark.sparkContext.defaultParallelism)
+        target_bytes = min(TARGET_BYTES, max(LEAST_BYTES, share))
     block_bytes = max(4096, TYPICAL_BIM_LINE * target_bytes // max(1, width))
     index = (
         spark.read.format("plink_bim_index")

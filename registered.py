@@ -348,7 +348,8 @@ def encoded_scan_by_chromosome(spark, sf_dir):
 def filtered_matrix_sink(spark, sf_dir):
     """The matrix at 95 % call rate, saved and loaded."""
     path = fx.new_folder(spark, "filtered")
-    kept = quality.filter_call_rate(pairs.encode_pairs(paired_dosages(spark, sf_dir), "count"), n_pairs(spark, sf_dir))
+    enc = pairs.encode_pairs(paired_dosages(spark, sf_dir), "count")
+    kept = quality.filter_call_rate(enc, n_pairs(spark, sf_dir), variants=_variants_of(spark, sf_dir))
     sinks.write_encoded(kept.withColumn("mode", F.lit("count")), path)
     return sources.read_encoded(spark, path).select(*pairs.VARIANT, "case_id", "code", "mode")
 
@@ -541,9 +542,9 @@ def call_rate(spark, sf_dir):
     )
 )
 def call_rate_filter(spark, sf_dir):
-    return quality.filter_call_rate(pairs.encode_pairs(paired_dosages(spark, sf_dir), "count"), n_pairs(spark, sf_dir)).select(
-        *pairs.VARIANT, "case_id", "code"
-    )
+    enc = pairs.encode_pairs(paired_dosages(spark, sf_dir), "count")
+    kept = quality.filter_call_rate(enc, n_pairs(spark, sf_dir), variants=_variants_of(spark, sf_dir))
+    return kept.select(*pairs.VARIANT, "case_id", "code")
 
 
 @query(
@@ -1331,7 +1332,8 @@ FLAGSHIP = [CALLS, PAIRS, OUTCOMES, STATUS, PAIRED, encoded_sql("count", "every"
 def mismatch_association(spark, sf_dir):
     """Pair, encode, filter by call rate, label, tabulate, test, take -ln p."""
     enc, status, repeated = _chi_inputs(spark, sf_dir)
-    table = tables.contingency_at_call_rate(enc, status, n_pairs(spark, sf_dir), repeated)
+    variants = _variants_of(spark, sf_dir)
+    table = tables.contingency_at_call_rate(enc, status, n_pairs(spark, sf_dir), repeated, variants=variants)
     return association.with_neg_log_p(association.chi_square(table))
 
 
