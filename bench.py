@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import fixture_views as fx  # noqa: E402
 import registered  # noqa: E402
 from genopair.plans import dosage  # noqa: E402
-from genopair.session import build_session, ship_package  # noqa: E402
+from genopair.session import build_session  # noqa: E402
 from genopair.sources import plink  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -73,7 +73,7 @@ def write_inputs(spark, folder):
                 f.write(content)
         yield pa.RecordBatch.from_pydict({"prefix": [prefix]})
 
-    registered._ship_fixtures(spark)
+    fx.ship(spark)
     packed = spark.read.parquet(f"{folder}/packed").repartitionByRange(4, "variant_idx").sortWithinPartitions("variant_idx")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return sorted(r[0] for r in packed.mapInArrow(trios, "prefix string").collect())
@@ -82,7 +82,6 @@ def write_inputs(spark, folder):
 def main():
     spark = build_session(f"local[{CPUS}]", spark__driver__memory="16g", spark__ui__showConsoleProgress="false")
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    ship_package(spark)
     started = time.time()
     prefixes = write_inputs(spark, folder)
     print(f"inputs written in {time.time() - started:.1f} s", file=sys.stderr)

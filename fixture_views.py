@@ -342,6 +342,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this module and the package to the executors, whose tasks write the files below."""
+    from genopair.session import ship_package
+
+    if not getattr(spark.sparkContext, "_fixtures_shipped", False):
+        spark.sparkContext.addPyFile(__file__)
+        spark.sparkContext._fixtures_shipped = True
+    ship_package(spark)
+
+
 def _open_output(path: str):
     from pyarrow import fs
 
@@ -359,6 +369,7 @@ def pack_calls(long_calls: DataFrame, values: tuple = ("dosage",)) -> DataFrame:
 
 def write_trios(spark: SparkSession, packed: DataFrame, sample_ids: DataFrame, folder: str, parts: int = 4) -> list:
     """PLINK trios from packed dosages, one per task; returns their prefixes in variant order."""
+    ship(spark)
     names = [str(r[0]) for r in sample_ids.orderBy("sample_id").select("sample_id").collect()]
 
     def write(batches):

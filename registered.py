@@ -9,7 +9,6 @@ import oracle_text as ot
 from genopair.functions import encode, hla as hla_f, ids, stats
 from genopair.operators import annotate, association, cohort, hla, lookup, packed, pairs, quality, tables
 from genopair.plans import callset, dosage
-from genopair.session import ship_package
 from genopair.sources import plink, sinks, tables as sources, vcf
 
 QUERIES, ORACLE = {}, {}
@@ -95,7 +94,6 @@ COMPLETE_PAIRED = ot.paired("paired", "passing", "complete", ("a1", "a2"))
 
 
 def _plink_folder(spark, sf_dir):
-    ship_package(spark)
     calls = fx.calls(spark, sf_dir)
     ids_ = calls.select("sample_id").distinct()
     return fx.write_trios(spark, fx.pack_calls(calls), ids_, fx.new_folder(spark, "plink"))
@@ -294,18 +292,11 @@ def gene_file_scan(spark, sf_dir):
                     f.write("\n".join(row["line"]).encode())
             yield pa.RecordBatch.from_pydict({"n": [len(batch)]})
 
-    _ship_fixtures(spark)
+    fx.ship(spark)
     named.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
     return vcf.read_gene_files(spark, folder, "GENE*").select("file_name", "line", F.size("fields").alias("n_fields"))
 
 
-def _ship_fixtures(spark):
-    if not getattr(spark.sparkContext, "_fixtures_shipped", False):
-        spark.sparkContext.addPyFile(fx.__file__)
-        spark.sparkContext._fixtures_shipped = True
-    ship_package(spark)
-
-
 def _saved_matrix(spark, sf_dir):
     path = fx.new_folder(spark, "encoded")
     sinks.write_encoded(pairs.encode_modes(paired_dosages(spark, sf_dir), ("count", "pres_abs")), path)
