@@ -13,7 +13,17 @@ from collections import namedtuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from genopair.operators.lookup import union_all, with_row_index
 from genopair.session import ship_package
@@ -131,8 +141,9 @@ def whole_lines(path, start, end, step=1 << 16):
 
 
 class _Block(InputPartition):
-    def __init__(self, prefix, samples, start, lines, row, offset):
+    def __init__(self, prefix="", samples=0, start=0, lines=0, row=0, offset=0, chroms=(), pos_lo=0, pos_hi=0):
         self.prefix, self.samples, self.start, self.lines, self.row, self.offset = prefix, samples, start, lines, row, offset
+        self.chroms, self.pos_lo, self.pos_hi = chroms, pos_lo, pos_hi
 
 
 class BedSource(DataSource):
@@ -146,7 +157,8 @@ class BedSource(DataSource):
         return PACKED_SCHEMA if self.options.get("genotypes", "true") == "true" else VARIANT_SCHEMA
 
     def reader(self, schema):
-        return BedReader(self.options)
+        pushdown = self.options.get("pushdown", "false") == "true"
+        return (FilteringBedReader if pushdown else BedReader)(self.options)
 
 
 class BedReader(DataSourceReader):
@@ -159,7 +171,7 @@ class BedReader(DataSourceReader):
         self.region = json.loads(options.get("region", "null"))
 
     def partitions(self):
-        return self.blocks or [_Block("", 0, 0, 0, 0, 0)]
+        return self.blocks or [_Block()]
 
     def read(self, block):
         import numpy as np
@@ -202,6 +214,36 @@ class BedReader(DataSourceReader):
         return self.region is None or (chrom == self.region[0] and self.region[1] <= pos <= self.region[2])
 
 
+class FilteringBedReader(BedReader):
+    """Also leaves out blocks that filters on chromosome or position rule out.
+
+    Spark still applies every filter to the rows. A reader may only have ``pushFilters`` in
+    sessions that allow it (``spark.sql.python.filterPushdown.enabled``).
+    """
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if getattr(f, "attribute", None) in (("chrom",), ("pos",)):
+                self.blocks = [b for b in self.blocks if _may_hold(b, f)]
+            yield f
+
+
+def _may_hold(block, f) -> bool:
+    """False when no row of the block can pass the filter."""
+    if f.attribute == ("chrom",):
+        lo, hi, values = min(block.chroms, default=0), max(block.chroms, default=-1), block.chroms
+    else:
+        lo, hi, values = block.pos_lo, block.pos_hi, None
+    if isinstance(f, (EqualTo, In)):
+        wanted = [f.value] if isinstance(f, EqualTo) else f.value
+        return any(v in values if values is not None else lo <= v <= hi for v in wanted if v is not None)
+    if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+        return hi > f.value or (isinstance(f, GreaterThanOrEqual) and hi == f.value)
+    if isinstance(f, (LessThan, LessThanOrEqual)):
+        return lo < f.value or (isinstance(f, LessThanOrEqual) and lo == f.value)
+    return True
+
+
 def _bim_lines(block):
     """The split lines of one block, which begins at a line start."""
     path, text, at = block.prefix + ".bim", b"", block.start
@@ -291,7 +333,7 @@ def read_plink(
         row = 0
         for b in (b for b in index if b["file"] == i):
             if _touches(b, chroms, region):
-                blocks.append((i, n, b["start"], b["lines"], row, offset))
+                blocks.append((i, n, b["start"], b["lines"], row, offset, b["chroms"], b["pos_lo"], b["pos_hi"]))
             row += b["lines"]
         expected = 3 + row * width
         if _size(prefix + ".bed") != expected or _bytes(prefix + ".bed", 0, 3) != MAGIC:
@@ -301,6 +343,7 @@ def read_plink(
     def load(genotypes):
         reader = spark.read.format("plink_bed").option("blocks", json.dumps(blocks)).option("genotypes", genotypes)
         reader = reader.option("countAllele", count_allele).option("prefixes", json.dumps(present))
+        reader = reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
         if chroms is not None:
             reader = reader.option("chroms", json.dumps(sorted(chroms)))
         if region is not None:

@@ -65,6 +65,31 @@ def test_bed_block_and_row_skipping(spark, folder, dosages):
     assert plink.read_plink(spark, prefix).variants.count() == 700
 
 
+def test_bed_filters_reach_the_reader(spark, folder, dosages):
+    prefix = f"{folder}/g"
+    write_trio(prefix, dosages, [f"s{k}" for k in range(13)], [str(1 + k // 100) for k in range(700)])
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        packed_ = plink.read_plink(spark, prefix, target_bytes=1).packed
+        whole = packed_.rdd.getNumPartitions()
+        for condition, want in (
+            ("chrom = 3", range(200, 300)),
+            ("chrom IN (2, 7)", [*range(100, 200), *range(600, 700)]),
+            ("chrom > 6", range(600, 700)),
+            ("chrom >= 6 AND chrom < 7", range(500, 600)),
+            ("chrom <= 1", range(0, 100)),
+            ("chrom = 3 AND pos BETWEEN 3100 AND 3200", range(210, 221)),
+            ("pos = 1010", [1]),
+            ("chrom = 40", []),
+        ):
+            some = packed_.filter(condition)
+            assert some.rdd.getNumPartitions() < whole, condition
+            assert sorted(r.variant_idx for r in some.collect()) == list(want), condition
+        assert packed_.filter("snp = 'rs5'").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_several_trios(spark, folder, dosages, caplog):
     names = [f"s{k}" for k in range(13)]
     write_trio(f"{folder}/1", dosages[:300], names, ["1"] * 300)
