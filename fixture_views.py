@@ -417,7 +417,7 @@ def write_vcf(spark: SparkSession, packed: DataFrame, sample_ids: DataFrame, fol
         F.lit("C,G"),
         F.lit("."),
         F.lit("PASS"),
-        F.concat(F.lit("AC=1,2;AN="), F.size("a1").cast("string")),
+        F.concat(F.lit("AC=1,2;AN="), (F.size(F.array_compact("a1")) * 2).cast("string")),
         F.lit("GT:DP"),
         calls_text,
     )

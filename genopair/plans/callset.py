@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from genopair.functions.encode import ALLELE_CODES, gt_type_diff, mismatch_types
 from genopair.operators.association import chi_square, code_counts, logistic_factor, variant_levels, with_neg_log_p
 from genopair.operators.lookup import lookup_join
+from genopair.operators.packed import packed_pairs
 from genopair.operators.pairs import VARIANT, case_control, complete_pairs, pair_calls
 from genopair.operators.quality import MIN_ALLELE_NUMBER, filter_allele_number, repeated_positions
 from genopair.operators.tables import contingency, mismatch_type_frequency
@@ -41,6 +42,18 @@ def paired_alleles(calls: DataFrame, variants: DataFrame, samples: DataFrame, mi
     return pair_calls(passing_calls(calls, variants, min_an), pairs, ALLELES)
 
 
+def packed_paired_alleles(packed: DataFrame, slots: DataFrame, samples: DataFrame, min_an: int = MIN_ALLELE_NUMBER) -> DataFrame:
+    """The same from packed rows: the allele number reaches the scan and genotypes are not shuffled."""
+    return packed_pairs(filter_allele_number(packed, min_an), slots, complete_pairs(samples), ALLELES, VARIANT)
+
+
+def association_of_pairs(paired: DataFrame, variants: DataFrame, samples: DataFrame, mode: str = "count", floor: int = 0) -> DataFrame:
+    """Contingency table and chi-square test of every position; ``variants`` are those that ``paired`` holds."""
+    status = case_control(complete_pairs(samples).withColumnRenamed("case_id", "group_id"))
+    table = contingency(encode_alleles(paired, mode), status, mode, repeated=repeated_positions(variants), floor=floor)
+    return chi_square(table, mode)
+
+
 def association_table(
     calls: DataFrame,
     variants: DataFrame,
@@ -50,10 +63,21 @@ def association_table(
     min_an: int = MIN_ALLELE_NUMBER,
 ) -> DataFrame:
     """Contingency table and chi-square test of every position that passes."""
-    encoded = encode_alleles(paired_alleles(calls, variants, samples, min_an), mode)
-    status = case_control(complete_pairs(samples).withColumnRenamed("case_id", "group_id"))
-    repeated = repeated_positions(filter_allele_number(variants, min_an))
-    return chi_square(contingency(encoded, status, mode, repeated=repeated, floor=floor), mode)
+    paired = paired_alleles(calls, variants, samples, min_an)
+    return association_of_pairs(paired, filter_allele_number(variants, min_an), samples, mode, floor)
+
+
+def packed_association_table(
+    packed: DataFrame,
+    slots: DataFrame,
+    samples: DataFrame,
+    mode: str = "count",
+    floor: int = 0,
+    min_an: int = MIN_ALLELE_NUMBER,
+) -> DataFrame:
+    """As ``association_table`` from packed rows; ``slots`` tells each sample's place in the arrays."""
+    paired = packed_paired_alleles(packed, slots, samples, min_an)
+    return association_of_pairs(paired, filter_allele_number(packed, min_an), samples, mode, floor)
 
 
 def association_log_p(calls: DataFrame, variants: DataFrame, samples: DataFrame, mode: str = "count", **kw) -> DataFrame:
@@ -69,3 +93,7 @@ def group_logistic(encoded: DataFrame, samples: DataFrame) -> DataFrame:
 
 def mismatch_type_table(calls: DataFrame, variants: DataFrame, samples: DataFrame, min_an: int = MIN_ALLELE_NUMBER) -> DataFrame:
     return mismatch_type_frequency(encode_mismatch_types(paired_alleles(calls, variants, samples, min_an)))
+
+
+def packed_mismatch_type_table(packed: DataFrame, slots: DataFrame, samples: DataFrame, min_an: int = MIN_ALLELE_NUMBER) -> DataFrame:
+    return mismatch_type_frequency(encode_mismatch_types(packed_paired_alleles(packed, slots, samples, min_an)))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from genopair.operators.packed import CHUNK, packed_codes
 from genopair.sources.plink import read_plink
+from genopair.sources.vcf import read_vcf
 
 CODEC = "zstd"
 
@@ -55,6 +56,13 @@ def plink_to_parquet(spark: SparkSession, prefixes, out: str, missing_ok: bool =
     data.samples.write.option("compression", CODEC).parquet(f"{out}/samples")
 
 
+def vcf_to_parquet(spark: SparkSession, path, out: str, **kw) -> None:
+    """VCF records to a packed call set in the same layout."""
+    data = read_vcf(spark, path, **kw)
+    write_table(data.packed, f"{out}/variants")
+    data.samples.write.option("compression", CODEC).parquet(f"{out}/samples")
+
+
 def write_hml(report: DataFrame, path: str, project: str, version: str = "1.0.1", mode: str = "errorifexists") -> None:
     """Typing report as XML, one ``sample`` element per row."""
     root = f'hml project-name="{project}" version="{version}"'

@@ -10,6 +10,7 @@ from genopair.operators.hla import CASE_LOCI, case_column
 from genopair.operators.lookup import first_by, with_row_index
 
 CallSet = namedtuple("CallSet", "variants calls samples")
+PackedCallSet = namedtuple("PackedCallSet", "packed samples")
 
 
 def read_delimited(spark: SparkSession, path, sep: str = "\t", header: bool = True) -> DataFrame:
@@ -77,6 +78,14 @@ def read_callset(spark: SparkSession, path: str, chroms=None, min_an: int | None
     return CallSet(variants, calls, spark.read.parquet(f"{path}/samples"))
 
 
+def read_packed(spark: SparkSession, path: str, chroms=None) -> PackedCallSet:
+    """Packed call set as written from PLINK or VCF; ``chroms=(first, last)`` prunes partitions."""
+    packed = spark.read.parquet(f"{path}/variants")
+    if chroms is not None:
+        packed = packed.filter(F.col("chrom").between(*chroms))
+    return PackedCallSet(packed, spark.read.parquet(f"{path}/samples"))
+
+
 def read_encoded(spark: SparkSession, path, chroms=None) -> DataFrame:
     """Saved encoded matrices of several chromosomes as one table.
 

@@ -118,15 +118,15 @@ def plink_to_parquet(spark, sf_dir):
     """File trios converted to a columnar call set by chromosome, then read."""
     out = fx.new_folder(spark, "converted")
     sinks.plink_to_parquet(spark, _plink_folder(spark, sf_dir), out)
-    variants, samples = spark.read.parquet(f"{out}/variants"), spark.read.parquet(f"{out}/samples")
-    return packed.unpack(variants, samples, keys=pairs.VARIANT)
+    saved = sources.read_packed(spark, out)
+    return packed.unpack(saved.packed, saved.samples, keys=pairs.VARIANT)
 
 
 @query(
     ot.sql(
-        CALLS,
-        select="""SELECT chrom, pos, snp, CAST(sample_id AS VARCHAR) AS sample_id, CAST(a1 AS INTEGER) AS a1, CAST(a2 AS INTEGER) AS a2,
-        CAST((SELECT count(*) FROM embeddings) AS INTEGER) AS an, 2 AS numalt FROM calls""",
+        CALLS, VARIANTS,
+        select="""SELECT c.chrom, c.pos, c.snp, CAST(c.sample_id AS VARCHAR) AS sample_id, CAST(c.a1 AS INTEGER) AS a1,
+        CAST(c.a2 AS INTEGER) AS a2, v.an, 2 AS numalt FROM calls c JOIN variants v USING (variant_idx)""",
     )
 )
 def vcf_scan(spark, sf_dir):
@@ -630,6 +630,18 @@ def callset_association_presence(spark, sf_dir):
     return callset.association_log_p(*_callset(spark, sf_dir), "presence")
 
 
+@query(ot.sql(*CHI_ALLELE, select=f"SELECT chrom, pos, case_0, case_1, case_2, control_0, control_1, control_2, {ot.r6('stat')} AS stat, {ot.r6('p_value')} AS p_value, status FROM tested"))
+def vcf_callset_association(spark, sf_dir):
+    """VCF text converted to a packed call set, then tested without shuffling genotypes."""
+    calls = fx.calls(spark, sf_dir)
+    folder = fx.new_folder(spark, "vcf")
+    paths = fx.write_vcf(spark, fx.pack_calls(calls, ("a1", "a2")), calls.select("sample_id").distinct(), folder)
+    sinks.vcf_to_parquet(spark, paths, f"{folder}/callset")
+    saved = sources.read_packed(spark, f"{folder}/callset")
+    samples = fx.samples(spark, sf_dir).withColumn("seq_id", F.col("seq_id").cast("string"))
+    return callset.packed_association_table(saved.packed, saved.samples, samples)
+
+
 @query(ot.sql(*CHI_PRESENCE, select=f"SELECT chrom, pos, {ot.r6('p_value')} AS p_value, status FROM tested WHERE p_value IS NOT NULL"))
 def testable_filter(spark, sf_dir):
     table = callset.association_table(*_callset(spark, sf_dir), "presence")
@@ -996,6 +1008,15 @@ def mismatch_type_frequency(spark, sf_dir):
     return callset.mismatch_type_table(*_callset(spark, sf_dir))
 
 
+@query(ot.sql(CALLS, VARIANTS, SAMPLES, COMPLETE, PASSING, COMPLETE_PAIRED, FREQUENCY, select="SELECT * FROM freq"))
+def mismatch_type_frequency_packed(spark, sf_dir):
+    """The same counts from packed rows."""
+    calls = fx.calls(spark, sf_dir)
+    rows, slots = _packed_calls(calls, ("a1", "a2"))
+    rows = rows.withColumn("an", F.size(F.array_compact("a1")) * 2)
+    return callset.packed_mismatch_type_table(rows, slots, fx.samples(spark, sf_dir))
+
+
 @query(
     ot.sql(
         fx.GRID_VARIANTS_SQL,
