@@ -84,10 +84,11 @@ def packed_code_counts(
     """
     single = outcome_table.groupBy("case_id").agg(*[F.min(o).alias(o) for o in outcomes])
     joined = pair_slots(pairs, samples).join(single, "case_id", "left")
-    bits = sum((F.col(o).cast("int") * (1 << k) for k, o in enumerate(outcomes[1:], 1)), F.col(outcomes[0]).cast("int"))
-    # one more class holds the cases that miss an outcome
-    incomplete = 1 << len(outcomes)
-    roster = inline_table(joined.select("d", "r", F.coalesce(bits, F.lit(incomplete)).alias("cls")))
+    # one digit per outcome: 0, 1, or 2 for any other value; one more class for cases that miss an outcome
+    digits = [F.when(F.col(o).isin(0, 1), F.col(o).cast("int")).when(F.col(o).isNotNull(), 2) for o in outcomes]
+    number = sum((d * 3**k for k, d in enumerate(digits[1:], 1)), digits[0])
+    incomplete = 3 ** len(outcomes)
+    roster = inline_table(joined.select("d", "r", F.coalesce(number, F.lit(incomplete)).alias("cls")))
     if roster is None:
         paired = pair_calls(unpack(packed, samples, ("dosage",), keys), pairs, ("dosage",), keys)
         return code_counts(encode_pairs(paired, mode, keys), outcome_table, outcomes, keys)
@@ -103,7 +104,7 @@ def packed_code_counts(
     )
     sides = [
         F.coalesce(
-            F.sum(F.when((F.col("_cls") < incomplete) & (F.shiftright("_cls", k).bitwiseAND(1) == value), F.col("_n"))), F.lit(0)
+            F.sum(F.when((F.col("_cls") < incomplete) & (F.floor(F.col("_cls") / 3**k) % 3 == value), F.col("_n"))), F.lit(0)
         ).alias(f"n{value}_{o}")
         for k, o in enumerate(outcomes)
         for value in (0, 1)

@@ -14,7 +14,10 @@ NAMES = [
     "filtered_matrix_sink",
     "packed_matrix_sink",
     "callset_association_presence",
+    "contingency_at_call_rate",
     "contingency_repeated_positions",
+    "vcf_callset_association",
+    "mismatch_type_frequency_packed",
     "mismatch_type_frequency",
     "logistic_additive",
     "mismatch_logistic_count_directed",
