@@ -19,7 +19,7 @@ import fixture_views as fx  # noqa: E402
 import registered  # noqa: E402
 from genopair.plans import dosage  # noqa: E402
 from genopair.session import build_session  # noqa: E402
-from genopair.sources import plink  # noqa: E402
+from genopair.sources import plink, sinks, tables  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -47,7 +47,7 @@ def write_inputs(spark, folder):
 
     variants = fx.grid_variants(spark, SF_DIR).repartitionByRange(4 * spark.sparkContext.defaultParallelism, "variant_idx")
     schema = "chrom int, pos bigint, snp string, variant_idx bigint, dosage array<tinyint>"
-    variants.mapInArrow(dosages, schema).write.option("compression", "zstd").parquet(f"{folder}/packed")
+    sinks.write_packed_calls(variants.mapInArrow(dosages, schema), fx.grid_samples(spark, SF_DIR), folder)
 
     names = "".join(f"F{k} {k} 0 0 0 -9\n" for k in range(n)).encode()
 
@@ -74,7 +74,7 @@ def write_inputs(spark, folder):
         yield pa.RecordBatch.from_pydict({"prefix": [prefix]})
 
     fx.ship(spark)
-    packed = spark.read.parquet(f"{folder}/packed").repartitionByRange(4, "variant_idx").sortWithinPartitions("variant_idx")
+    packed = spark.read.parquet(f"{folder}/variants").repartitionByRange(4, "variant_idx").sortWithinPartitions("variant_idx")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return sorted(r[0] for r in packed.mapInArrow(trios, "prefix string").collect())
 
@@ -87,7 +87,7 @@ def main():
     print(f"inputs written in {time.time() - started:.1f} s", file=sys.stderr)
 
     rest = (fx.grid_samples(spark, SF_DIR), fx.grid_pairs(spark, SF_DIR), fx.grid_outcomes(spark, SF_DIR))
-    packed = spark.read.parquet(f"{folder}/packed")
+    packed = tables.read_packed(spark, folder).packed
 
     def packed_logistic(mode, **kw):
         return lambda: dosage.mismatch_logistic(packed, *rest, mode, scope=(), **kw)

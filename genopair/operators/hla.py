@@ -7,6 +7,7 @@ from genopair.functions.hla import compare_locus, gl_string
 from genopair.operators.annotate import allele_sequence
 from genopair.operators.cohort import running_total
 
+# The loci of the case table, of the typing table and of each report class.
 CASE_LOCI = ("A", "B", "C", "DRB1", "DQB1", "DPB1")
 TYPED_LOCI = ("A", "B", "C", "DRB1", "DRB3", "DRB4", "DRB5", "DQB1", "DQA1", "DPB1", "DPA1")
 CLASS_LOCI = {"I": ("A", "B", "C"), "II": ("DRB1", "DQB1")}

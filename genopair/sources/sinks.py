@@ -8,6 +8,9 @@ from genopair.sources.plink import read_plink
 from genopair.sources.vcf import read_vcf
 
 CODEC = "zstd"
+# A reader decodes up to a row group at a time, and a packed genotype takes two bits in the
+# file but some nine bytes while decoded. Small groups keep that near 150 MB per task.
+PACKED_ROW_GROUP = 4 << 20
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple = ("chrom",), mode: str = "errorifexists") -> None:
@@ -15,6 +18,13 @@ def write_table(df: DataFrame, path: str, partition_by: tuple = ("chrom",), mode
     df.write.mode(mode).option("compression", CODEC).partitionBy(*partition_by).parquet(path)
 
 
+def write_packed_calls(packed: DataFrame, samples: DataFrame, out: str, mode: str = "errorifexists") -> None:
+    """Packed call set: ``variants`` by chromosome, in the order they come, and ``samples``."""
+    writer = packed.write.mode(mode).option("compression", CODEC).option("parquet.block.size", PACKED_ROW_GROUP)
+    writer.partitionBy("chrom").parquet(f"{out}/variants")
+    samples.write.mode(mode).option("compression", CODEC).parquet(f"{out}/samples")
+
+
 def write_encoded(df: DataFrame, path: str, arrange: bool = True, mode: str = "errorifexists") -> None:
     """Encoded matrix by mode and chromosome, sorted by position.
 
@@ -50,17 +60,15 @@ def write_tsv(df: DataFrame, path: str, header: bool = False, mode: str = "error
 
 
 def plink_to_parquet(spark: SparkSession, prefixes, out: str, missing_ok: bool = True, **kw) -> None:
-    """File trios to a packed call set: ``variants`` by chromosome and ``samples``."""
+    """File trios to a packed call set."""
     data = read_plink(spark, prefixes, missing_ok, **kw)
-    write_table(data.packed, f"{out}/variants")
-    data.samples.write.option("compression", CODEC).parquet(f"{out}/samples")
+    write_packed_calls(data.packed, data.samples, out)
 
 
 def vcf_to_parquet(spark: SparkSession, path, out: str, **kw) -> None:
-    """VCF records to a packed call set in the same layout."""
+    """VCF records to a packed call set."""
     data = read_vcf(spark, path, **kw)
-    write_table(data.packed, f"{out}/variants")
-    data.samples.write.option("compression", CODEC).parquet(f"{out}/samples")
+    write_packed_calls(data.packed, data.samples, out)
 
 
 def write_hml(report: DataFrame, path: str, project: str, version: str = "1.0.1", mode: str = "errorifexists") -> None:

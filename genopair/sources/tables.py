@@ -9,6 +9,8 @@ from genopair.functions.ids import format_id
 from genopair.operators.hla import CASE_LOCI, case_column
 from genopair.operators.lookup import first_by, with_row_index
 
+# Column names of the input files below are fixed values: they are what such files carry.
+
 CallSet = namedtuple("CallSet", "variants calls samples")
 PackedCallSet = namedtuple("PackedCallSet", "packed samples")
 

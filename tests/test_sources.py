@@ -131,6 +131,26 @@ def test_plink_to_parquet(spark, folder, dosages):
     assert spark.read.parquet(f"{folder}/out/samples").count() == 13
 
 
+def test_packed_row_groups_stay_small(spark, folder):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    n, m = 20000, 1200
+    rows_ = spark.range(0, m, 1, 1).select(
+        F.lit(1).alias("chrom"),
+        F.col("id").alias("variant_idx"),
+        F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.pmod(F.hash(k, F.col("id")), F.lit(3)).cast("tinyint")).alias("dosage"),
+    )
+    samples = spark.range(n).select(F.col("id").cast("string").alias("sample_id"), F.col("id").alias("sample_idx"))
+    sinks.write_packed_calls(rows_, samples, f"{folder}/c")
+    (path,) = glob.glob(f"{folder}/c/variants/chrom=1/*.parquet")
+    meta = pq.ParquetFile(path).metadata
+    assert max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) * n <= 32_000_000
+    saved = tables.read_packed(spark, f"{folder}/c", chroms=(1, 1))
+    assert saved.packed.count() == m and saved.samples.count() == n
+
+
 VCF = """##fileformat=VCFv4.2
 ##contig=<ID=chr1>
 #CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\tC
