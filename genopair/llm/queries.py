@@ -1,6 +1,8 @@
 """The operators as registered queries over whole tables, with production parameters."""
 
-from genopair.llm import bpe, packing
+from pyspark.sql import functions as F
+
+from genopair.llm import bpe, chat, line_dedup, packing, quality, toxicity
 from genopair.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -18,6 +20,33 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+@query
+def op2_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_chat(spark, sf_dir):
+    says = "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(says))
+    formatted = chat.format_paths(chat.paths(chat.chains(turns)))
+    return chat.read_back(formatted).withColumnRenamed("tree_id", "conv_id")
+
+
+@query
+def op8_line_dedup(spark, sf_dir):
+    kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op8_line_dedup"] = line_dedup.SQL
+
+
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
