@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from genopair.llm import bpe, chat, line_dedup, packing, quality, toxicity
+from genopair.llm import bpe, chat, line_dedup, minhash, packing, quality, toxicity
 from genopair.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -30,6 +30,12 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_minhash(spark, sf_dir):
+    found = minhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 @query
 def op6_chat(spark, sf_dir):
     says = "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"

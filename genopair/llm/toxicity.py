@@ -23,6 +23,7 @@ BITS = 20
 FEATURES = 4096
 THRESHOLD = 0.3
 ORDERS = (4, 5)
+SALTS = {n: np.uint64(n * 0xD1B54A32D192ED03 & (1 << 64) - 1) for n in ORDERS}
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -34,7 +35,7 @@ def ngrams(text: str) -> np.ndarray:
             v = b[: len(b) - n + 1].copy()
             for j in range(1, n):
                 v |= b[j : len(b) - n + 1 + j] << np.uint64(8 * j)
-            out.append((v * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - BITS))
+            out.append((v * np.uint64(0x9E3779B97F4A7C15) + SALTS[n]) >> np.uint64(64 - BITS))
     return np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
 
 
