@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from genopair.llm import bpe, chat, line_dedup, minhash, packing, quality, toxicity
+from genopair.llm import ann, bpe, chat, embedding_dedup, line_dedup, minhash, packing, quality, toxicity
 from genopair.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -36,6 +36,11 @@ def op4_minhash(spark, sf_dir):
     return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+@query
+def op5_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_chat(spark, sf_dir):
     says = "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
@@ -44,6 +49,11 @@ def op6_chat(spark, sf_dir):
     return chat.read_back(formatted).withColumnRenamed("tree_id", "conv_id")
 
 
+@query
+def op7_ann(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op8_line_dedup(spark, sf_dir):
     kept = line_dedup.drop_common_lines(table(spark, sf_dir, "documents"))
