@@ -13,9 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator needs, so other columns can't clash; a null text is empty."""
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Only the two columns an operator needs and, as ``kept_0`` and so on, those to be carried along, so no names clash.
+
+    A null text is empty.
+    """
+    rest = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)]
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *rest)
+
+
+def restored(keep: tuple[str, ...], prefix: str = "") -> list:
+    """The columns that ``id_and_text`` carried, under their own names."""
+    return [F.col(f"{prefix}kept_{k}").alias(c) for k, c in enumerate(keep)]
 
 
 class Scratch:

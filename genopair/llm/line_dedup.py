@@ -14,7 +14,7 @@ id; an empty table gives an empty table; other columns are ignored.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genopair.llm.common import Scratch, id_and_text
+from genopair.llm.common import Scratch, id_and_text, restored
 
 # What is stripped from both ends of a line, and the letters that are lower-cased.
 EDGE = " \t\n\x0b\x0c\r"
@@ -90,11 +90,11 @@ def hashed_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 
 
 def drop_common_lines(
-    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """doc_id, text without the lines found in ``min_docs`` documents or more, n_lines, n_dropped."""
+    """doc_id, text without the lines found in ``min_docs`` documents or more, n_lines, n_dropped, and the columns named in ``keep``."""
     spark = docs.sparkSession
-    docs = id_and_text(docs, id_col, text_col)
+    docs = id_and_text(docs, id_col, text_col, keep)
     hashed = hashed_lines(docs, min_chars)
     batch = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(batches)).cast("int")
 
@@ -114,11 +114,11 @@ def drop_common_lines(
 
     kept = docs.withColumn("text_hash", F.xxhash64("text")).alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_hash") == F.col("g.text_hash"))
-    kept = kept.join(gone.alias("g"), same, "left").select("d.doc_id", lines_of(F.col("d.text")).alias("lines"), F.coalesce("g.gone", F.array().cast("array<int>")).alias("gone"))
+    kept = kept.join(gone.alias("g"), same, "left").select("d.doc_id", lines_of(F.col("d.text")).alias("lines"), F.coalesce("g.gone", F.array().cast("array<int>")).alias("gone"), *(F.col(f"d.kept_{k}") for k in range(len(keep))))
     n_lines = F.size("lines")
     stay = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("gone"))
     text = F.array_join(F.transform(stay, lambda k: F.get("lines", k)), "\n")
-    return kept.select("doc_id", text.alias("text"), n_lines.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"))
+    return kept.select("doc_id", text.alias("text"), n_lines.cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), *restored(keep))
 
 
 # The same rows in DuckDB, for documents of given ids.

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from genopair.llm import ann, bpe, chat, embedding_dedup, line_dedup, minhash, packing, quality, toxicity
+from genopair.llm import ann, bpe, chat, embedding_dedup, line_dedup, minhash, packing, quality, suffix, toxicity
 from genopair.llm.common import table
 
 QUERIES, ORACLE = {}, {}
@@ -63,6 +63,11 @@ def op8_line_dedup(spark, sf_dir):
 ORACLE["op8_line_dedup"] = line_dedup.SQL
 
 
+@query
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "text")
+
+
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
