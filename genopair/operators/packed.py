@@ -2,24 +2,23 @@
 
 Genotype files store variants this way. Since a row holds every sample, both halves of a
 pair are in the same row, so pairing, encoding and counting need no shuffle of genotypes:
-each row is exploded by the list of pairs, coded, and summed in the same task. Only the
-counts (at most nine codes per variant and outcome class) travel.
+tasks hold the pairs as arrays of slots and count a variant's joint genotypes at once. Only
+the counts travel.
 """
 
-import json
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genopair.functions.encode import DOSAGE_LEVELS, dosage_code
-from genopair.operators.association import code_counts
-from genopair.operators.lookup import lookup_join
-from genopair.operators.pairs import encode_pairs, pair_calls
+from genopair.functions.encode import MATCH_TYPES
+from genopair.functions.encode_arrays import allele_cells, code_of_cell, dosage_cells, mismatch_type_cells
+from genopair.operators.lookup import lookup_join, union_all
+from genopair.operators.pairs import VARIANT, outcome_of_case
+from genopair.operators.roster import histograms, pair_slots, pieces, scan
 
 VARIANT_KEY = ["chrom", "variant_idx"]
 CHUNK = 1000
-# pairs named in the plan itself; beyond this the long form is used
-MAX_INLINE_PAIRS = 1_000_000
 
 
 def unpack(packed: DataFrame, samples: DataFrame, values: tuple = ("dosage",), keys: list = VARIANT_KEY) -> DataFrame:
@@ -32,40 +31,96 @@ def unpack(packed: DataFrame, samples: DataFrame, values: tuple = ("dosage",), k
     return lookup_join(rows, named, ["sample_idx"]).select(*keys, "sample_id", *values)
 
 
-def pair_slots(pairs: DataFrame, samples: DataFrame) -> DataFrame:
-    """Array slots of both samples of every case: ``case_id, d, r`` (NULL when absent)."""
-    slots = samples.select("sample_id", F.col("sample_idx").cast("int").alias("_slot"))
-    donors = slots.select(F.col("sample_id").alias("did"), F.col("_slot").alias("d"))
-    recipients = slots.select(F.col("sample_id").alias("rid"), F.col("_slot").alias("r"))
-    return pairs.join(donors, "did", "left").join(recipients, "rid", "left").select("case_id", "d", "r")
+def packed_pairs(packed: DataFrame, samples: DataFrame, pairs: DataFrame, values: tuple = ("dosage",), keys: list = VARIANT_KEY) -> DataFrame:
+    """What ``pair_calls`` gives on the long form, without shuffling the genotypes: one row per variant and pair."""
+    roster = pair_slots(pairs, samples)
+    kinds = [packed.schema[v].dataType.elementType.simpleString() for v in values]
+    columns = [f"{s}_{v} {kind}" for s in ("d", "r") for v, kind in zip(values, kinds)]
+    case = roster.schema["case_id"].dataType.simpleString()
+
+    def rows_of(sides, table):
+        n, m = sides[0].shape
+        cases = table["case_id"].combine_chunks()
+        cells = [pa.array(x.ravel(), mask=(x < 0).ravel()) for x in sides]
+        return np.repeat(np.arange(n), m), [cases.take(pa.array(np.tile(np.arange(m), n))), *(c.cast(t) for c, t in zip(cells, arrow * 2))]
+
+    arrow = [{"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}[k] for k in kinds]
+    found = [
+        scan(packed, keys, values, piece, rows_of, ", ".join([f"case_id {case}", *columns]), [None] * (1 + 2 * len(values)))
+        for piece in pieces(roster, F.col("case_id"))
+    ]
+    return union_all(found)
 
 
-def inline_table(rows: DataFrame, limit: int = MAX_INLINE_PAIRS) -> Column | None:
-    """A small table as one array literal of structs; None when it has more than ``limit`` rows.
+def _classes(outcomes: list) -> int:
+    """Classes of a case: a digit 0, 1 or 2 (another value) for each outcome, and one class for cases that miss any."""
+    return 3 ** len(outcomes) + 1
 
-    Only ids, slots and classes of the pairs are in it, never genotypes.
-    """
-    schema = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in rows.schema.fields)
-    # the extra row tells "too long" without a second pass
-    listed = [r[0] for r in rows.select(F.to_json(F.struct("*"))).limit(limit + 1).collect()]
-    if len(listed) > limit:
-        return None
-    return F.from_json(F.lit("[" + ",".join(listed) + "]"), f"array<struct<{schema}>>")
 
+def _class_number(outcomes: list) -> Column:
+    digits = [F.when(F.col(o).isin(0, 1), F.col(o).cast("int")).when(F.col(o).isNotNull(), 2) for o in outcomes]
+    number = sum((d * 3**k for k, d in enumerate(digits[1:], 1)), digits[0])
+    return F.coalesce(number, F.lit(_classes(outcomes) - 1))
 
-def paired_rows(packed: DataFrame, roster: Column, fields: list, values: tuple = ("dosage",), keys: list = VARIANT_KEY) -> DataFrame:
-    """One row per variant and roster entry with ``d_<value>, r_<value>``; a narrow step."""
-    rows = packed.select(*keys, *values, F.explode(roster).alias("_p"))
-    sides = [F.get(F.col(v), F.col(f"_p.{s}")).alias(f"{s}_{v}") for s in ("d", "r") for v in values]
-    return rows.select(*keys, *[F.col(f"_p.{f}").alias(f) for f in fields], *sides)
 
+def packed_mode_counts(
+    packed: DataFrame,
+    samples: DataFrame,
+    pairs: DataFrame,
+    outcome_table: DataFrame,
+    outcomes: list,
+    modes: tuple,
+    keys: list = VARIANT_KEY,
+    groups: tuple = (),
+    group: str = "disease",
+) -> DataFrame:
+    """Counts of every mode, outcome and group of cases from one scan: ``mode, grp, code, n, n0_<o>, n1_<o>`` per variant.
 
-def packed_pairs(packed: DataFrame, samples: DataFrame, pairs: DataFrame, values: tuple = ("dosage",), keys: list = VARIANT_KEY) -> DataFrame:
-    """What ``pair_calls`` gives on the long form, without shuffling the genotypes."""
-    roster = inline_table(pair_slots(pairs, samples))
-    if roster is None:
-        return pair_calls(unpack(packed, samples, values, keys), pairs, values, keys)
-    return paired_rows(packed, roster, ["case_id"], values, keys)
+    A task counts the joint cells of both dosages by class of case; every mode's codes are sums
+    of cells, so only the last step knows modes. ``groups`` are values of the outcome column
+    ``group``: their cases are counted apart, under ``grp``; without groups all cases count and
+    ``grp`` is null.
+    """
+    columns = [*outcomes, group] if groups else list(outcomes)
+    single = outcome_of_case(outcome_table, columns)
+    number = _class_number(outcomes)
+    n_classes = _classes(outcomes)
+    part = F.lit(0)
+    if groups:
+        part = F.lit(len(groups))
+        for k, value in enumerate(groups):
+            part = F.when(F.col(group) == value, k).otherwise(part)
+    joined = pair_slots(pairs, samples).join(single, "case_id", "left")
+    roster = joined.select("case_id", "d", "r", (part * n_classes + number).cast("int").alias("cls"))
+    n_parts = len(groups) + 1 if groups else 1
+    # which cells are in which output row, and which classes in which of its columns
+    labels = [(m, c) for m in modes for c in dict.fromkeys(code_of_cell(m))]
+    in_row = np.array([[c == x for x in code_of_cell(m)] for m, c in labels], np.int64)
+    digit = lambda k: np.arange(n_classes) // 3**k % 3
+    complete = np.arange(n_classes) < n_classes - 1
+    in_column = np.array([np.ones(n_classes, bool), *(complete & (digit(k) == v) for k in range(len(outcomes)) for v in (0, 1))], np.int64)
+    names = ["n", *(f"n{v}_{o}" for o in outcomes for v in (0, 1))]
+    counted = n_parts - 1 if groups else 1
+
+    def rows_of(sides, table):
+        classes = table["cls"].to_numpy()
+        found = histograms(dosage_cells(*sides), classes, 16, n_classes * n_parts)
+        found = found.reshape(len(found), 16, n_parts, n_classes)[:, :, :counted]
+        # variant, part, row, column
+        sums = np.einsum("vcpk,rc,jk->vprj", found, in_row, in_column, optimize=True)
+        v, p, r = np.nonzero(sums[..., 0])
+        picked = sums[v, p, r]
+        group_values = pa.array([groups[k] if groups else None for k in p.tolist()], pa.int64())
+        mode, code = pa.array([labels[k][0] for k in r.tolist()], pa.string()), pa.array([labels[k][1] for k in r.tolist()], pa.int32())
+        return v, [mode, group_values, code, *picked.T]
+
+    extra = ", ".join(["mode string", "grp bigint", "code int", *(f"{n} bigint" for n in names)])
+    types = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * len(names)]
+    found = [scan(packed, keys, ("dosage",), piece.select(["d", "r", "cls"]), rows_of, extra, types) for piece in pieces(roster, F.col("case_id"))]
+    if len(found) == 1:
+        return found[0]
+    sums = [F.sum(n).alias(n) for n in names]
+    return union_all(found).groupBy(*keys, "mode", "grp", "code").agg(*sums)
 
 
 def packed_code_counts(
@@ -77,68 +132,80 @@ def packed_code_counts(
     mode: str,
     keys: list = VARIANT_KEY,
 ) -> DataFrame:
-    """What ``code_counts`` gives on the long form, from packed rows.
-
-    The outcomes of a case are folded into one class number, and class and code into one
-    integer, so each exploded row is summed under a short fixed-width key.
-    """
-    single = outcome_table.groupBy("case_id").agg(*[F.min(o).alias(o) for o in outcomes])
-    joined = pair_slots(pairs, samples).join(single, "case_id", "left")
-    # one digit per outcome: 0, 1, or 2 for any other value; one more class for cases that miss an outcome
-    digits = [F.when(F.col(o).isin(0, 1), F.col(o).cast("int")).when(F.col(o).isNotNull(), 2) for o in outcomes]
-    number = sum((d * 3**k for k, d in enumerate(digits[1:], 1)), digits[0])
-    incomplete = 3 ** len(outcomes)
-    roster = inline_table(joined.select("d", "r", F.coalesce(number, F.lit(incomplete)).alias("cls")))
-    if roster is None:
-        paired = pair_calls(unpack(packed, samples, ("dosage",), keys), pairs, ("dosage",), keys)
-        return code_counts(encode_pairs(paired, mode, keys), outcome_table, outcomes, keys)
-    lowest, missing = min(DOSAGE_LEVELS[mode]), max(DOSAGE_LEVELS[mode]) + 1
-    slot = (F.coalesce(dosage_code(mode).cast("int"), F.lit(missing)) - lowest) * (incomplete + 1) + F.col("cls")
-    slotted = paired_rows(packed, roster, ["cls"], ("dosage",), keys).select(*keys, slot.alias("_slot"))
-    # a variant's rows are all in one task, so this aggregate is complete before its shuffle;
-    # laying the result out by variant once serves every later step on the same key
-    by_slot = slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n")).repartition(*keys)
-    code = F.floor(F.col("_slot") / (incomplete + 1)).cast("int") + lowest
-    by_class = by_slot.select(
-        *keys, F.when(code != missing, code).alias("code"), (F.col("_slot") % (incomplete + 1)).alias("_cls"), "_n"
-    )
-    sides = [
-        F.coalesce(
-            F.sum(F.when((F.col("_cls") < incomplete) & (F.floor(F.col("_cls") / 3**k) % 3 == value), F.col("_n"))), F.lit(0)
-        ).alias(f"n{value}_{o}")
-        for k, o in enumerate(outcomes)
-        for value in (0, 1)
-    ]
-    return by_class.groupBy(*keys, "code").agg(F.sum("_n").alias("n"), *sides)
+    """What ``code_counts`` gives on the long form, from packed rows."""
+    return packed_mode_counts(packed, samples, pairs, outcome_table, outcomes, (mode,), keys).drop("mode", "grp")
+
+
+def packed_allele_counts(packed: DataFrame, slots: DataFrame, pairs: DataFrame, status: DataFrame, mode: str, keys: list = VARIANT) -> DataFrame:
+    """Cases per code and status from packed alleles: ``code, n_case, n_control, n_other`` per variant; missing codes are left out."""
+    labels = ("case", "control")
+    number = F.lit(len(labels))
+    for k, name in enumerate(labels):
+        number = F.when(F.col("status") == name, k).otherwise(number)
+    roster = pair_slots(pairs, slots).join(status.select("case_id", "status"), "case_id", "left")
+    roster = roster.select("case_id", "d", "r", number.cast("int").alias("cls"))
+    n_codes = {"count": 3, "presence": 2}[mode]
+
+    def rows_of(sides, table):
+        found = histograms(allele_cells(mode, *sides), table["cls"].to_numpy(), n_codes + 1, len(labels) + 1)[:, :n_codes]
+        # every code of every variant, so that a variant nobody carries keeps its row
+        v, c = np.divmod(np.arange(len(found) * n_codes), n_codes)
+        return v, [c, *found[v, c].T]
+
+    extra = "code int, n_case bigint, n_control bigint, n_other bigint"
+    types = [pa.int32(), *[pa.int64()] * 3]
+    found = [scan(packed, keys, ("a1", "a2"), piece.select(["d", "r", "cls"]), rows_of, extra, types) for piece in pieces(roster, F.col("case_id"))]
+    if len(found) == 1:
+        return found[0]
+    return union_all(found).groupBy(*keys, "code").agg(*(F.sum(c).alias(c) for c in ("n_case", "n_control", "n_other")))
+
+
+def packed_type_counts(packed: DataFrame, slots: DataFrame, pairs: DataFrame, keys: list = VARIANT) -> DataFrame:
+    """Eight counts per variant over both slots of every pair: seven kinds of change and missing."""
+    roster = pair_slots(pairs, slots)
+    names = [*MATCH_TYPES, "missing"]
+
+    def rows_of(sides, table):
+        none = np.zeros(len(table), np.int64)
+        slot1, slot2 = mismatch_type_cells(*sides)
+        found = (histograms(slot1, none, 8, 1) + histograms(slot2, none, 8, 1))[:, :, 0]
+        return np.arange(len(found)), list(found.T)
+
+    extra = ", ".join(f"{n} bigint" for n in names)
+    found = [scan(packed, keys, ("a1", "a2"), piece, rows_of, extra, [pa.int64()] * 8) for piece in pieces(roster.select("case_id", "d", "r"), F.col("case_id"))]
+    if len(found) == 1:
+        return found[0]
+    return union_all(found).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names))
 
 
 def packed_codes(packed: DataFrame, samples: DataFrame, pairs: DataFrame, mode: str, chunk: int = CHUNK) -> DataFrame:
     """Encoded matrix, one row per variant and block of ``chunk`` cases, case order fixed by ``case_id``.
 
-    A row never grows beyond ``chunk`` codes, whatever the number of cases.
+    A row never grows beyond ``chunk`` codes, whatever the number of cases. A case with two
+    pairs has the code of its first pair by slots.
     """
     keys = [c for c in packed.columns if c != "dosage"]
     ordered = case_order(pairs)
-    slots = pair_slots(pairs, samples).join(ordered, "case_id").select("case_idx", "d", "r")
-    roster = inline_table(slots)
-    if roster is None:
-        paired = pair_calls(unpack(packed, samples, ("dosage",), keys), pairs, ("dosage",), keys)
-        return pack(encode_pairs(paired, mode, keys), ordered, chunk, keys)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_roster") - 1) / chunk).cast("int")),
-        lambda b: F.struct(
-            b.alias("block"),
-            F.transform(
-                F.slice("_roster", b * chunk + 1, F.lit(chunk)),
-                lambda p: dosage_code(mode, F.get(F.col("dosage"), p["d"]), F.get(F.col("dosage"), p["r"])),
-            ).alias("codes"),
-        ),
-    )
-    return (
-        packed.withColumn("_roster", F.sort_array(roster))
-        .select(*keys, F.explode(blocks).alias("b"))
-        .select(*keys, "b.block", "b.codes")
-    )
+    first = pair_slots(pairs, samples).groupBy("case_id").agg(F.min(F.struct("d", "r")).alias("s")).select("case_id", "s.*")
+    slots = ordered.join(first, "case_id", "left").select("case_idx", "d", "r")
+    block = F.floor(F.col("case_idx") / chunk).cast("int")
+    codes = np.array([-128 if c is None else c for c in code_of_cell(mode)], np.int8)
+
+    def rows_of(sides, table):
+        order = np.argsort(table["case_idx"].to_numpy(), kind="stable")
+        case = table["case_idx"].to_numpy()[order]
+        found = codes[dosage_cells(*sides)[:, order]]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(case // chunk)) + 1, [len(case)]]) if len(case) else np.zeros(1, np.int64)
+        sizes = np.diff(first)
+        n, m = len(found), len(sizes)
+        offsets = np.concatenate([[0], np.cumsum(np.tile(sizes, n))]).astype(np.int32)
+        flat = found.ravel()
+        lists = pa.ListArray.from_arrays(offsets, pa.array(flat, mask=flat == -128))
+        return np.repeat(np.arange(n), m), [np.tile(case[first[:-1]] // chunk, n), lists]
+
+    # whole blocks to a piece
+    found = [scan(packed, keys, ("dosage",), piece, rows_of, "block int, codes array<tinyint>", [pa.int32(), None]) for piece in pieces(slots, block)]
+    return union_all(found)
 
 
 def case_order(pairs: DataFrame) -> DataFrame:
@@ -153,16 +220,15 @@ def case_order(pairs: DataFrame) -> DataFrame:
 
 
 def pack(encoded: DataFrame, cases: DataFrame, chunk: int = CHUNK, keys: list = VARIANT_KEY) -> DataFrame:
-    """Long codes to rows of up to ``chunk`` codes in case order; cases without a row are NULL."""
+    """Long codes to rows of up to ``chunk`` codes in case order; cases without a row are NULL, of several codes the lowest counts."""
     placed = lookup_join(encoded.select(*keys, "case_id", "code"), cases.select("case_id", "case_idx"), ["case_id"])
     block = F.floor(F.col("case_idx") / chunk).cast("int")
     sizes = cases.groupBy(block.alias("block")).agg(F.count(F.lit(1)).cast("int").alias("_size"))
-    grouped = placed.groupBy(*keys, block.alias("block")).agg(
-        # at most ``chunk`` entries, one per case of the block
-        F.map_from_entries(
-            F.collect_list(F.struct((F.col("case_idx") % chunk).cast("int").alias("slot"), F.col("code").alias("code")))
-        ).alias("_by_slot")
-    )
+    # one entry per pair of the block's cases
+    entries = F.sort_array(F.collect_list(F.struct((F.col("case_idx") % chunk).cast("int").alias("slot"), F.col("code").alias("code"))))
+    grouped = placed.groupBy(*keys, block.alias("block")).agg(entries.alias("_e"))
+    first = F.filter("_e", lambda e, k: (k == 0) | (F.get("_e", k - 1)["slot"] != e["slot"]))
+    grouped = grouped.withColumn("_by_slot", F.map_from_entries(first)).drop("_e")
     return lookup_join(grouped, sizes, ["block"]).select(
         *keys,
         "block",
@@ -181,7 +247,7 @@ def unpack_codes(codes: DataFrame, cases: DataFrame, chunk: int = CHUNK) -> Data
 
 def by_case(encoded: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The transposed matrix: per case and run of ``chunk`` variant numbers, codes in variant order."""
-    block = F.floor(F.col("variant_idx") / chunk).cast("int")
+    block = F.floor(F.col("variant_idx") / chunk).cast("bigint")
     return encoded.groupBy("case_id", "chrom", block.alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("variant_idx", "code"))).alias("codes")
     )

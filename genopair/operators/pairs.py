@@ -52,20 +52,24 @@ def pair_roles(pairs: DataFrame) -> DataFrame:
 
 
 def pair_calls(calls: DataFrame, pairs: DataFrame, values: tuple = ("dosage",), keys: list = VARIANT) -> DataFrame:
-    """Donor and recipient values of every case side by side: ``d_<value>, r_<value>``.
+    """Donor and recipient values of every pair side by side: ``d_<value>, r_<value>``.
 
-    Each call meets the (sample, case, role) list once and one combined aggregate folds
+    Each call meets the (sample, pair, role) list once and one combined aggregate folds
     the two roles together, instead of joining the calls with themselves. Roles are
-    explicit, so the sign of a directed code never depends on file order. A case that
-    lacks one sample keeps its row with NULLs on that side.
+    explicit, so the sign of a directed code never depends on file order. A pair that
+    lacks one sample keeps its row with NULLs on that side, one that lacks both has none;
+    a case with two pairs has a row for each.
     """
-    tagged = lookup_join(calls.select(*keys, "sample_id", *values), pair_roles(pairs), ["sample_id"])
+    both = F.array(*[F.struct(F.col(c).alias("sample_id"), F.lit(role).alias("role")) for c, role in (("did", "D"), ("rid", "R"))])
+    roles = pairs.select("case_id", F.struct("did", "rid").alias("_pair"), F.explode(both).alias("s"))
+    roles = roles.select("s.sample_id", "case_id", F.xxhash64("_pair").alias("_pair"), "s.role")
+    tagged = lookup_join(calls.select(*keys, "sample_id", *values), roles, ["sample_id"])
     sides = [
         F.max(F.when(F.col("role") == role, F.col(v))).alias(f"{prefix}_{v}")
         for role, prefix in (("D", "d"), ("R", "r"))
         for v in values
     ]
-    return tagged.groupBy(*keys, "case_id").agg(*sides)
+    return tagged.groupBy(*keys, "case_id", "_pair").agg(*sides).drop("_pair")
 
 
 def encode_pairs(paired: DataFrame, mode: str, keys: list = VARIANT) -> DataFrame:
@@ -87,9 +91,21 @@ def recipient_calls(calls: DataFrame, cases: DataFrame, keys: list = VARIANT) ->
     )
 
 
+def outcome_of_case(outcomes: DataFrame, columns: list, key: str = "case_id") -> DataFrame:
+    """One whole row of the outcome table per case, never a mix of several.
+
+    It is the first in file order where the table has it (``file_order``, from ``read_outcomes``),
+    else the smallest by the columns' values.
+    """
+    row = F.struct(*columns)
+    first = F.min_by(row, F.col("file_order")) if "file_order" in outcomes.columns else F.min(row)
+    picked = outcomes.groupBy(key).agg(first.alias("_row"))
+    return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
 def with_outcome(encoded: DataFrame, outcomes: DataFrame, columns: list, key: str = "case_id") -> DataFrame:
     """Attach outcome columns by case. The outcome table is reduced to one row per case first."""
-    single = outcomes.groupBy(key).agg(*[F.min(c).alias(c) for c in columns])
+    single = outcome_of_case(outcomes, columns, key)
     return lookup_join(encoded, single, [key], "left")
 
 

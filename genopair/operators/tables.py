@@ -1,12 +1,13 @@
 """Contingency and frequency tables."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genopair.functions.encode import MATCH_TYPES
+from genopair.functions.encode import ALLELE_CODES, MATCH_TYPES
 from genopair.operators.lookup import fits_broadcast, lookup_join
+from genopair.operators.packed import packed_allele_counts, packed_pairs
 from genopair.operators.pairs import VARIANT
-from genopair.operators.quality import MIN_CALL_RATE, call_rate, filter_call_rate
+from genopair.operators.quality import MIN_CALL_RATE, call_rate, repeated_positions
 
 LEVELS = {"count": (0, 1, 2), "presence": (0, 1)}
 
@@ -73,6 +74,28 @@ def contingency(
     return tallied.groupBy("chrom", "pos").agg(*_cells(levels, floor))
 
 
+def packed_contingency(packed: DataFrame, slots: DataFrame, pairs: DataFrame, status: DataFrame, mode: str = "count", floor: int = 0) -> DataFrame:
+    """``contingency`` from packed alleles: one scan gives counts per variant, and only these are shuffled.
+
+    Positions that hold several variants need a case's codes summed; their rows alone are paired
+    case by case.
+    """
+    levels = LEVELS[mode]
+    counts = packed_allele_counts(packed, slots, pairs, status, mode)
+    cells = [
+        F.greatest(F.coalesce(F.sum(F.when(F.col("code") == c, F.col(f"n_{s}"))), F.lit(0)), F.lit(floor)).cast("bigint").alias(f"{s}_{c}")
+        for s in ("case", "control")
+        for c in levels
+    ]
+    # a variant has a row for each of its codes
+    table = counts.groupBy("chrom", "pos").agg(*cells, F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(levels)).drop("_n")
+    several = repeated_positions(packed.select("chrom", "pos"))
+    rows = lookup_join(packed, several, ["chrom", "pos"], "left_semi", salts=1)
+    paired = packed_pairs(rows, slots, pairs, ("a1", "a2"), VARIANT)
+    encoded = paired.select(*VARIANT, "case_id", ALLELE_CODES[mode]("d_a1", "d_a2", "r_a1", "r_a2").alias("code"))
+    return table.unionByName(contingency(encoded, status, mode, floor=floor))
+
+
 def _cells(levels: tuple, floor: int) -> list:
     """Aggregates over rows of ``status, code, n``."""
     return [
@@ -99,23 +122,28 @@ def contingency_at_call_rate(
 ) -> DataFrame:
     """Contingency of the variants called in at least ``min_rate`` of all cases.
 
-    At a position with one variant its called cases come out of the same aggregate as its
-    cells, so the matrix is read once. Only the rows at repeated positions are filtered
-    variant by variant first and then summed per case.
+    The matrix is read and paired once: its rows are counted by variant, status and code where no
+    other variant shares the position, and by case besides where one does. Rates come out of the
+    same counts, and what passes is added up by position.
     """
-    places = repeated.select("chrom", "pos")
-    alone = lookup_join(encoded, places, ["chrom", "pos"], "left_anti", salts=1)
-    tallied = (
-        lookup_join(alone.select("chrom", "pos", "case_id", "code"), status, ["case_id"], "left")
-        .groupBy("chrom", "pos", "status", "code")
-        .agg(F.count(F.lit(1)).alias("n"))
+    levels = LEVELS[mode]
+    labelled = lookup_join(encoded.select(*VARIANT, "case_id", "code"), status, ["case_id"], "left")
+    places = repeated.select("chrom", "pos").distinct().withColumn("_rep", F.lit(True))
+    marked = lookup_join(labelled, places, ["chrom", "pos"], "left", salts=1)
+    own_case = F.when(F.col("_rep"), F.col("case_id")).alias("_case")
+    tallied = marked.groupBy(*VARIANT, "status", own_case, "code").agg(F.count(F.lit(1)).alias("n"))
+    # a repeated position is a handful of variants, so a variant's counts meet in a window of its own rows
+    called = F.sum(F.when(F.col("code").isNotNull(), F.col("n")).otherwise(0)).over(Window.partitionBy(*VARIANT))
+    passing = tallied.withColumn("_called", called).filter(call_rate("_called", n_cases) >= min_rate)
+    by_case = passing.groupBy("chrom", "pos", "status", "_case", F.when(F.col("_case").isNull(), F.col("code")).alias("_code")).agg(
+        F.sum("n").alias("_n"), F.sum("code").alias("_sum")
     )
-    called = F.coalesce(F.sum(F.when(F.col("code").isNotNull(), F.col("n"))), F.lit(0)).alias("_called")
-    table = tallied.groupBy("chrom", "pos").agg(*_cells(LEVELS[mode], floor), called)
-    table = table.filter(call_rate("_called", n_cases) >= min_rate).drop("_called")
-    shared = lookup_join(encoded, places, ["chrom", "pos"], "left_semi", salts=1)
-    shared = filter_call_rate(shared, n_cases, min_rate, variants=variants)
-    return table.unionByName(contingency(shared, status, mode, floor=floor))
+    cells = by_case.select(
+        "chrom", "pos", "status",
+        F.when(F.col("_case").isNull(), F.col("_code").cast("bigint")).otherwise(F.col("_sum")).alias("code"),
+        F.when(F.col("_case").isNull(), F.col("_n")).otherwise(F.lit(1)).alias("n"),
+    )
+    return cells.groupBy("chrom", "pos").agg(*_cells(levels, floor))
 
 
 def floored_contingency(encoded: DataFrame, status: DataFrame, mode: str = "count", **kw) -> DataFrame:

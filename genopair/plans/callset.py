@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from genopair.functions.encode import ALLELE_CODES, gt_type_diff, mismatch_types
 from genopair.operators.association import chi_square, code_counts, logistic_factor, variant_levels, with_neg_log_p
 from genopair.operators.lookup import lookup_join
-from genopair.operators.packed import packed_pairs
+from genopair.operators.packed import packed_allele_counts, packed_pairs, packed_type_counts
 from genopair.operators.pairs import VARIANT, case_control, complete_pairs, pair_calls
 from genopair.operators.quality import MIN_ALLELE_NUMBER, filter_allele_number, repeated_positions
-from genopair.operators.tables import contingency, mismatch_type_frequency
+from genopair.operators.tables import contingency, mismatch_type_frequency, packed_contingency
 
 ALLELES = ("a1", "a2")
 FOUR = ("d_a1", "d_a2", "r_a1", "r_a2")
@@ -76,8 +76,27 @@ def packed_association_table(
     min_an: int = MIN_ALLELE_NUMBER,
 ) -> DataFrame:
     """As ``association_table`` from packed rows; ``slots`` tells each sample's place in the arrays."""
-    paired = packed_paired_alleles(packed, slots, samples, min_an)
-    return association_of_pairs(paired, filter_allele_number(packed, min_an), samples, mode, floor)
+    pairs = complete_pairs(samples)
+    status = case_control(pairs.withColumnRenamed("case_id", "group_id"))
+    table = packed_contingency(filter_allele_number(packed, min_an), slots, pairs, status, mode, floor)
+    return chi_square(table, mode)
+
+
+def packed_association_log_p(packed: DataFrame, slots: DataFrame, samples: DataFrame, mode: str = "count", **kw) -> DataFrame:
+    """The testable positions with -ln p, from packed rows."""
+    return with_neg_log_p(packed_association_table(packed, slots, samples, mode, **kw))
+
+
+def packed_group_logistic(
+    packed: DataFrame, slots: DataFrame, samples: DataFrame, mode: str = "count", min_an: int = MIN_ALLELE_NUMBER
+) -> DataFrame:
+    """Pair codes against the case/control label (1 for control), from packed rows."""
+    pairs = complete_pairs(samples)
+    status = case_control(pairs.withColumnRenamed("case_id", "group_id"))
+    counts = packed_allele_counts(filter_allele_number(packed, min_an), slots, pairs, status, mode)
+    n = F.col("n_case") + F.col("n_control") + F.col("n_other")
+    counts = counts.select(*VARIANT, "code", n.alias("n"), F.col("n_case").alias("n0_group_label"), F.col("n_control").alias("n1_group_label"))
+    return logistic_factor(variant_levels(counts, ["group_label"]))
 
 
 def association_log_p(calls: DataFrame, variants: DataFrame, samples: DataFrame, mode: str = "count", **kw) -> DataFrame:
@@ -96,4 +115,4 @@ def mismatch_type_table(calls: DataFrame, variants: DataFrame, samples: DataFram
 
 
 def packed_mismatch_type_table(packed: DataFrame, slots: DataFrame, samples: DataFrame, min_an: int = MIN_ALLELE_NUMBER) -> DataFrame:
-    return mismatch_type_frequency(encode_mismatch_types(packed_paired_alleles(packed, slots, samples, min_an)))
+    return packed_type_counts(filter_allele_number(packed, min_an), slots, complete_pairs(samples))

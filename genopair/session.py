@@ -1,6 +1,7 @@
 """Session settings and helpers shared by tests, bench and queries."""
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -29,11 +30,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf)
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder for tables that cut lineage.
 
-    It is named by ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a new temporary folder is made and set for the session.
+    It is named by ``spark.checkpoint.dir``. Where that is unset, a session on one machine, as in
+    tests, gets a new temporary folder; on a cluster its executors would not see such a folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="genopair-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from genopair.functions.ids import format_id
 from genopair.operators.hla import CASE_LOCI, case_column
-from genopair.operators.lookup import first_by, with_row_index
+from genopair.operators.lookup import first_by
 
 # Column names of the input files below are fixed values: they are what such files carry.
 
@@ -20,18 +20,27 @@ def read_delimited(spark: SparkSession, path, sep: str = "\t", header: bool = Tr
     return spark.read.option("header", header).option("sep", sep).csv(path)
 
 
+def _in_file_order(raw: DataFrame) -> DataFrame:
+    """Adds ``file_order``: file name, place of the block in it, and row in the block.
+
+    Spark packs blocks into partitions by size; row numbers only grow within a block.
+    """
+    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    return raw.withColumn("file_order", at)
+
+
 def read_outcomes(spark: SparkSession, path, key: str | None = None, integers: tuple = ("agvhi24", "agvhi34", "disease")) -> DataFrame:
-    """Outcome table keyed by ``case_id``, a string taken from the third column unless named."""
+    """Outcome table keyed by ``case_id``, a string taken from the third column unless named; ``file_order`` tells which row is first."""
     raw = read_delimited(spark, path, ",")
     key = key or raw.columns[2]
     rest = [F.col(c).try_cast("int").alias(c) if c in integers else F.col(c) for c in raw.columns if c != key]
-    return raw.select(F.col(key).cast("string").alias("case_id"), *rest)
+    return _in_file_order(raw).select(F.col(key).cast("string").alias("case_id"), *rest, "file_order")
 
 
 def read_cases(spark: SparkSession, path) -> DataFrame:
     """``case_id, did, rid``: the first row of each case in file order, ids formatted."""
-    rows = with_row_index(read_delimited(spark, path, ",").select("bmt_case_num", "nmdp_rid", "nmdp_did"))
-    return first_by(rows, ["bmt_case_num"], "i").select(
+    rows = _in_file_order(read_delimited(spark, path, ",")).select("bmt_case_num", "nmdp_rid", "nmdp_did", "file_order")
+    return first_by(rows, ["bmt_case_num"], "file_order").select(
         F.col("bmt_case_num").alias("case_id"),
         format_id("nmdp_did", "donor").alias("did"),
         format_id("nmdp_rid", "recipient").alias("rid"),
@@ -55,8 +64,8 @@ def read_hla(spark: SparkSession, path) -> DataFrame:
         "didbroadrace": "donor_broad_race",
         "didrolluprace": "donor_rollup_race",
     }
-    raw = read_delimited(spark, path, ",").select("bmt_case_num", "nmdp_rid", "nmdp_did", *described, *typings)
-    return first_by(with_row_index(raw), ["bmt_case_num"], "i").select(
+    raw = _in_file_order(read_delimited(spark, path, ",")).select("bmt_case_num", "nmdp_rid", "nmdp_did", *described, *typings, "file_order")
+    return first_by(raw, ["bmt_case_num"], "file_order").select(
         F.col("bmt_case_num").alias("case_id"),
         format_id("nmdp_did", "donor").alias("did"),
         format_id("nmdp_rid", "recipient").alias("rid"),

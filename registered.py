@@ -165,7 +165,7 @@ def callset_scan(spark, sf_dir):
 def outcome_csv_scan(spark, sf_dir):
     path = fx.new_folder(spark, "outcomes")
     fx.outcomes(spark, sf_dir).select("agvhi24", "agvhi34", "case_id", "disease").write.option("header", True).csv(path)
-    return sources.read_outcomes(spark, path)
+    return sources.read_outcomes(spark, path).drop("file_order")
 
 
 def _case_rows(spark, sf_dir):
@@ -607,6 +607,12 @@ def _callset(spark, sf_dir):
     return calls, fx.annotated_variants(calls), fx.samples(spark, sf_dir)
 
 
+def _packed_callset(spark, sf_dir):
+    """Packed alleles with their allele numbers, the samples' slots, and the samples."""
+    rows, slots = _packed_calls(fx.calls(spark, sf_dir), ("a1", "a2"))
+    return rows.withColumn("an", F.size(F.array_compact("a1")) * 2), slots, fx.samples(spark, sf_dir)
+
+
 @query(
     ot.sql(
         *CHI_ALLELE,
@@ -616,7 +622,7 @@ def _callset(spark, sf_dir):
 )
 def callset_association_count(spark, sf_dir):
     """Allele number filter, complete pairs, allele count code, contingency, chi-square, -ln p."""
-    return callset.association_log_p(*_callset(spark, sf_dir), "count")
+    return callset.packed_association_log_p(*_packed_callset(spark, sf_dir), "count")
 
 
 @query(
@@ -627,7 +633,7 @@ def callset_association_count(spark, sf_dir):
     )
 )
 def callset_association_presence(spark, sf_dir):
-    return callset.association_log_p(*_callset(spark, sf_dir), "presence")
+    return callset.packed_association_log_p(*_packed_callset(spark, sf_dir), "presence")
 
 
 @query(ot.sql(*CHI_ALLELE, select=f"SELECT chrom, pos, case_0, case_1, case_2, control_0, control_1, control_2, {ot.r6('stat')} AS stat, {ot.r6('p_value')} AS p_value, status FROM tested"))
@@ -954,7 +960,7 @@ def contingency_count(spark, sf_dir):
 def contingency_presence(spark, sf_dir):
     calls, variants, samples = _callset(spark, sf_dir)
     enc = callset.encode_alleles(callset.paired_alleles(calls, variants, samples), "presence")
-    return tables.contingency_rows(tables.contingency(enc, pairs.case_control(samples), "presence"), "presence")
+    return tables.contingency_rows(tables.contingency(enc, pairs.case_control(samples), "presence", repeated=quality.repeated_positions(variants)), "presence")
 
 
 CROWDED = [CALLS, fx.CROWDED_SQL, PAIRS, OUTCOMES, STATUS, ot.paired("paired", "crowded", "pairs", ("a1", "a2")), allele_sql("count")]
@@ -991,7 +997,7 @@ FLOORED = [*CHI_ALLELE[:-2], ot.contingency("cont", "encoded", "complete_status"
 def floored_contingency(spark, sf_dir):
     calls, variants, samples = _callset(spark, sf_dir)
     enc = callset.encode_alleles(callset.paired_alleles(calls, variants, samples), "count")
-    return tables.floored_contingency(enc, pairs.case_control(samples), "count")
+    return tables.floored_contingency(enc, pairs.case_control(samples), "count", repeated=quality.repeated_positions(variants))
 
 
 FREQUENCY = f"""
@@ -1011,10 +1017,7 @@ def mismatch_type_frequency(spark, sf_dir):
 @query(ot.sql(CALLS, VARIANTS, SAMPLES, COMPLETE, PASSING, COMPLETE_PAIRED, FREQUENCY, select="SELECT * FROM freq"))
 def mismatch_type_frequency_packed(spark, sf_dir):
     """The same counts from packed rows."""
-    calls = fx.calls(spark, sf_dir)
-    rows, slots = _packed_calls(calls, ("a1", "a2"))
-    rows = rows.withColumn("an", F.size(F.array_compact("a1")) * 2)
-    return callset.packed_mismatch_type_table(rows, slots, fx.samples(spark, sf_dir))
+    return callset.packed_mismatch_type_table(*_packed_callset(spark, sf_dir))
 
 
 @query(
@@ -1129,9 +1132,7 @@ def logistic_additive(spark, sf_dir):
 )
 def group_logistic(spark, sf_dir):
     """Allele codes against the case/control label."""
-    calls, variants, samples = _callset(spark, sf_dir)
-    enc = callset.encode_alleles(callset.paired_alleles(calls, variants, samples), "count")
-    return callset.group_logistic(enc, samples)
+    return callset.packed_group_logistic(*_packed_callset(spark, sf_dir), "count")
 
 
 # --- whole analyses on the customer x part matrix --------------------------------------------------------------
@@ -1209,12 +1210,7 @@ def _disease_sql():
 def recipient_disease_logistic(spark, sf_dir):
     """Recipient dosage against both outcomes within each disease."""
     rows, samples, pr, outcomes = _grid(spark, sf_dir)
-    return lookup.union_all(
-        [
-            dosage.recipient_disease_logistic(rows, samples, pr, outcomes, d, scope=()).withColumn("disease", F.lit(d))
-            for d in dosage.DISEASES
-        ]
-    )
+    return dosage.recipient_disease_logistics(rows, samples, pr, outcomes, scope=())
 
 
 # --- HLA and cohort -------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from genopair.operators import association, packed, pairs, quality, tables
+from genopair.operators import association, packed, pairs, quality, roster, tables
 from genopair.plans import callset, dosage
 from tests.conftest import rows
 
@@ -193,8 +193,9 @@ def cohort_data(spark):
         data.append((v % 3 + 1, 100 + v, "rs4" if v == 5 else f"rs{v}", v, calls))
     rows_ = spark.createDataFrame(data, "chrom int, pos bigint, snp string, variant_idx bigint, dosage array<tinyint>")
     samples = spark.createDataFrame([(f"s{k}", k) for k in range(n)], "sample_id string, sample_idx bigint")
-    # s0 is in two cases, one donor is unknown
+    # s0 is in two cases, one donor is unknown, one case has two pairs, and of one case nobody is known
     pr = [(f"c{k}", f"s{k}", f"s{k + 17}") for k in range(17)] + [("c98", "s0", "s36"), ("c99", "gone", "s35")]
+    pr += [("c3", "s20", "s4"), ("c97", "lost", "away")]
     cases = spark.createDataFrame(pr, "case_id string, did string, rid string")
     o = spark.createDataFrame(
         [(c, 2 if k == 8 else int(k % 2), None if k % 7 == 3 else int(k % 3 == 0), (10, 20, 40, 50)[k % 4]) for k, (c, _, _) in enumerate(pr) if c != "c16"],
@@ -206,8 +207,9 @@ def cohort_data(spark):
 def test_packed_pairs_equal_long_pairs(cohort_data, monkeypatch):
     rows_, samples, cases, _ = cohort_data
     want = rows(pairs.pair_calls(packed.unpack(rows_, samples), cases, keys=packed.VARIANT_KEY))
+    assert len(want) == 30 * 20
     assert rows(packed.packed_pairs(rows_, samples, cases)) == want
-    monkeypatch.setattr(packed, "inline_table", lambda *a, **k: None)
+    monkeypatch.setattr(roster, "PIECE_BYTES", 200)
     assert rows(packed.packed_pairs(rows_, samples, cases)) == want
 
 
@@ -218,13 +220,46 @@ def test_packed_counts_equal_long_counts(cohort_data, monkeypatch, mode):
     want = rows(association.code_counts(pairs.encode_pairs(paired, mode, packed.VARIANT_KEY), o, dosage.OUTCOMES, packed.VARIANT_KEY))
     got = packed.packed_code_counts(rows_, samples, cases, o, dosage.OUTCOMES, mode)
     assert rows(got) == want
-    monkeypatch.setattr(packed, "inline_table", lambda *a, **k: None)
+    monkeypatch.setattr(roster, "PIECE_BYTES", 200)
     assert rows(packed.packed_code_counts(rows_, samples, cases, o, dosage.OUTCOMES, mode)) == want
 
 
-def test_inline_table_stops_at_its_limit(spark):
-    df = spark.range(11).selectExpr("CAST(id AS INT) AS d")
-    assert packed.inline_table(df, 10) is None and packed.inline_table(df, 11) is not None
+def test_all_modes_and_groups_from_one_scan(cohort_data):
+    rows_, samples, cases, o = cohort_data
+    modes = ("count", "dr_genotype")
+    got = packed.packed_mode_counts(rows_, samples, cases, o, dosage.OUTCOMES, modes, groups=(10, 40))
+    for mode in modes:
+        for value in (10, 40):
+            chosen = o.filter(F.col("disease") == value)
+            some = cases.join(chosen.select("case_id"), "case_id", "left_semi")
+            want = packed.packed_code_counts(rows_, samples, some, chosen, dosage.OUTCOMES, mode)
+            mine = got.filter((F.col("mode") == mode) & (F.col("grp") == value)).select(*want.columns)
+            assert rows(mine) == rows(want)
+
+
+def test_packed_alleles_equal_long_alleles(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n, m = 24, 18
+    allele = lambda: [None if x < 0 else int(x) for x in rng.integers(-1, 4, n)]
+    data = [(1, 100 + v // 2 if v < 8 else 100 + v, f"rs{v}", v, allele(), allele()) for v in range(m)]
+    rows_ = spark.createDataFrame(data, "chrom int, pos bigint, snp string, variant_idx bigint, a1 array<tinyint>, a2 array<tinyint>")
+    slots = spark.createDataFrame([(f"s{k}", k) for k in range(n)], "sample_id string, sample_idx bigint")
+    pr = spark.createDataFrame([(f"c{k}", f"s{k}", f"s{k + 12}") for k in range(12)] + [("c3", "s1", "s2"), ("c97", "x", "y")], "case_id string, did string, rid string")
+    status = spark.createDataFrame([(f"c{k}", ("case", "control")[k % 2]) for k in range(11)], "case_id string, status string")
+    paired = pairs.pair_calls(packed.unpack(rows_, slots, ("a1", "a2"), pairs.VARIANT), pr, ("a1", "a2"))
+    for mode in ("count", "presence"):
+        want = rows(tables.contingency(callset.encode_alleles(paired, mode), status, mode, repeated=quality.repeated_positions(rows_)))
+        for size in (1 << 20, 150):
+            monkeypatch.setattr(roster, "PIECE_BYTES", size)
+            assert rows(tables.packed_contingency(rows_, slots, pr, status, mode)) == want
+    want = rows(tables.mismatch_type_frequency(callset.encode_mismatch_types(paired)))
+    assert rows(packed.packed_type_counts(rows_, slots, pr)) == want
+
+
+def test_an_outcome_row_is_taken_whole(spark):
+    o = spark.createDataFrame([("a", 1, 0, 2), ("a", 0, 1, 1), ("b", 0, 0, 1)], "case_id string, x int, y int, file_order int")
+    assert rows(pairs.outcome_of_case(o, ["x", "y"])) == [("a", 0, 1), ("b", 0, 0)]
+    assert rows(pairs.outcome_of_case(o.drop("file_order"), ["y", "x"])) == [("a", 0, 1), ("b", 0, 0)]
 
 
 @pytest.mark.parametrize("chunk", [4, 1000])
@@ -232,23 +267,27 @@ def test_packed_codes_and_back(cohort_data, monkeypatch, chunk):
     rows_, samples, cases, _ = cohort_data
     order = packed.case_order(cases)
     enc = pairs.encode_pairs(packed.packed_pairs(rows_, samples, cases), "count_directed", packed.VARIANT_KEY)
-    want = rows(enc)
     packed_keys = ["chrom", "variant_idx", "case_id", "code"]
+    # every case has a place, also one of which nobody is known; c3 has two pairs and one code
+    once = enc.filter("case_id <> 'c3'").unionByName(rows_.select("chrom", "variant_idx", F.lit("c97").alias("case_id"), F.lit(None).cast("tinyint").alias("code")))
+    want = rows(once.select(*packed_keys))
+
+    def without(df):
+        return rows(packed.unpack_codes(df, order, chunk).select(*packed_keys).filter("case_id <> 'c3'"))
+
     codes = packed.packed_codes(rows_, samples, cases, "count_directed", chunk)
-    assert rows(packed.unpack_codes(codes, order, chunk).select(*packed_keys)) == want
-    again = packed.pack(enc, order, chunk)
-    assert rows(packed.unpack_codes(again, order, chunk).select(*packed_keys)) == want
-    assert codes.agg(F.max(F.size("codes"))).first()[0] == min(chunk, 19)
-    monkeypatch.setattr(packed, "inline_table", lambda *a, **k: None)
-    far = packed.packed_codes(rows_, samples, cases, "count_directed", chunk)
-    assert rows(packed.unpack_codes(far, order, chunk).select(*packed_keys)) == want
+    assert without(codes) == want
+    assert without(packed.pack(enc, order, chunk)) == want
+    assert codes.agg(F.max(F.size("codes"))).first()[0] == min(chunk, 20)
+    monkeypatch.setattr(roster, "PIECE_BYTES", 100)
+    assert without(packed.packed_codes(rows_, samples, cases, "count_directed", chunk)) == want
 
 
 def test_matrix_by_case(cohort_data):
     rows_, samples, cases, _ = cohort_data
     enc = pairs.encode_pairs(packed.packed_pairs(rows_, samples, cases), "count", packed.VARIANT_KEY)
     by = packed.by_case(enc, 8)
-    assert by.agg(F.sum(F.size("codes"))).first()[0] == 30 * 19
+    assert by.agg(F.sum(F.size("codes"))).first()[0] == 30 * 20
     assert by.agg(F.max(F.size("codes"))).first()[0] <= 8
 
 
