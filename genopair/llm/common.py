@@ -1,12 +1,13 @@
 """Helpers shared by the operators: inputs, scratch tables, byte arithmetic."""
 
+import gc
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genopair.session import shared_folder
+from genopair.session import shared_folder, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,7 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text is empty.
     """
+    ship_package(docs.sparkSession)
     rest = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)]
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *rest)
 
@@ -31,6 +33,7 @@ class Scratch:
     """Tables of one run in the cluster's shared folder; they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
@@ -50,6 +53,11 @@ class Scratch:
     def read(self, path: str, schema=None) -> DataFrame:
         return (self.spark.read.schema(schema) if schema is not None else self.spark.read).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished steps; they would add up over the rounds."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Remove a table of this run that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -17,7 +17,6 @@ that share an id, or have none, follow each other by text, and rows without an i
 empty table gives an empty table; other columns are ignored.
 """
 
-import gc
 import hashlib
 
 import numpy as np
@@ -325,28 +324,21 @@ def _not_alone(firsts: DataFrame) -> DataFrame:
     return firsts.join(shared, "seed", "left_semi")
 
 
-def _release(spark) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps; they would add up over the rounds."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
     """uid, start and end of strings, ``length`` bytes or longer, all of whose windows occur earlier. ``docs`` has uid and text."""
-    spark = docs.sparkSession
     found = scratch.write(docs.select("uid", "text").mapInArrow(_find_suffixes(length), "seed bigint, uid bigint, code bigint"), "suffixes")
     again = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     codes = found.join(again, "seed", "left_semi").groupBy("uid").agg(F.collect_list("code").alias("codes"))
     codes = scratch.write(codes, "repeated-seeds")
     scratch.drop(found)
-    _release(spark)
+    scratch.release()
 
     texts = docs.select("uid", "text")
     with_codes = texts.join(codes.hint("shuffle_hash"), "uid")
     schema = "r1 bigint, r2 bigint, seed bigint, uid bigint, first bigint, code bigint"
     runs = scratch.write(with_codes.mapInArrow(_rank_runs(length), schema), "runs")
     scratch.drop(codes)
-    _release(spark)
+    scratch.release()
     firsts, later = _first_and_later(runs, scratch, "runs", ["code", "seed"])
     more = F.col("code").bitwiseAND((1 << _BITS) - 1)
     span = lambda df, n: df.select("uid", F.col("first").alias("start"), (F.col("first") + n + length).alias("end"))
@@ -354,11 +346,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
     codes = scratch.write(_not_alone(firsts).groupBy("uid").agg(F.collect_list("code").alias("codes")), "open-runs")
     scratch.drop(runs)
     scratch.drop(firsts)
-    _release(spark)
+    scratch.release()
 
     with_codes = texts.join(codes.hint("shuffle_hash"), "uid")
     strings = scratch.write(with_codes.mapInArrow(_cut_strings(length), "uid bigint, code bigint, string binary"), "strings")
-    _release(spark)
+    scratch.release()
     parts = scratch.write(strings.mapInArrow(_rank_parts(length), f"{schema}, more bigint"), "parts")
     firsts, later = _first_and_later(parts, scratch, "parts", ["code", "seed", "more"])
     spans.append(scratch.write(span(later, F.col("more")), "repeated-parts"))
@@ -369,7 +361,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
     scratch.drop(strings)
     _, later = _first_and_later(windows, scratch, "windows", [])
     spans.append(scratch.write(span(later, F.lit(0)), "repeated-windows"))
-    _release(spark)
+    scratch.release()
     return spans[0].unionByName(spans[1]).unionByName(spans[2])
 
 

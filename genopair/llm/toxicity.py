@@ -20,7 +20,9 @@ from genopair.llm.labelled import held_out, sample
 
 PER_CLASS = 5000  # labelled texts of either label that the model is fitted on, at most
 BITS = 20
-FEATURES = 4096
+FEATURES = 8192
+SURETY = 3.0  # standard deviations between the shares of a chosen n-gram
+LEAST_RATIO = 0.7
 THRESHOLD = 0.3
 ORDERS = (4, 5)
 SALTS = {n: np.uint64(n * 0xD1B54A32D192ED03 & (1 << 64) - 1) for n in ORDERS}
@@ -65,12 +67,12 @@ class Model:
         def score(text: str) -> float:
             x = ngrams(text)
             z = self.intercept + float(self.table[distinct(x[used[x]])].sum(dtype=np.float64))
-            return 1.0 / (1.0 + np.exp(-max(-60.0, min(60.0, z))))
+            return 0.0 if z == -np.inf else float(1.0 / (1.0 + np.exp(-max(-60.0, min(60.0, z)))))
 
         return score
 
 
-def _logistic(rows, values, y, weight, n_features, penalty=1e-2, steps=200):
+def _logistic(rows, values, y, weight, n_features, penalty=1e-3, steps=400):
     """Weighted, penalised logistic regression on sparse binary rows, by accelerated gradient steps.
 
     ``values`` scales each feature; ``rows`` is a list of arrays of feature numbers.
@@ -86,7 +88,7 @@ def _logistic(rows, values, y, weight, n_features, penalty=1e-2, steps=200):
     for _ in range(steps):
         z = np.bincount(row, x * w_look[col], n) + b_look
         g = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        new_w = w_look - (np.bincount(col, x * g[row], n_features) + penalty * 1e-2 * w_look) / lipschitz
+        new_w = w_look - (np.bincount(col, x * g[row], n_features) + penalty * w_look) / lipschitz
         new_b = b_look - g.sum() / lipschitz
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         k = (t - 1) / t_next
@@ -101,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     texts, totals = sample(docs, labels, label_col, per_class, folds, fold)
     none = np.zeros(0, np.int64)
     if not totals[0] or not totals[1]:
-        return Model(60.0 if totals[1] else -800.0, none, none)
+        return Model(60.0 if totals[1] else -np.inf, none, none)
     texts = Scratch(docs.sparkSession, "toxicity").write(texts, "sample")
 
     def count(batches):
@@ -120,8 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     p, q = (n1 + 1.0), (n0 + 1.0)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     have = min(totals[0], per_class), min(totals[1], per_class)
-    apart = np.abs(n1 / have[1] - n0 / have[0]) * np.abs(ratio)
-    chosen = np.sort(np.argsort(-apart, kind="stable")[:FEATURES])
+    # Of the n-grams whose shares differ by more than chance and by a sizeable ratio, the surest.
+    share = (n0 + n1) / sum(have)
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / have[0] + 1 / have[1]))
+    surety = np.abs(n1 / have[1] - n0 / have[0]) / spread
+    good = np.flatnonzero((surety >= SURETY) & (np.abs(ratio) >= LEAST_RATIO))
+    chosen = np.sort(good[np.argsort(-surety[good], kind="stable")[:FEATURES]])
     buckets, ratio = bucket[chosen], ratio[chosen]
 
     def features(batches):
