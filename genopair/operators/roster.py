@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genopair.session import ship_package
+
 PIECE_BYTES = 64 << 20
 CELLS_PER_STEP = 4 << 20
 
@@ -45,11 +47,6 @@ def pieces(roster: DataFrame, order: Column) -> list[pa.Table]:
     return [cut.where(F.col("_piece") == k).drop("_piece").toArrow() for k in range(n)]
 
 
-def sent(df: DataFrame, value):
-    """A value for every task of a scan; larger than a closure should be."""
-    return df.sparkSession.sparkContext.broadcast(value)
-
-
 def slots_of(table: pa.Table, name: str) -> np.ndarray:
     return table[name].cast(pa.int64()).fill_null(ABSENT).to_numpy()
 
@@ -93,7 +90,8 @@ def histograms(cells: np.ndarray, classes: np.ndarray, n_cells: int, n_classes:
 def scan(df: DataFrame, keys: list, values: tuple, roster: pa.Table, rows_of: Callable, extra: str, types: list) -> DataFrame:
     """One pass: ``rows_of(sides, roster)`` gives, for some rows of the scan, the number of each output row's
     input row and the columns named in ``extra``."""
-    held = sent(df, roster)
+    ship_package(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(roster)
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     names = [c.strip().split(" ")[0] for c in extra.split(",")] if extra else []
 
