@@ -396,9 +396,16 @@ def write_trios(spark: SparkSession, packed: DataFrame, sample_ids: DataFrame, f
     return sorted(r[0] for r in ordered.mapInArrow(write, "prefix string").collect())
 
 
-def write_vcf(spark: SparkSession, packed: DataFrame, sample_ids: DataFrame, folder: str, gzip: bool = False) -> list:
-    """VCF text from packed alleles: a header file and record files; returns the paths, header first."""
-    header = sample_ids.agg(F.sort_array(F.collect_list("sample_id")).alias("s")).select(
+def write_vcf(
+    spark: SparkSession, packed: DataFrame, sample_ids: DataFrame, folder: str, gzip: bool = False, backwards: bool = False, contig=None
+) -> list:
+    """VCF text from packed alleles: a header file and record files; returns the paths, header first.
+
+    ``backwards`` lists the samples, and their calls, in falling order; ``contig`` names a record's contig.
+    """
+    if backwards:
+        packed = packed.withColumns({"a1": F.reverse("a1"), "a2": F.reverse("a2")})
+    header = sample_ids.agg(F.sort_array(F.collect_list("sample_id"), asc=not backwards).alias("s")).select(
         F.concat_ws("\t", F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"), F.col("s").cast("array<string>")).alias("value")
     )
     header.coalesce(1).write.text(f"{folder}/header")
@@ -410,7 +417,7 @@ def write_vcf(spark: SparkSession, packed: DataFrame, sample_ids: DataFrame, fol
     )
     text = F.concat_ws(
         "\t",
-        F.concat(F.lit("chr"), F.col("chrom").cast("string")),
+        F.concat(F.lit("chr"), F.col("chrom").cast("string")) if contig is None else contig,
         F.col("pos").cast("string"),
         F.col("snp"),
         F.lit("A"),

@@ -9,7 +9,9 @@ lines and counts them; each block then becomes one read task, which knows its li
 import json
 import logging
 import os
-from collections import namedtuple
+import uuid
+import zlib
+from collections import defaultdict, namedtuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ from pyspark.sql.datasource import (
 )
 
 from genopair.operators.lookup import union_all, with_row_index
-from genopair.session import ship_package
+from genopair.session import shared_folder, ship_package
 
 log = logging.getLogger(__name__)
 
@@ -38,9 +40,13 @@ MAGIC = b"\x6c\x1b\x01"
 MISSING = -1
 A1_COPIES = {0b00: 2, 0b01: MISSING, 0b10: 1, 0b11: 0}
 CHROM_CODES = {"X": 23, "Y": 24, "XY": 25, "MT": 26, "M": 26}
+# Other contigs are numbered from here on by the checksum of their name.
+CONTIG_BASE = 1_000_000
+CONTIG_MASK = (1 << 30) - 1
 
 TARGET_BYTES = 32 << 20  # genotype bytes per task, four genotypes each
 LEAST_BYTES = 1 << 20
+MOST_TASKS = 100_000
 TYPICAL_BIM_LINE = 32
 BATCH_CELLS = 8 << 20  # decoded genotypes per Arrow batch
 
@@ -70,9 +76,11 @@ def _bytes(path, start, length):
 
 
 def chrom_number(name: str):
-    """Chromosome code as an integer; X, Y, XY and MT by their PLINK numbers, else None."""
-    name = name[3:] if name.lower().startswith("chr") else name
-    return int(name) if name.isdigit() else CHROM_CODES.get(name.upper())
+    """Chromosome code as an integer; X, Y, XY and MT by their PLINK numbers, other contigs by the checksum of their name."""
+    name = (name[3:] if name.lower().startswith("chr") else name).upper()
+    if name.isdigit():
+        return int(name)
+    return CHROM_CODES.get(name) or CONTIG_BASE + (zlib.crc32(name.encode()) & CONTIG_MASK)
 
 
 class _Range(InputPartition):
@@ -163,13 +171,19 @@ class BedSource(DataSource):
 
 class BedReader(DataSourceReader):
     def __init__(self, options):
-        prefixes = json.loads(options["prefixes"])
-        self.blocks = [_Block(prefixes[b[0]], *b[1:]) for b in json.loads(options["blocks"])]
+        filesystem, path = _filesystem(options["index"])
+        with filesystem.open_input_file(path) as f:
+            index = json.loads(f.read())
+        self.blocks = [_Block(index["prefixes"][b[0]], *b[1:]) for b in index["blocks"]]
         self.genotypes = options.get("genotypes", "true") == "true"
         self.count_a2 = options.get("countAllele", "a1") == "a2"
         self.chroms = json.loads(options.get("chroms", "null"))
         self.region = json.loads(options.get("region", "null"))
 
+    def __getstate__(self):
+        """What every task gets: all but the blocks, of which a task's own comes as its partition."""
+        return {k: v for k, v in self.__dict__.items() if k != "blocks"}
+
     def partitions(self):
         return self.blocks or [_Block()]
 
@@ -317,8 +331,9 @@ def read_plink(
     width = -(-n // 4)
     if target_bytes is None:
         # small inputs still give every core a task
-        share = sum(_size(p + ".bed") for p in present) // (2 * spark.sparkContext.defaultParallelism)
-        target_bytes = min(TARGET_BYTES, max(LEAST_BYTES, share))
+        total = sum(_size(p + ".bed") for p in present)
+        share = total // (2 * spark.sparkContext.defaultParallelism)
+        target_bytes = max(min(TARGET_BYTES, max(LEAST_BYTES, share)), total // MOST_TASKS)
     block_bytes = max(4096, TYPICAL_BIM_LINE * target_bytes // max(1, width))
     index = (
         spark.read.format("plink_bim_index")
@@ -328,10 +343,13 @@ def read_plink(
         .orderBy("file", "start")
         .collect()  # one row per read task
     )
+    of_file = defaultdict(list)
+    for b in index:
+        of_file[b["file"]].append(b)
     blocks, offset = [], 0
     for i, prefix in enumerate(present):
         row = 0
-        for b in (b for b in index if b["file"] == i):
+        for b in of_file[i]:
             if _touches(b, chroms, region):
                 blocks.append((i, n, b["start"], b["lines"], row, offset, b["chroms"], b["pos_lo"], b["pos_hi"]))
             row += b["lines"]
@@ -340,9 +358,16 @@ def read_plink(
             raise ValueError(f"{prefix}.bed is not a variant-major file of {row} variants and {n} samples")
         offset += row
 
+    # the list of blocks goes to the shared folder; plans and tasks only name it
+    place = f"{shared_folder(spark)}/plink-index-{uuid.uuid4().hex[:12]}.json"
+    filesystem, path = _filesystem(place)
+    filesystem.create_dir(os.path.dirname(path), recursive=True)
+    with filesystem.open_output_stream(path) as f:
+        f.write(json.dumps({"prefixes": present, "blocks": blocks}).encode())
+
     def load(genotypes):
-        reader = spark.read.format("plink_bed").option("blocks", json.dumps(blocks)).option("genotypes", genotypes)
-        reader = reader.option("countAllele", count_allele).option("prefixes", json.dumps(present))
+        reader = spark.read.format("plink_bed").option("index", place).option("genotypes", genotypes)
+        reader = reader.option("countAllele", count_allele)
         reader = reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
         if chroms is not None:
             reader = reader.option("chroms", json.dumps(sorted(chroms)))

@@ -5,7 +5,8 @@ from collections import namedtuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genopair.sources.plink import CHROM_CODES
+from genopair.operators.lookup import union_all, with_row_index
+from genopair.sources.plink import CHROM_CODES, CONTIG_BASE, CONTIG_MASK
 
 VcfData = namedtuple("VcfData", "packed samples")
 
@@ -13,40 +14,59 @@ VcfData = namedtuple("VcfData", "packed samples")
 FIXED_COLUMNS = 9
 
 
-def read_vcf(spark: SparkSession, path, partitions: int | None = None, compressed: bool | None = None) -> VcfData:
-    """``VcfData(packed, samples)`` of files that share one sample line.
+def read_vcf(spark: SparkSession, path, partitions: int | None = None, compressed: bool | None = None, chroms=None, region=None) -> VcfData:
+    """``VcfData(packed, samples)`` of one or more files over the same samples.
 
-    ``packed`` holds ``chrom, pos, snp, variant_idx, ref, alt, an, ac, numalt`` and the
+    ``packed`` holds ``chrom, contig, pos, snp, variant_idx, ref, alt, an, ac, numalt`` and the
     allele numbers of every sample in ``a1`` and ``a2`` (NULL when missing; a haploid call
-    has no ``a2``). A gzip file is one split, so its records are spread out after reading.
+    has no ``a2``). Samples are matched by name: a path whose ``#CHROM`` line lists them in
+    another order than the first one's is put in that order, one with other samples is refused,
+    and one without such a line, like the parts of a split file, follows the first. Records are
+    numbered without gaps, whatever is filtered. ``chroms`` and ``region=(chrom, start, end)``
+    drop records by their first two fields, before any other is looked at. A gzip file is one
+    split, so its records are spread out after reading.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    lines = spark.read.text(paths).withColumn("variant_idx", F.monotonically_increasing_id())
-    # the sample line is at the top of the first file; first() stops there
-    header = spark.read.text(paths[0]).filter(F.col("value").startswith("#CHROM")).first()
-    if header is None:
+    found = [spark.read.text(p).filter(F.col("value").startswith("#CHROM")).first() for p in paths]
+    if found[0] is None:
         raise ValueError(f"{paths[0]} has no #CHROM line")
-    names = header["value"].split("\t")[FIXED_COLUMNS:]
+    headers = [found[0]["value"] if h is None else h["value"] for h in found]
+    names = headers[0].split("\t")[FIXED_COLUMNS:]
     samples = spark.createDataFrame(list(enumerate(names)), "sample_idx bigint, sample_id string")
-
     if compressed is None:
         compressed = all(p.endswith((".gz", ".bgz")) for p in paths)
+
+    groups = {h: [p for p, own in zip(paths, headers) if own == h] for h in dict.fromkeys(headers)}
+    lines = union_all([_records(spark, group, header, k) for k, (header, group) in enumerate(groups.items())])
+    lines = with_row_index(lines, "variant_idx")
+    name, position = F.substring_index("value", "\t", 1), F.substring_index(F.substring_index("value", "\t", 2), "\t", -1)
+    lines = lines.select("value", "variant_idx", "_order", chrom_code(name).alias("chrom"), position.cast("bigint").alias("pos"))
+    if chroms is not None:
+        lines = lines.filter(F.col("chrom").isin(*chroms))
+    if region is not None:
+        lines = lines.filter((F.col("chrom") == region[0]) & F.col("pos").between(region[1], region[2]))
     if compressed:
         lines = lines.repartition(partitions) if partitions else lines.repartition("variant_idx")
-    records = lines.filter(~F.col("value").startswith("#")).select(
-        "variant_idx", F.split("value", "\t").alias("f")
-    )
+
+    orders = [_order_of(names, h.split("\t")[FIXED_COLUMNS:], groups[h][0]) for h in groups]
     f = F.col("f")
     complete = F.size(f) == FIXED_COLUMNS + len(names)
     info, alt = F.get(f, 7), F.split(F.get(f, 4), ",")
     no_alt = F.get(f, 4) == "."
     slot = F.array_position(F.split(F.get(f, 8), ":"), "GT").cast("int")
-    calls = F.when(complete, F.slice(f, FIXED_COLUMNS + 1, F.lit(max(len(names), 1)))).otherwise(
+    in_line = F.slice(f, FIXED_COLUMNS + 1, F.lit(max(len(names), 1)))
+    in_order = in_line
+    for k, order in enumerate(orders):
+        if order is not None:
+            places = F.array(*[F.lit(i) for i in order])
+            in_order = F.when(F.col("_order") == k, F.transform(places, lambda i: F.get(in_line, i))).otherwise(in_order)
+    calls = F.when(complete, in_order).otherwise(
         F.raise_error(F.concat(F.lit("record with a wrong number of fields at "), F.get(f, 0), F.lit(":"), F.get(f, 1)))
     )
-    parsed = records.select(
-        chrom_code(F.get(f, 0)).alias("chrom"),
-        F.get(f, 1).cast("bigint").alias("pos"),
+    parsed = lines.withColumn("f", F.split("value", "\t")).select(
+        "chrom",
+        F.get(f, 0).alias("contig"),
+        "pos",
         F.get(f, 2).alias("snp"),
         "variant_idx",
         F.get(f, 3).alias("ref"),
@@ -66,13 +86,33 @@ def read_vcf(spark: SparkSession, path, partitions: int | None = None, compresse
     return VcfData(packed, samples)
 
 
+def _records(spark: SparkSession, paths: list, header: str, number: int) -> DataFrame:
+    """Record lines of paths that share one sample line; another one among them, in a folder of files, stops the read."""
+    lines = spark.read.text(paths)
+    stray = F.col("value").startswith("#CHROM") & (F.col("value") != header)
+    message = F.concat(F.lit("another #CHROM line than its path's first one in "), F.col("_metadata.file_path"))
+    lines = lines.select(F.when(stray, F.raise_error(message)).otherwise(F.col("value")).alias("value"))
+    return lines.filter(~F.col("value").startswith("#")).withColumn("_order", F.lit(number))
+
+
+def _order_of(names: list, own: list, path: str) -> list | None:
+    """Where each of ``names`` stands in a file's own line; None when the lines are equal."""
+    if own == names:
+        return None
+    at = {n: i for i, n in enumerate(own)}
+    if len(at) != len(own) or set(at) != set(names):
+        raise ValueError(f"{path} lists other samples than the first file")
+    return [at[n] for n in names]
+
+
 def chrom_code(name: Column) -> Column:
-    """Chromosome name to its integer code; NULL for other contigs."""
+    """Chromosome name to its integer code; any other contig has a code made from its name."""
     bare = F.upper(F.regexp_replace(name, "^(?i)chr", ""))
     code = bare.try_cast("int")
     for text, number in CHROM_CODES.items():
         code = F.when(bare == text, F.lit(number)).otherwise(code)
-    return code
+    other = F.lit(CONTIG_BASE) + F.crc32(bare.cast("binary")).bitwiseAND(CONTIG_MASK)
+    return F.coalesce(code, F.when(F.length(bare) > 0, other.cast("int")))
 
 
 def _genotype(sample: Column, slot: Column) -> Column:

@@ -138,6 +138,63 @@ def vcf_scan(spark, sf_dir):
     return packed.unpack(data.packed, data.samples, ("a1", "a2"), keys)
 
 
+VCF_CELLS = "c.chrom, c.pos, c.snp, CAST(c.sample_id AS VARCHAR) AS sample_id, CAST(c.a1 AS INTEGER) AS a1, CAST(c.a2 AS INTEGER) AS a2"
+
+
+@query(ot.sql(CALLS, select=f"SELECT {VCF_CELLS}, c.variant_idx FROM calls c"))
+def vcf_sample_orders(spark, sf_dir):
+    """Two files that list the same samples in opposite orders; calls follow the names."""
+    calls = fx.calls(spark, sf_dir)
+    rows, ids, folder = fx.pack_calls(calls, ("a1", "a2")), calls.select("sample_id").distinct(), fx.new_folder(spark, "vcf")
+    first = fx.write_vcf(spark, rows.filter("variant_idx < 30").coalesce(1).sortWithinPartitions("variant_idx"), ids, f"{folder}/a")
+    other = fx.write_vcf(spark, rows.filter("variant_idx >= 30"), ids, f"{folder}/b", backwards=True)
+    # the record folder of the second file follows its own header
+    joined = spark.read.text(other[0]).unionByName(spark.read.text(other[1]))
+    joined.coalesce(1).write.text(f"{folder}/whole")
+    data = vcf.read_vcf(spark, [*first, f"{folder}/whole"])
+    index = ((F.col("pos") - 16000000) / 7919).cast("bigint")
+    numbers = data.packed.agg(F.min("variant_idx"), F.max("variant_idx"), F.count_distinct("variant_idx")).first()
+    if tuple(numbers) != (0, 63, 64):
+        raise ValueError(f"record numbers have gaps: {numbers}")
+    return packed.unpack(data.packed, data.samples, ("a1", "a2"), ["chrom", "pos", "snp"]).withColumn("variant_idx", index)
+
+
+@query(ot.sql(CALLS, select=f"SELECT {VCF_CELLS} FROM calls c WHERE c.chrom = 5 AND c.pos BETWEEN 16031676 AND 16300000"))
+def vcf_region(spark, sf_dir):
+    """A region of a VCF file, chosen before the sample fields are parsed."""
+    calls = fx.calls(spark, sf_dir)
+    paths = fx.write_vcf(spark, fx.pack_calls(calls, ("a1", "a2")), calls.select("sample_id").distinct(), fx.new_folder(spark, "vcf"))
+    data = vcf.read_vcf(spark, paths, region=(5, 16031676, 16300000))
+    return packed.unpack(data.packed, data.samples, ("a1", "a2"), ["chrom", "pos", "snp"])
+
+
+CONTIGS = ("GL000192.1", "GL000193.1")
+
+
+@query(
+    ot.sql(
+        CALLS, PAIRS, OUTCOMES, STATUS,
+        f"""renamed AS (SELECT CASE variant_idx % 2 WHEN 0 THEN '{CONTIGS[0]}' ELSE '{CONTIGS[1]}' END AS chrom, 100 + variant_idx // 2 AS pos,
+        snp, variant_idx, sample_id, a1, a2 FROM calls)""",
+        ot.paired("paired", "renamed", "pairs", ("a1", "a2")), allele_sql("count"), ot.contingency("cont", "encoded", "status", (0, 1, 2)),
+        select="SELECT chrom AS contig, pos, case_0, case_1, case_2, control_0, control_1, control_2 FROM cont",
+    )
+)
+def contigs_apart(spark, sf_dir):
+    """Contigs without a number, two at every position, from VCF to packed contingency tables."""
+    calls = fx.calls(spark, sf_dir)
+    v = F.col("variant_idx")
+    rows = fx.pack_calls(calls, ("a1", "a2")).withColumn("pos", F.lit(100) + F.floor(v / 2))
+    name = F.when(v % 2 == 0, CONTIGS[0]).otherwise(CONTIGS[1])
+    paths = fx.write_vcf(spark, rows, calls.select("sample_id").distinct(), fx.new_folder(spark, "vcf"), contig=name)
+    data = vcf.read_vcf(spark, paths)
+    pr = fx.pairs(spark, sf_dir).select("case_id", *[F.col(c).cast("string").alias(c) for c in ("did", "rid")])
+    table = tables.packed_contingency(data.packed, data.samples, pr, outcome_status(spark, sf_dir), "count")
+    code = F.col("chrom")
+    contig = F.when(code == vcf.chrom_code(F.lit(CONTIGS[0])), CONTIGS[0]).when(code == vcf.chrom_code(F.lit(CONTIGS[1])), CONTIGS[1])
+    return table.withColumn("contig", contig).drop("chrom")
+
+
 @query(
     ot.sql(
         CALLS,
@@ -168,6 +225,14 @@ def outcome_csv_scan(spark, sf_dir):
     return sources.read_outcomes(spark, path).drop("file_order")
 
 
+@query(ot.sql(SAMPLES, select='SELECT CAST(group_id AS VARCHAR) AS group_id, "group", subject_type, CAST(seq_id AS VARCHAR) AS seq_id FROM samples'))
+def sample_csv_scan(spark, sf_dir):
+    path = fx.new_folder(spark, "samples")
+    named = {"group_id": "GroupID", "group": "Group", "subject_type": "subjectType", "seq_id": "SeqID"}
+    fx.samples(spark, sf_dir).select(*[F.col(c).alias(n) for c, n in named.items()]).write.option("header", True).csv(path)
+    return sources.read_samples(spark, path)
+
+
 def _case_rows(spark, sf_dir):
     """Orders as case records: the customer is the case and comes up in many rows."""
     o = F.col("o_orderkey")
@@ -845,7 +910,7 @@ def distinct_positions(spark, sf_dir):
 @query(
     ot.sql(
         CALLS, PAIRS, PAIRED, encoded_sql("count"),
-        select="""SELECT case_id, chrom, CAST(variant_idx // 10 AS INTEGER) AS block,
+        select="""SELECT case_id, chrom, CAST(variant_idx // 10 AS BIGINT) AS block,
         string_agg(CAST(variant_idx AS VARCHAR) || '=' || coalesce(CAST(code AS VARCHAR), '.'), ',' ORDER BY variant_idx) AS codes FROM encoded GROUP BY ALL""",
     )
 )
@@ -1359,3 +1424,35 @@ def contingency_at_call_rate(spark, sf_dir):
     enc = callset.encode_alleles(pairs.pair_calls(calls, fx.pairs(spark, sf_dir), callset.ALLELES), "count")
     repeated = quality.repeated_positions(_variants_of(spark, sf_dir, fx.crowd_positions))
     return tables.contingency_at_call_rate(enc, outcome_status(spark, sf_dir), n_pairs(spark, sf_dir), repeated, min_rate=0.8)
+
+
+# --- strong associations ------------------------------------------------------------------------------------------
+
+
+@query(
+    ot.sql(
+        """items AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus
+        FROM lineitem GROUP BY ALL)""",
+        """encoded AS (SELECT 1 AS chrom, l_suppkey AS pos, 'x' AS snp, l_suppkey AS variant_idx, l_orderkey * 10 + l_linenumber AS case_id,
+        CASE WHEN l_linenumber % 5 < 2 THEN CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END WHEN l_returnflag = 'N' THEN 0 WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS code FROM items)""",
+        "status AS (SELECT l_orderkey * 10 + l_linenumber AS case_id, CASE l_linestatus WHEN 'F' THEN 'case' ELSE 'control' END AS status FROM items)",
+        ot.contingency("cont", "encoded", "status", (0, 1, 2)), ot.chi_square("tested", "cont", (0, 1, 2)),
+        select="""SELECT pos, round(-ln(p_value), 6) + 0.0 AS neg_log_p, round(p_value * pow(10.0, floor(-log10(p_value))), 6) + 0.0 AS p_digits,
+        CAST(floor(-log10(p_value)) AS INTEGER) AS p_exponent FROM tested WHERE p_value > 0 AND p_value < 1e-8""",
+    )
+)
+def strong_associations(spark, sf_dir):
+    """Far tails of the p-values, by their leading digits: a code that partly tells the line status, within each supplier."""
+    names = ("l_suppkey", "l_returnflag", "l_linestatus")
+    lines = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in names])
+    case = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("case_id")
+    told = F.col("l_linenumber") % 5 < 2
+    code = F.when(told, F.when(F.col("l_linestatus") == "F", 0).otherwise(1)).when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1)
+    code = code.otherwise(2).cast("tinyint").alias("code")
+    supplier = F.col("l_suppkey")
+    enc = lines.select(F.lit(1).alias("chrom"), supplier.alias("pos"), F.lit("x").alias("snp"), supplier.alias("variant_idx"), case, code)
+    status = lines.select(case, F.when(F.col("l_linestatus") == "F", "case").otherwise("control").alias("status"))
+    tested = association.with_neg_log_p(association.chi_square(tables.contingency(enc, status)))
+    exponent = F.floor(-F.log10("p_value"))
+    found = tested.filter("p_value < 1e-8")
+    return found.select("pos", "neg_log_p", (F.col("p_value") * F.pow(F.lit(10.0), exponent)).alias("p_digits"), exponent.cast("int").alias("p_exponent"))

@@ -171,7 +171,8 @@ def test_vcf(spark, folder, suffix):
     assert (got[100].a1, got[100].a2) == ([0, 1, None], [1, 1, None])
     assert (got[200].a1, got[200].a2) == ([0, 1, 2], [2, None, 1])
     assert (got[300].a1, got[300].a2) == ([0, None, 0], [0, None, None])
-    assert [got[p].chrom for p in (100, 200, 300)] == [1, 23, None]
+    assert [got[p].chrom for p in (100, 200, 300)] == [1, 23, plink.chrom_number("chrUn_1")]
+    assert [got[p].variant_idx for p in (100, 200, 300)] == [0, 1, 2] and got[300].contig == "chrUn_1"
     assert (got[100].an, got[100].ac, got[100].numalt) == (6, [2], 1)
     assert (got[200].alt, got[200].ac, got[200].numalt) == (["C", "G"], [1, 1], 2)
     assert (got[300].alt, got[300].an, got[300].ac, got[300].numalt) == ([], None, None, 0)
@@ -179,6 +180,78 @@ def test_vcf(spark, folder, suffix):
     assert rows(long.filter("pos = 200"), "sample_id", "a1", "a2") == [("A", 0, 2), ("B", 1, None), ("C", 2, 1)]
 
 
+def test_vcf_samples_are_matched_by_name(spark, folder):
+    lines = VCF.splitlines(keepends=True)
+    turned = lines[2].replace("A\tB\tC", "C\tA\tB")
+    for name, header in (("a", lines[2]), ("b", turned), ("c", lines[2].replace("\tC", "\tD"))):
+        with open(f"{folder}/{name}.vcf", "w") as f:
+            f.write("".join([*lines[:2], header, *lines[3:]]))
+    with open(f"{folder}/d.vcf", "w") as f:
+        f.write("".join(lines[3:]))
+    data = vcf.read_vcf(spark, [f"{folder}/{n}.vcf" for n in "abd"])
+    got = sorted((r.variant_idx, r.pos, tuple(r.a1)) for r in data.packed.collect())
+    assert [g[0] for g in got] == list(range(9))
+    assert sorted(g[2] for g in got if g[1] == 200) == sorted([(0, 1, 2), (0, 1, 2), (1, 2, 0)])
+    with pytest.raises(ValueError, match="other samples"):
+        vcf.read_vcf(spark, [f"{folder}/a.vcf", f"{folder}/c.vcf"])
+    with pytest.raises(Exception, match="another #CHROM line"):
+        vcf.read_vcf(spark, f"{folder}/[ab].vcf").packed.collect()
+
+
+def test_vcf_region_leaves_other_records_alone(spark, folder):
+    with open(f"{folder}/a.vcf", "w") as f:
+        f.write(VCF + "chr9\tx\n" + "chr1\t5000\tshort\n")
+    assert [r.pos for r in vcf.read_vcf(spark, f"{folder}/a.vcf", region=(1, 50, 400)).packed.collect()] == [100]
+    assert [r.pos for r in vcf.read_vcf(spark, f"{folder}/a.vcf", chroms=[23]).packed.collect()] == [200]
+
+
+def test_other_contigs_have_codes_of_their_own(spark):
+    names = ["1", "chrX", "MT", "GL000192.1", "chrUn_1", "HLA-A*01:01", ""]
+    got = [r.c for r in spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").select("k", vcf.chrom_code(F.col("n")).alias("c")).orderBy("k").collect()]
+    assert got[:3] == [1, 23, 26] and got[6] is None and len(set(got)) == len(got)
+    assert got[:6] == [plink.chrom_number(n) for n in names[:6]]
+
+
+def test_tasks_of_the_bed_reader_do_not_carry_the_blocks(folder):
+    import json
+    import pickle
+
+    sizes = []
+    for n in (10, 10_000):
+        path = f"{folder}/index-{n}.json"
+        with open(path, "w") as f:
+            f.write(json.dumps({"prefixes": ["p"], "blocks": [[0, 4, k, 1, k, 0, [1], 1, 2] for k in range(n)]}))
+        reader = plink.BedReader({"index": path})
+        assert len(reader.partitions()) == n
+        sizes.append(len(pickle.dumps(reader)))
+    assert sizes[0] == sizes[1]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from genopair.session import shared_folder
+
+    for master, ok in (("local[8]", True), ("local", True), ("spark://host:7077", False), ("local-cluster[3,2,1000]", False), ("yarn", False)):
+        held = {}
+        session = SimpleNamespace(conf=SimpleNamespace(get=held.get, set=held.__setitem__), sparkContext=SimpleNamespace(master=master))
+        if ok:
+            assert shared_folder(session) == held["spark.checkpoint.dir"]
+        else:
+            with pytest.raises(ValueError):
+                shared_folder(session)
+
+
+def test_first_row_is_that_of_the_first_file(spark, folder):
+    head = "bmt_case_num,nmdp_rid,nmdp_did\n"
+    with open(f"{folder}/a.csv", "w") as f:
+        f.write(head + "7,111111111,222222222\n")
+    with open(f"{folder}/b.csv", "w") as f:
+        f.write(head + "".join(f"{k},333333333,444444444\n" for k in range(5000)))
+    got = {r.case_id: r.rid for r in tables.read_cases(spark, [f"{folder}/a.csv", f"{folder}/b.csv"]).collect()}
+    assert len(got) == 5000 and got["7"] != got["8"]
+
+
 def test_vcf_refuses_short_records(spark, folder):
     with open(f"{folder}/a.vcf", "w") as f:
         f.write(VCF + "chr1\t400\trs4\tA\tC\t.\tPASS\t.\tGT\t0/0\n")
