@@ -14,14 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), empty_for_null: bool = True) -> DataFrame:
     """Only the two columns an operator needs and, as ``kept_0`` and so on, those to be carried along, so no names clash.
 
-    A null text is empty.
+    A null text is empty, unless it is to stay.
     """
     ship_package(docs.sparkSession)
     rest = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)]
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *rest)
+    text = F.col(f"`{text_col}`")
+    text = F.coalesce(text, F.lit("")) if empty_for_null else text
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *rest)
 
 
 def restored(keep: tuple[str, ...], prefix: str = "") -> list:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genopair.llm.common import Scratch, id_and_text
+from genopair.llm.common import Scratch, id_and_text, restored
 from genopair.llm.labelled import held_out, sample
 
 PER_CLASS = 5000  # labelled texts of either label that the model is fitted on, at most
@@ -151,21 +151,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns named in ``keep``, and the score of every whole text."""
+    """doc_id and score of every whole text, and the columns named in ``keep``, text among them as it was."""
+    rest = tuple(c for c in keep if c not in (id_col, text_col))
+    frame = id_and_text(docs, id_col, text_col, rest, empty_for_null=False)
 
     def run(batches):
         of = model.scorer()
         for batch in batches:
             s = pa.array([of(t or "") for t in batch["text"].to_pylist()], pa.float64())
-            rest = [c for c in batch.schema.names if c != "text" or "text" in keep]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), s], names=[*rest, "score"])
-
-    if keep:
-        docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *(F.col(f"`{c}`") for c in keep if c != "text"), F.col(f"`{text_col}`").alias("text"))
-    else:
-        docs = id_and_text(docs, id_col, text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text" or "text" in keep)
-    return docs.mapInArrow(run, f"{schema}, score double")
+            names = [c for c in batch.schema.names if c != "text" or text_col in keep]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), s], names=[*names, "score"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema if f.name != "text" or text_col in keep)
+    out = frame.mapInArrow(run, f"{schema}, score double")
+    return out.select("doc_id", "score", *([F.col("text").alias(text_col)] if text_col in keep else []), *restored(rest))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
