@@ -95,22 +95,26 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     there = messages.alias("a").join(known.alias("b"), _same("a", "b") & (F.col("a.parent_id") == F.col("b.msg_id")), "left")
     jump = there.select("a.tree_id", "a.msg_id", F.col("b.msg_id").alias("up"), F.col("a.score").alias("total"), F.lit(1).cast("bigint").alias("depth"))
-    jumps = [scratch.write(jump, "jump-0")]
+    jump = scratch.write(jump, "jump-0")
+    # Messages whose path is complete stay as they are; only the others are joined again.
+    rooted, active, jumps = jump.where("up IS NULL"), jump.where("up IS NOT NULL"), []
     limit = max(1, messages.count()).bit_length() + 1
-    while len(jumps) <= limit and not jumps[-1].where("up IS NOT NULL").isEmpty():
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        joined = a.join(b, _same("a", "b") & (F.col("a.up") == F.col("b.msg_id")), "left")
-        plus = lambda c: (F.col(f"a.{c}") + F.coalesce(F.col(f"b.{c}"), F.lit(0))).alias(c)
-        jumps.append(scratch.write(joined.select("a.tree_id", "a.msg_id", "b.up", plus("total"), plus("depth")), f"jump-{len(jumps)}"))
-    rooted = jumps[-1].where("up IS NULL").select("tree_id", "msg_id", "total", "depth")
-
-    answered = jumps[0].where("up IS NOT NULL").select("tree_id", F.col("up").alias("msg_id")).distinct()
+    while len(jumps) <= limit and not active.isEmpty():
+        jumps.append(active)
+        a, b = active.alias("a"), rooted.unionByName(active).alias("b")
+        joined = a.join(b, _same("a", "b") & (F.col("a.up") == F.col("b.msg_id")))
+        plus = lambda c: (F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c)
+        joined = scratch.write(joined.select("a.tree_id", "a.msg_id", "b.up", plus("total"), plus("depth")), f"jump-{len(jumps)}")
+        rooted, active = rooted.unionByName(joined.where("up IS NULL")), joined.where("up IS NOT NULL")
+    rooted = rooted.select("tree_id", "msg_id", "total", "depth")
+
+    answered = jump.where("up IS NOT NULL").select("tree_id", F.col("up").alias("msg_id")).distinct()
     leaves = rooted.alias("a").join(answered.alias("b"), _same("a", "b") & (F.col("a.msg_id") == F.col("b.msg_id")), "left_anti")
     order = Window.partitionBy("tree_id").orderBy(F.desc("total"), "msg_id")
     leaves = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches)
     walk = leaves.select("tree_id", F.col("msg_id").alias("leaf_id"), "branch", "msg_id")
-    for k, jump in enumerate(jumps[:-1]):
-        up = walk.alias("a").join(jump.where("up IS NOT NULL").alias("b"), _same("a", "b") & (F.col("a.msg_id") == F.col("b.msg_id")))
+    for k, hop in enumerate(jumps):
+        up = walk.alias("a").join(hop.alias("b"), _same("a", "b") & (F.col("a.msg_id") == F.col("b.msg_id")))
         walk = scratch.write(walk.unionByName(up.select("a.tree_id", "a.leaf_id", "a.branch", F.col("b.up").alias("msg_id"))), f"walk-{k}")
 
     placed = walk.alias("a").join(rooted.alias("b"), _same("a", "b") & (F.col("a.msg_id") == F.col("b.msg_id")))
