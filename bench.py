@@ -13,11 +13,13 @@ import sys
 import tempfile
 import time
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import fixture_views as fx  # noqa: E402
 import registered  # noqa: E402
-from genopair.plans import dosage  # noqa: E402
+from genopair.plans import callset, dosage  # noqa: E402
 from genopair.session import build_session  # noqa: E402
 from genopair.sources import plink, sinks, tables  # noqa: E402
 
@@ -49,6 +51,11 @@ def write_inputs(spark, folder):
     schema = "chrom int, pos bigint, snp string, variant_idx bigint, dosage array<tinyint>"
     sinks.write_packed_calls(variants.mapInArrow(dosages, schema), fx.grid_samples(spark, SF_DIR), folder)
 
+    saved = spark.read.parquet(f"{folder}/variants")
+    allele = lambda least: F.transform("dosage", lambda d: (d >= least).cast("tinyint"))
+    called = F.size(F.array_compact("dosage")) * 2
+    sinks.write_packed_calls(saved.select("chrom", "pos", "snp", "variant_idx", allele(2).alias("a1"), allele(1).alias("a2"), called.alias("an")), fx.grid_samples(spark, SF_DIR), f"{folder}/callset")
+
     names = "".join(f"F{k} {k} 0 0 0 -9\n" for k in range(n)).encode()
 
     def trios(batches):
@@ -79,6 +86,13 @@ def write_inputs(spark, folder):
     return sorted(r[0] for r in packed.mapInArrow(trios, "prefix string").collect())
 
 
+def cohort_of(pairs, outcomes):
+    """The pairs as a sample table, labelled by their first outcome."""
+    both = F.explode(F.array(F.struct(F.lit("D").alias("subject_type"), F.col("did").alias("seq_id")), F.struct(F.lit("R"), F.col("rid")))).alias("s")
+    rows = pairs.join(outcomes.select("case_id", "agvhi24"), "case_id").select(F.col("case_id").alias("group_id"), F.when(F.col("agvhi24") == 1, "a").otherwise("n").alias("group"), both)
+    return rows.select("group_id", "group", "s.*")
+
+
 def main():
     spark = build_session(f"local[{CPUS}]", spark__driver__memory="16g", spark__ui__showConsoleProgress="false")
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
@@ -88,6 +102,13 @@ def main():
 
     rest = (fx.grid_samples(spark, SF_DIR), fx.grid_pairs(spark, SF_DIR), fx.grid_outcomes(spark, SF_DIR))
     packed = tables.read_packed(spark, folder).packed
+    alleles, cohort = tables.read_packed(spark, f"{folder}/callset").packed, cohort_of(rest[1], rest[2])
+
+    def callset_association(mode):
+        return lambda: callset.packed_association_log_p(alleles, rest[0], cohort, mode)
+
+    def every_mode():
+        return dosage.mismatch_logistics(packed, *rest, ("count", "count_directed", "pres_abs", "dr_genotype", "recipient"), scope=())
 
     def packed_logistic(mode, **kw):
         return lambda: dosage.mismatch_logistic(packed, *rest, mode, scope=(), **kw)
@@ -109,6 +130,10 @@ def main():
         "packed_logistic_dr_genotype": packed_logistic("dr_genotype"),
         "packed_logistic_additive": packed_logistic("count", model="additive"),
         "packed_recipient_disease": disease,
+        "packed_logistic_every_mode": every_mode,
+        "packed_callset_count": callset_association("count"),
+        "packed_callset_presence": callset_association("presence"),
+        "packed_callset_types": lambda: callset.packed_mismatch_type_table(alleles, rest[0], cohort),
         "bed_logistic_count": from_bed,
         **{
             name: registered_query(name)

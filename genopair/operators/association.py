@@ -13,6 +13,7 @@ from genopair.operators.pairs import VARIANT, with_outcome
 from genopair.operators.tables import LEVELS
 
 NEWTON_STEPS = 25
+GRADIENT = 1e-8  # of a converged fit, for each case
 
 
 # --- chi-square on contingency tables --------------------------------------------------
@@ -122,7 +123,11 @@ def logistic_factor(levels: DataFrame) -> DataFrame:
 
 
 def logistic_additive(levels: DataFrame) -> DataFrame:
-    """Wald test of the slope of outcome on the numeric code, fitted by Newton steps on counts."""
+    """Wald test of the slope of outcome on the numeric code, fitted by Newton steps on counts.
+
+    ``status`` is also not_converged, without estimates, where the gradient at the last step is not
+    small beside the number of cases.
+    """
     fit = F.aggregate(
         F.sequence(F.lit(1), F.lit(NEWTON_STEPS)),
         _coefficients(F.lit(0.0), F.lit(0.0)),
@@ -142,19 +147,22 @@ def logistic_additive(levels: DataFrame) -> DataFrame:
     many = F.size("levels") >= 2
     low, high = F.get("levels", 0), F.get("levels", F.size("levels") - 1)
     out = fitted.withColumns({"ref_code": low["code"], "test_code": F.when(many, high["code"]), "_many": many})
+    cases = F.aggregate("levels", F.lit(0.0), lambda n, e: n + e["n0"] + e["n1"])
+    settled = F.coalesce(F.abs(s["g0"]) + F.abs(s["g1"]) <= GRADIENT * cases, F.lit(False))
     beta = F.when(overlap, F.col("_fit")["b1"])
     se = F.when(overlap & (det > 0), F.sqrt(s["h00"] / det))
-    return _wald(out, beta, se, overlap, "additive").drop("_fit", "_sums")
+    return _wald(out, beta, se, overlap, "additive", settled).drop("_fit", "_sums")
 
 
-def _wald(df: DataFrame, beta: Column, se: Column, fits: Column, model: str) -> DataFrame:
-    ok = F.col("_many") & fits
+def _wald(df: DataFrame, beta: Column, se: Column, fits: Column, model: str, settled: Column | None = None) -> DataFrame:
+    settled = F.lit(True) if settled is None else settled
+    ok = F.col("_many") & fits & settled
     return (
         df.withColumns({"beta": F.when(ok, beta), "se": F.when(ok, se)})
         .withColumns(
             {
                 "p_value": two_sided_normal_p(F.when(F.col("se") > 0, F.col("beta") / F.col("se"))),
-                "status": F.when(~F.col("_many"), "single_level").when(ok, "ok").otherwise("separation"),
+                "status": F.when(~F.col("_many"), "single_level").when(ok, "ok").when(fits, "not_converged").otherwise("separation"),
                 "model": F.lit(model),
             }
         )

@@ -66,9 +66,17 @@ def plink_to_parquet(spark: SparkSession, prefixes, out: str, missing_ok: bool =
 
 
 def vcf_to_parquet(spark: SparkSession, path, out: str, **kw) -> None:
-    """VCF records to a packed call set."""
+    """VCF records to a packed call set.
+
+    Text files give their records in file order. A gzip file is read as one split and spread out, so its
+    records are laid out by chromosome and position again: a task writes a stretch, and statistics prune.
+    """
     data = read_vcf(spark, path, **kw)
-    write_packed_calls(data.packed, data.samples, out)
+    paths = [path] if isinstance(path, str) else list(path)
+    packed = data.packed
+    if kw.get("compressed") or (kw.get("compressed") is None and all(p.endswith((".gz", ".bgz")) for p in paths)):
+        packed = packed.repartitionByRange("chrom", "pos", "variant_idx").sortWithinPartitions("chrom", "pos", "variant_idx")
+    write_packed_calls(packed, data.samples, out)
 
 
 def write_hml(report: DataFrame, path: str, project: str, version: str = "1.0.1", mode: str = "errorifexists") -> None:

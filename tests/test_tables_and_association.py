@@ -318,3 +318,13 @@ def test_contingency_at_call_rate_equals_filter_then_table(spark, matrix, status
     for rate in (0.88, 0.92):
         want = tables.contingency(quality.filter_call_rate(enc, 40, rate), status)
         assert rows(tables.contingency_at_call_rate(enc, status, 40, repeated, min_rate=rate)) == rows(want)
+
+
+def test_an_unsettled_fit_is_told(cohort_data, monkeypatch):
+    rows_, samples, cases, o = cohort_data
+    counts = packed.packed_code_counts(rows_, samples, cases, o, dosage.OUTCOMES, "count")
+    levels = association.variant_levels(counts, dosage.OUTCOMES, packed.VARIANT_KEY)
+    assert association.logistic_additive(levels).filter("status = 'not_converged'").count() == 0
+    monkeypatch.setattr(association, "NEWTON_STEPS", 1)
+    early = association.logistic_additive(levels).filter("status = 'not_converged'").collect()
+    assert early and all(r.beta is None and r.p_value is None for r in early)
