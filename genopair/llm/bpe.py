@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from genopair.llm.common import id_and_text
+from genopair.llm.common import id_and_text, small
 
 NO_MERGE = 1 << 60
 CACHED_PIECES = 500_000
@@ -298,13 +298,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         enc = encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                flat = [enc.encode(t) for t in part["text"].to_pylist()]
-                offsets = np.cumsum([0, *(len(b) // 4 for b in flat)]).astype(np.int32)
-                ids = pa.array(np.frombuffer(b"".join(flat), "<i4"))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(offsets, ids)], names=["doc_id", "ids"])
+        for part in small(batches, 256):
+            flat = [enc.encode(t) for t in part["text"].to_pylist()]
+            offsets = np.cumsum([0, *(len(b) // 4 for b in flat)]).astype(np.int32)
+            ids = pa.array(np.frombuffer(b"".join(flat), "<i4"))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(offsets, ids)], names=["doc_id", "ids"])
 
     docs = id_and_text(docs, id_col, text_col)
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -315,7 +313,7 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col:
 
     def run(batches):
         dec = Decoder(encoder(tokenizer).merges)
-        for batch in batches:
+        for batch in small(batches):
             texts = [dec.feed(np.array(ids or [], "<u4").tobytes()) + dec.finish() for ids in batch["ids"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -329,7 +327,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     def run(batches):
         enc = encoder(tokenizer)
         dec = Decoder(enc.merges)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch["text"].to_pylist():
                 ids_sha, text_sha, n, chars = hashlib.sha256(), hashlib.sha256(), 0, 0

@@ -78,6 +78,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def small(batches, rows: int = 512):
+    """Batches of at most ``rows`` rows, so that a task holds Python copies of a few texts only."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def buffers(ids: list, texts: list, limit: int = 4 << 20):
     """Lists of rows whose texts together stay near ``limit`` bytes: (ids, list of UTF-8 bytes)."""
     part_ids, part, size = [], [], 0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genopair.llm.bpe import encoder
-from genopair.llm.common import Scratch, id_and_text
+from genopair.llm.common import Scratch, id_and_text, small
 
 CAPACITY = 2048
 PIECES_PER_BUCKET = 1 << 20
@@ -31,7 +31,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str =
 
     def run(batches):
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = enc.encode(text) + b"\0\0\0\0"

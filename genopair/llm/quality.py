@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genopair.llm.common import Scratch, id_and_text
+from genopair.llm.common import Scratch, id_and_text, small
 from genopair.llm.labelled import held_out, sample
 
 PER_CLASS = 2000  # labelled texts of either label that vote, at most
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_clas
     texts = Scratch(docs.sparkSession, "quality").write(texts, "sample")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = [features(t).astype(np.float16).tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.binary()), batch["label"]], names=["doc_id", "x", "label"])
 
@@ -104,7 +104,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(docs, labels)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch["text"].to_pylist()
             s = [model.score(texts[k : k + BLOCK]) for k in range(0, len(texts), BLOCK)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(s) if s else np.zeros(0))], names=["doc_id", "score"])

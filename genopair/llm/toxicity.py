@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genopair.llm.common import Scratch, id_and_text, restored
+from genopair.llm.common import Scratch, id_and_text, restored, small
 from genopair.llm.labelled import held_out, sample
 
 PER_CLASS = 5000  # labelled texts of either label that the model is fitted on, at most
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
 
     def count(batches):
         seen, distinct = np.zeros((2, 1 << BITS), np.int64), _Distinct()
-        for batch in batches:
+        for batch in small(batches):
             for text, y in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
                 seen[y, distinct(ngrams(text))] += 1
         found = np.flatnonzero(seen.any(axis=0))
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     def features(batches):
         number, distinct = np.full(1 << BITS, -1, np.int32), _Distinct()
         number[buckets] = np.arange(len(buckets))
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text in batch["text"].to_pylist():
                 x = ngrams(text)
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         of = model.scorer()
-        for batch in batches:
+        for batch in small(batches):
             s = pa.array([of(t or "") for t in batch["text"].to_pylist()], pa.float64())
             names = [c for c in batch.schema.names if c != "text" or text_col in keep]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), s], names=[*names, "score"])
