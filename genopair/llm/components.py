@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from genopair.llm.common import Scratch
 
 
-def _round(edges: DataFrame, large: bool) -> DataFrame:
+def _round(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:
     """``edges`` (u > v). Large: neighbours greater than u meet the smallest neighbour of u; small: the others."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # A table of its own, so that Spark can split the join on a vertex that many edges share.
+        least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -36,7 +37,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     check = lambda df: tuple(df.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0))).first())
     before = check(edges)
     while True:
-        after = scratch.write(_round(_round(edges, True), False), "stars")
+        after = scratch.write(_round(_round(edges, True, scratch), False, scratch), "stars")
         scratch.drop(edges)
         edges, now = after, check(after)
         if now == before:

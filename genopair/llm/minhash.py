@@ -9,9 +9,11 @@ Jaccard similarity. Points are drawn in order of time and a process ends once it
 component, so long texts cost little more than one point for each shingle.
 
 Texts with equal multisets are one class from the start. Bands of the signature propose
-candidates; in each bucket a growing number of members, chosen by hash, is compared with those of
-other components, exactly, on the multisets. Rounds go on until every bucket lies in one component
-or all its pairs were compared, so a large group of copies costs its size rather than its square.
+candidates, which are verified exactly, on the multisets. First each member of a bucket meets the
+bucket's most central one, which unites a group of copies at the cost of its size. Pairs of a
+bucket that are still in different components are compared, too, but for those that can't be
+similar: because what a text shares with any other undecided one weighs too little, alone or
+beside the other's weight. So no link between different texts that share a band is lost.
 
 Defined results: a text of one to four words is one shingle; a null or empty text, or one of white
 space, is alone in its class; a row without an id is alone, with a null class; rows that share an
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genopair.llm.common import Scratch, buffers, id_and_text, mix64
+from genopair.llm.common import Scratch, buffers, id_and_text, mix64, small
 from genopair.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
+ROUNDING = 1e-9
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _SPACE = np.zeros(256, bool)
@@ -114,7 +117,7 @@ def signatures(n_texts: int, text: np.ndarray, h: np.ndarray, count: np.ndarray,
 
 def _sketch(batches, bands: int, rows: int):
     """Two 64-bit sums that tell multisets apart, the number of shingles, and a hash for each band."""
-    for batch in batches:
+    for batch in small(batches):
         for ids, texts in buffers(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
             text, h, count = shingles(texts)
             sig = signatures(len(texts), text, h, count, bands * rows)
@@ -138,18 +141,34 @@ def _sketch(batches, bands: int, rows: int):
 
 def _bags(batches):
     """The multiset of each text: sorted hashes and their counts, as bytes."""
-    for batch in batches:
+    for batch in small(batches):
         for ids, texts in buffers(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
             text, h, count = shingles(texts)
             at = np.searchsorted(text, np.arange(len(texts) + 1))
             spans = list(zip(at[:-1], at[1:]))
             count = count.astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field("doc_id").type), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([count[a:b].tobytes() for a, b in spans], pa.binary())],
-                names=["doc_id", "hashes", "counts"],
+                [
+                    pa.array(ids, batch.schema.field("doc_id").type),
+                    pa.array([int(count[a:b].sum()) for a, b in spans], pa.int64()),
+                    pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([count[a:b].tobytes() for a, b in spans], pa.binary()),
+                ],
+                names=["doc_id", "total", "hashes", "counts"],
             )
 
 
+def _shingle_rows(batches):
+    """Multisets as rows of hash and count."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            hashes, counts = (part[c].to_pylist() for c in ("hashes", "counts"))
+            doc = np.repeat(part["doc_id"].to_numpy(), [len(x) // 8 for x in hashes])
+            c = np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.frombuffer(b"".join(hashes), np.int64)), pa.array(c)], names=["doc_id", "h", "c"])
+
+
 def overlap(a: bytes, ca: bytes, b: bytes, cb: bytes) -> float:
     """Weighted Jaccard similarity of two multisets."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -164,7 +183,7 @@ def overlap(a: bytes, ca: bytes, b: bytes, cb: bytes) -> float:
 
 def _verify(similarity: float):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             cols = [batch[c].to_pylist() for c in ("hashes", "counts", "hub_hashes", "hub_counts")]
             ok = [overlap(*r) >= similarity for r in zip(*cols)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -183,46 +202,83 @@ def classes(
 
     # Equal multisets are one class; its smallest id stands for it. The bands are a function of the multiset.
     some = sketch.where("n > 0 AND doc_id IS NOT NULL")
-    reps = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # A table of its own, so that Spark can split the join on a multiset that many texts share.
+    reps = scratch.write(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
     member = scratch.write(some.select("doc_id", "k1", "k2").join(reps, ["k1", "k2"]).select("doc_id", "rep"), "members")
     own = member.where("doc_id = rep").select("doc_id").distinct()
     banded = some.join(own, "doc_id", "left_semi").select("doc_id", F.posexplode("bands").alias("band", "h"))
-    bucket = banded.select(F.xxhash64("band", "h").alias("bucket"), "doc_id")
-    shared = bucket.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("bucket")
-    buckets = scratch.write(bucket.join(shared, "bucket", "left_semi").distinct(), "buckets")
+    bucket = banded.select("doc_id", "band", F.xxhash64("band", "h").alias("bucket"))
+    shared = bucket.groupBy("bucket").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    shared = scratch.write(shared, "shared")
+    buckets = scratch.write(bucket.join(shared.select("bucket", "size"), "bucket").distinct(), "buckets")
     asked = buckets.select("doc_id").distinct()
-    texts = docs.join(asked, "doc_id", "left_semi")
-    bags = scratch.write(texts.mapInArrow(_bags, "doc_id bigint, hashes binary, counts binary"), "bags")
+    bags = docs.join(asked, "doc_id", "left_semi").mapInArrow(_bags, "doc_id bigint, total bigint, hashes binary, counts binary")
+    bags = scratch.write(bags, "bags")
+    scratch.release()
 
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "doc_id"), "doc_id")
-    # Rows that share an id link its multisets; pairs found so far, as a forest.
-    links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(asked.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    links, labels, tested = scratch.write(links, "links"), None, 0
-    while not buckets.isEmpty():
-        width = tested + 1
-        known = buckets if labels is None else buckets.join(labels, "doc_id", "left")
-        label = F.col("doc_id") if labels is None else F.coalesce("component", "doc_id")
-        known = known.select("bucket", "doc_id", label.alias("label"))
-        hubs = known.withColumn("at", F.row_number().over(order)).where(F.col("at") <= tested + width).where(F.col("at") > tested)
-        hubs = hubs.select("bucket", F.col("doc_id").alias("hub"), F.col("label").alias("hub_label"))
-        pairs = known.join(hubs, "bucket").where("label <> hub_label")
-        pairs = pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-        sides = pairs.join(bags.withColumnRenamed("doc_id", "a"), "a")
+    def verified(pairs):
+        sides = pairs.join(bags.drop("total").withColumnRenamed("doc_id", "a"), "a")
         sides = sides.join(bags.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hub_hashes"), F.col("counts").alias("hub_counts")), "b")
-        found = sides.select("a", "b", "hashes", "counts", "hub_hashes", "hub_counts").mapInArrow(_verify(similarity), "a bigint, b bigint")
-        links = scratch.write(links.unionByName(found), "links")
-        labels = scratch.write(components(links, scratch).withColumnRenamed("vertex", "doc_id"), "labels")
-        links = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
-        tested += width
-        left = buckets.join(labels, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-        split = left.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-        split = split.where(F.col("lo") < F.col("hi")).where(F.col("n") > tested + 1).select("bucket")
-        buckets = scratch.write(buckets.join(split, "bucket", "left_semi"), "buckets")
-
-    out = sketch.select("doc_id")
+        return sides.select("a", "b", "hashes", "counts", "hub_hashes", "hub_counts").mapInArrow(_verify(similarity), "a bigint, b bigint")
+
+    # Every member meets the one of its bucket that shares most buckets with others, as what the others are copies of does.
+    centre = buckets.groupBy("doc_id").agg(F.sum("size").alias("weight"))
+    weighed = buckets.select("bucket", "doc_id").join(centre, "doc_id")
+    hubs = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("m")).select("bucket", (-F.col("m.minus")).alias("hub"))
+    pairs = buckets.select("bucket", "doc_id").join(hubs, "bucket").where("doc_id <> hub")
+    pairs = scratch.write(pairs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), "first-pairs")
+    # Rows that share an id link its multisets.
+    links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(asked.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    links = scratch.write(links.unionByName(verified(pairs)), "first-links")
+    scratch.release()
+    labels = scratch.write(components(links, scratch).withColumnRenamed("vertex", "doc_id"), "first-labels")
+
+    rest = _undecided(buckets, labels, bags, similarity, scratch)
+    more = _pairs_left(rest, similarity).join(pairs, ["a", "b"], "left_anti")
+    links = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("b"))
+    links = scratch.write(links.unionByName(verified(more)), "links")
+    scratch.release()
+    labels = scratch.write(components(links, scratch).withColumnRenamed("vertex", "rep"), "labels")
+
     of_id = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    if labels is not None:
-        of_id = of_id.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    else:
-        of_id = of_id.withColumnRenamed("rep", "class_id")
-    return out.join(of_id, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    of_id = of_id.join(labels, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    return sketch.select("doc_id").join(of_id, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _undecided(buckets: DataFrame, labels: DataFrame, bags: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Members of buckets that lie in several components, without those that can have no link: bucket, band, doc_id, label, n, common.
+
+    ``common`` is the weight of a text's shingles that another undecided text holds as well. Two texts
+    have no more in common than either's, so one whose share of it is below the similarity is alone, and
+    so is one whose share does not suffice for the shortest member of its bucket.
+    """
+    labelled = buckets.join(labels, "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    rest, n = scratch.write(labelled, "labelled"), None
+    for k in range(3):
+        split = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        rest = rest.join(split, "bucket", "left_semi").drop("n", "common")
+        members = rest.select("doc_id").distinct()
+        held = bags.join(members, "doc_id", "left_semi")
+        apart = held.mapInArrow(_shingle_rows, "doc_id bigint, h bigint, c bigint").groupBy("h")
+        apart = apart.agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other"), F.sum("c").alias("c")).where("doc_id = other")
+        apart = apart.groupBy("doc_id").agg(F.sum("c").alias("apart"))
+        n = held.select("doc_id", F.col("total").alias("n")).distinct().join(apart, "doc_id", "left")
+        n = n.select("doc_id", "n", (F.col("n") - F.coalesce("apart", F.lit(0))).alias("common")).where(F.col("common") >= (similarity - ROUNDING) * F.col("n"))
+        weighed = scratch.write(rest.join(n, "doc_id"), f"weighed-{k}")
+        shortest = weighed.groupBy("bucket").agg(F.min("n").alias("shortest"))
+        suffices = F.col("common") * (1 + similarity) >= (similarity - ROUNDING) * (F.col("n") + F.col("shortest"))
+        rest = scratch.write(weighed.join(shortest, "bucket").where(suffices).drop("shortest"), f"undecided-{k}")
+    return rest
+
+
+def _pairs_left(rest: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of one bucket and two components whose weights allow the similarity, each in the first bucket it shares.
+
+    A similarity s needs an overlap of s / (1 + s) of both weights together.
+    """
+    before = Window.partitionBy("doc_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    rest = rest.withColumn("earlier", F.collect_list("bucket").over(before))
+    x, y = rest.alias("x"), rest.alias("y")
+    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.label") != F.col("y.label"))
+    enough = F.least("x.common", "y.common") * (1 + similarity) >= (similarity - ROUNDING) * (F.col("x.n") + F.col("y.n"))
+    return x.join(y, near & enough & ~F.arrays_overlap("x.earlier", "y.earlier")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
