@@ -88,7 +88,7 @@ def write_inputs(spark, folder):
 
 def cohort_of(pairs, outcomes):
     """The pairs as a sample table, labelled by their first outcome."""
-    both = F.explode(F.array(F.struct(F.lit("D").alias("subject_type"), F.col("did").alias("seq_id")), F.struct(F.lit("R"), F.col("rid")))).alias("s")
+    both = F.explode(F.array(*[F.struct(F.lit(role).alias("subject_type"), F.col(c).alias("seq_id")) for role, c in (("D", "did"), ("R", "rid"))])).alias("s")
     rows = pairs.join(outcomes.select("case_id", "agvhi24"), "case_id").select(F.col("case_id").alias("group_id"), F.when(F.col("agvhi24") == 1, "a").otherwise("n").alias("group"), both)
     return rows.select("group_id", "group", "s.*")
 
