@@ -85,7 +85,7 @@ def small(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
-def buffers(ids: list, texts: list, limit: int = 4 << 20):
+def buffers(ids: list, texts: list, limit: int = 1 << 20):
     """Lists of rows whose texts together stay near ``limit`` bytes: (ids, list of UTF-8 bytes)."""
     part_ids, part, size = [], [], 0
     for i, t in zip(ids, texts):
