@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genopair.llm.common import Scratch, id_and_text, mix64, restored
+from genopair.llm.common import Scratch, id_and_text, mix64, restored, small
 
 LENGTH = 100
 SEED = 37
 PART = 8
-BUFFER = 2 << 20
+BUFFER = 1 << 20
 
 _BASE = 0x5851F42D4C957F2D
 _LETTERS = [mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)]
@@ -133,7 +133,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _find_suffixes(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = [t.encode("utf-8") for t in batch["text"].to_pylist()]
             for ids, offsets, parts in _slices(batch["uid"].to_pylist(), texts, length):
                 own, rank, seed, first, last = _suffixes(parts, length)
@@ -146,7 +146,7 @@ def _find_suffixes(length: int):
 
 def _texts_with_codes(batches):
     """uid, bytes and sorted codes of each text."""
-    for batch in batches:
+    for batch in small(batches, 128):
         uids, texts, codes = batch["uid"].to_pylist(), batch["text"].to_pylist(), batch["codes"]
         for k in range(batch.num_rows):
             yield uids[k], texts[k].encode("utf-8"), np.sort(codes[k].values.to_numpy())
@@ -282,7 +282,7 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def _remove(batches):
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
             data, kept, at = text.encode("utf-8"), [], 0
@@ -318,16 +318,16 @@ def _first_and_later(ranked: DataFrame, scratch: Scratch, name: str, more: list[
     return firsts, ranked.join(firsts.select(*key), key, "left_anti")
 
 
-def _not_alone(firsts: DataFrame) -> DataFrame:
-    """Those whose seed rank another one shares."""
-    shared = firsts.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+def _not_alone(firsts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Those whose seed rank another one shares. The shared ranks are a table, so that Spark can split a join on a frequent one."""
+    shared = scratch.write(firsts.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), name)
     return firsts.join(shared, "seed", "left_semi")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
     """uid, start and end of strings, ``length`` bytes or longer, all of whose windows occur earlier. ``docs`` has uid and text."""
     found = scratch.write(docs.select("uid", "text").mapInArrow(_find_suffixes(length), "seed bigint, uid bigint, code bigint"), "suffixes")
-    again = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    again = scratch.write(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "again")
     codes = found.join(again, "seed", "left_semi").groupBy("uid").agg(F.collect_list("code").alias("codes"))
     codes = scratch.write(codes, "repeated-seeds")
     scratch.drop(found)
@@ -343,7 +343,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
     more = F.col("code").bitwiseAND((1 << _BITS) - 1)
     span = lambda df, n: df.select("uid", F.col("first").alias("start"), (F.col("first") + n + length).alias("end"))
     spans = [scratch.write(span(later, more), "repeated-runs")]
-    codes = scratch.write(_not_alone(firsts).groupBy("uid").agg(F.collect_list("code").alias("codes")), "open-runs")
+    codes = scratch.write(_not_alone(firsts, scratch, "shared-by-runs").groupBy("uid").agg(F.collect_list("code").alias("codes")), "open-runs")
     scratch.drop(runs)
     scratch.drop(firsts)
     scratch.release()
@@ -354,7 +354,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> D
     parts = scratch.write(strings.mapInArrow(_rank_parts(length), f"{schema}, more bigint"), "parts")
     firsts, later = _first_and_later(parts, scratch, "parts", ["code", "seed", "more"])
     spans.append(scratch.write(span(later, F.col("more")), "repeated-parts"))
-    open_parts = _not_alone(firsts).groupBy("uid", "code").agg(F.collect_list(F.struct("first", "more")).alias("parts"))
+    open_parts = _not_alone(firsts, scratch, "shared-by-parts").groupBy("uid", "code").agg(F.collect_list(F.struct("first", "more")).alias("parts"))
     windows = strings.join(open_parts, ["uid", "code"]).mapInArrow(_rank_windows(length), "r1 bigint, r2 bigint, uid bigint, first bigint")
     windows = scratch.write(windows, "windows")
     scratch.drop(parts)
