@@ -145,11 +145,12 @@ def _find_suffixes(length: int):
 
 
 def _texts_with_codes(batches):
-    """uid, bytes and sorted codes of each text."""
+    """uid, bytes and codes of each text, by first window; the codes' own order turns the two halves of a run at a part's border around."""
     for batch in small(batches, 128):
         uids, texts, codes = batch["uid"].to_pylist(), batch["text"].to_pylist(), batch["codes"]
         for k in range(batch.num_rows):
-            yield uids[k], texts[k].encode("utf-8"), np.sort(codes[k].values.to_numpy())
+            c = codes[k].values.to_numpy()
+            yield uids[k], texts[k].encode("utf-8"), c[np.argsort(_decode(c)[1])]
 
 
 def _stretches(batches, length: int):

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from genopair.llm import suffix
@@ -80,6 +81,34 @@ def test_texts_longer_than_a_buffer():
     assert windows == len(data) - 99
 
 
+def test_stretches_hold_their_runs():
+    """Runs that a part's border has split lie in their stretch as others do, also where one ends there."""
+    r = random.Random(2)
+    for n in (1_100_000, 1_700_000, 1_700_000, 2_500_000, 2_500_000):
+        data = bytes(r.choices(range(97, 123), k=n))
+        codes = []
+        for _, offsets, parts in suffix._slices([7], [data], 100):
+            own, _, seed, first, last = suffix._suffixes(parts, 100)
+            codes.append(suffix._code(*(x + np.array(offsets)[own] for x in (seed, first, last))))
+        columns = [pa.array([7]), pa.array([data.decode()]), pa.array([r.sample(list(np.concatenate(codes)), sum(map(len, codes)))])]
+        batch = pa.RecordBatch.from_arrays(columns, names=["uid", "text", "codes"])
+        found = 0
+        for out in suffix._cut_strings(100)([batch]):
+            _, first, last = suffix._decode(out["code"].to_numpy())
+            assert out["string"].to_pylist() == [data[a : b + 100] for a, b in zip(first.tolist(), last.tolist())]
+            found += len(first)
+        assert found == sum(map(len, codes))
+
+
+def test_copies_of_texts_longer_than_a_buffer(spark):
+    r = random.Random(3)
+    text = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    long = [text(n) for n in (1_100_000, 1_700_000, 2_500_000)]
+    near = "a start of its own " + "".join(long[1][at : at + 5000] + "!" for at in range(0, len(long[1]), 5000))
+    rows = list(enumerate([*long, *long, near]))
+    assert run(cases.docs(spark, rows)) == brute(rows)
+
+
 def test_what_is_left_of_split_characters_goes_from_the_text(spark):
     rows = [(1, "é" * 120), (2, "x" + "é" * 60)]
     got = {r.doc_id: r for r in suffix.remove_repeats(cases.docs(spark, rows), keep=("lang",)).collect()}
