@@ -70,6 +70,33 @@ def test_links_of_the_table(spark):
     assert [got[i] for i, _ in rows] == want.tolist()
 
 
+class Narrow:
+    """The nearest points by brute force, but a beam below 128 finds a point itself only."""
+
+    def __init__(self, x):
+        self.x = x.astype(np.float32)
+
+    def search(self, queries, beam):
+        d = 2 - 2 * queries @ self.x.T
+        near = np.argsort(d, axis=1, kind="stable")[:, :beam]
+        dist = np.take_along_axis(d, near, 1)
+        lost = (np.arange(beam) > 0) & (beam < 128) | (dist > 0.2)
+        return np.where(lost, -1, near), np.where(lost, np.inf, dist)
+
+
+def test_an_audit_sees_rare_links():
+    """One pair of near vectors among 600: the audit is of them, not of points that only match themselves."""
+    x = np.random.default_rng(4).normal(size=(600, 32))
+    x[500] = x[77] + 0.01
+    x = embedding_dedup._unit(x)
+    keys = np.random.default_rng(5).permutation(600) - 300
+    index = x, np.arange(600), np.ones(600, int), Narrow(x), keys
+    row, point = embedding_dedup._Search(index, 0.95)(x, keys)
+    assert sorted(zip(row.tolist(), point.tolist())) == [(77, 500), (500, 77)]
+    row, point = embedding_dedup._Search(index, 0.95)(x[[77, 3]], np.array([1000, 1001]))
+    assert sorted(zip(row.tolist(), point.tolist())) == [(0, 77), (0, 500), (1, 3)]
+
+
 def exact(rows, query, k):
     good = sorted({(i, tuple(v)) for i, v in usable(rows)})
     q = dict(good)[query]
