@@ -1,12 +1,12 @@
-"""Repeated byte strings by distributed prefix doubling on sampled suffixes.
+"""Repeated byte strings by fingerprints at sampled positions.
 
 A string of ``length`` bytes that occurs twice contains, both times at the same place, the smallest
-hash of its ``SEED``-byte substrings; only positions that are smallest in some window are suffixes
-to be sorted, one for each run of windows that they speak for. Spark groups (rank, position)
-rows: first by the seed's rank, then by ranks of growing strings around it, made of differences
-of prefix hashes. Positions whose rank is unique leave. A run of windows whose whole string has an
-earlier copy is settled as repeated, and so is not split; the others are reranked in parts of
-``PART`` windows and then window by window, until each is unique or past the threshold. Equal rows
+hash of its ``SEED``-byte substrings; only positions that are smallest in some window are looked
+at, one for each run of windows that they speak for. Spark groups (rank, position) rows: first by
+the seed's rank, then by those of whole runs, of their parts and of single windows around it, made
+of differences of prefix hashes. Nothing is doubled. Positions whose rank is unique leave. A run of windows whose whole string has an
+earlier copy is settled as repeated, and so is not split; the others are ranked once more in
+parts of ``PART`` windows, and what is left of these window by window. Equal rows
 are combined before they are shuffled, so a passage in a third of all texts is no hot group, and a
 text meets its positions by joins on its own number.
 
