@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from genopair.llm import ann, bpe, chat, embedding_dedup, line_dedup, minhash, packing, quality, suffix, toxicity
+from genopair.llm import alignment, ann, bpe, chat, embedding_dedup, hard_negatives, html_text, line_dedup, minhash, packing, quality, suffix, toxicity
 from genopair.llm.common import table
 
 QUERIES, ORACLE = {}, {}
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, PIECE_BPE = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def query(f):
@@ -120,3 +120,22 @@ def op9_suffix_dedup(spark, sf_dir):
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    id_, label = F.col("vec_id"), F.col("label")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), id_ % 100 == 0, F.when(id_ % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+ORACLE["op11_hard_negatives"] = hard_negatives.SQL
+
+
+@query
+def op12_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
