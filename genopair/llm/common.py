@@ -26,9 +26,9 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), *rest)
 
 
-def restored(keep: tuple[str, ...], prefix: str = "") -> list:
-    """The columns that ``id_and_text`` carried, under their own names."""
-    return [F.col(f"{prefix}kept_{k}").alias(c) for k, c in enumerate(keep)]
+def restored(keep: tuple[str, ...], prefix: str = "", results: tuple[str, ...] = ()) -> list:
+    """The columns that ``id_and_text`` carried, under their own names; one named like a result has ``kept_`` before its name."""
+    return [F.col(f"{prefix}kept_{k}").alias(f"kept_{c}" if c in results else c) for k, c in enumerate(keep)]
 
 
 class Scratch:
