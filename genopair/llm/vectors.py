@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SHARD = 100_000
+SHARD_BYTES = 512 << 20  # of a shard's vectors as doubles; an index, a value of one row, holds half as much again
 LEAST_SHARDS = 8
-QUERIES_PER_BLOCK = 4096
+BLOCK_BYTES = 8 << 20  # of a block of queries; an index is sent once for each
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -25,8 +26,10 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return v.where(F.size("v") == (common["d"] if common else 0))
 
 
-def shards_for(n: int) -> int:
-    return max(LEAST_SHARDS, -(-n // ROWS_PER_SHARD))
+def shards_for(n: int, dimensions: int = 1) -> int:
+    """At most ``ROWS_PER_SHARD`` rows and ``SHARD_BYTES`` of vectors to a shard."""
+    rows = max(1, min(ROWS_PER_SHARD, SHARD_BYTES // (8 * max(1, dimensions))))
+    return max(LEAST_SHARDS, -(-n // rows))
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -34,21 +37,25 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def build_indexes(points: DataFrame, build) -> DataFrame:
-    """One row (shard, index) for each shard; ``build`` makes the index of a shard's table."""
+def build_indexes(points: DataFrame, build, shards: int) -> DataFrame:
+    """One row (shard, index) for each shard that has points; ``build`` makes the index of a shard's table.
 
-    def run(table: pa.Table) -> pa.Table:
-        index = pickle.dumps(build(table), protocol=5)
-        return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int32()), "index": pa.array([index], pa.large_binary())}).cast(
-            pa.schema([("shard", pa.int32()), ("index", pa.binary())])
-        )
+    Building takes a processor, not bytes, so every shard is a task of its own, however small.
+    """
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            index = pickle.dumps(build(table), protocol=5)
+            yield pa.RecordBatch.from_arrays([pa.array([table["shard"][0].as_py()], pa.int32()), pa.array([index], pa.binary())], names=["shard", "index"])
 
-    return points.groupBy("shard").applyInArrow(run, "shard int, index binary")
+    return points.repartitionById(shards, F.col("shard")).mapInArrow(run, "shard int, index binary")
 
 
-def search_indexes(indexes: DataFrame, queries: DataFrame, n_queries: int, shards: int, search, schema: str) -> DataFrame:
+def search_indexes(indexes: DataFrame, queries: DataFrame, n_queries: int, shards: int, search, schema: str, dimensions: int = 64) -> DataFrame:
     """Send each block of queries to each shard's index; ``search(index, queries)`` gives the rows of one of these meetings."""
-    blocks = max(1, -(-n_queries // QUERIES_PER_BLOCK))
+    blocks = max(1, -(-n_queries * 8 * max(1, dimensions) // BLOCK_BYTES))
     sent = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
     sent = sent.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     held = indexes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

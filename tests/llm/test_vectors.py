@@ -155,3 +155,58 @@ def test_graphs_of_any_size(n):
 
 def test_number_of_shards_follows_the_rows():
     assert vectors.shards_for(0) == vectors.shards_for(800_000) == 8 and vectors.shards_for(10**9) == 10_000
+
+
+def test_a_shard_is_bounded_in_bytes():
+    assert vectors.shards_for(10**6, 64) == 10 and vectors.shards_for(10**6, 4096) == -(-(10**6) // (vectors.SHARD_BYTES // (8 * 4096)))
+
+
+def recall_of(x, got, queries, k=20):
+    hits = 0
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(len(x)), -s))[:k].tolist()))
+    return hits / (k * len(queries))
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "lengths", "clusters"])
+def test_recall_where_lengths_differ(spark, kind):
+    """20,000 vectors, 2,500 a shard: without structure, of lengths over two decades, and in groups."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 32))
+    if kind == "lengths":
+        x *= 10 ** rng.uniform(-1, 1, (len(x), 1))
+    if kind == "clusters":
+        x = rng.normal(size=(300, 32))[rng.integers(0, 300, len(x))] + 0.1 * x
+    x = np.float32(x).astype(float)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got, score = {}, {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        score[r.query_id, r.vec_id] = r.score
+    assert all(len(v) == 20 for v in got.values()) and len(got) == 200
+    assert recall_of(x, got, sorted(got)) >= 0.95
+    assert all(abs(s - x[a] @ x[b]) <= 1e-9 * abs(s) + 1e-12 for (a, b), s in score.items())
+
+
+def test_an_audit_widens_the_beam():
+    x = np.random.default_rng(12).normal(size=(6000, 48))
+    bands = ann.Bands(x, [[k] for k in range(len(x))])
+    q = x[:200]
+    truth, points = bands.find(q, 21, None)
+    s = q @ x.T
+    assert (points == np.argsort(-s, axis=1, kind="stable")[:, :21]).all() and np.allclose(truth, np.take_along_axis(s, points, 1))
+    narrow = bands.find(q, 21, 21)[1]
+    hit = lambda found: np.mean([len(set(a) & set(b)) / 21 for a, b in zip(found, points)])
+    assert hit(narrow) < 0.9
+    beam = bands.audited_beam(q[:32], 21, 21)
+    assert (beam is None or beam > 21) and hit(bands.find(q, 21, beam)[1]) >= 0.93
+
+
+def test_the_greatest_scores_in_order():
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        s = rng.integers(0, 4, (3, rng.integers(1, 30))).astype(float)
+        k = int(rng.integers(1, 12))
+        assert ann._top(s, k).tolist() == np.argsort(-s, axis=1, kind="stable")[:, :k].tolist()
