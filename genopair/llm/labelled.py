@@ -12,11 +12,12 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, folds: int, fold: int) -> tuple[DataFrame, dict[int, int]]:
-    """Texts with labels of at most ``per_class`` ids of either label, and how many ids either label has.
+    """One text with its label of at most ``per_class`` ids of either label, and how many ids either label has.
 
-    Ids are taken by smallest hash, so the sample is the same wherever rows lie. Held-out ids, null ids
-    and null labels are left out; an id labelled both ways counts as 1. The ids of the sample, two
-    times ``per_class`` at most, are broadcast to the scan of the texts.
+    Ids are taken by smallest hash, so the sample is the same wherever rows lie, and so is the text of
+    an id that several rows share. Held-out ids, null ids and null labels are left out; an id labelled
+    both ways counts as 1. The ids of the sample, two times ``per_class`` at most, are broadcast to the
+    scan of the texts.
     """
     known = labels.select(F.col("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold))
@@ -25,4 +26,5 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, f
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [known.where(F.col("label") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    return id_and_text(docs).join(ids, "doc_id"), totals
+    texts = id_and_text(docs).join(ids, "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return texts.select("doc_id", "text", "label"), totals

@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema if f.name != "text" or text_col in keep)
     out = frame.mapInArrow(run, f"{schema}, score double")
-    return out.select("doc_id", "score", *([F.col("text").alias(text_col)] if text_col in keep else []), *restored(rest))
+    return out.select("doc_id", "score", *([F.col("text").alias(text_col)] if text_col in keep else []), *restored(rest, results=("doc_id", "score")))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
