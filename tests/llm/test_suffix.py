@@ -5,7 +5,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from genopair.llm import suffix
+from genopair.llm import doubling, suffix
+from genopair.llm.common import Scratch
 from tests.llm import cases
 
 
@@ -113,3 +114,26 @@ def test_what_is_left_of_split_characters_goes_from_the_text(spark):
     rows = [(1, "é" * 120), (2, "x" + "é" * 60)]
     got = {r.doc_id: r for r in suffix.remove_repeats(cases.docs(spark, rows), keep=("lang",)).collect()}
     assert got[2].text == bytes(got[2].kept).decode("utf-8", "ignore") == "x" and got[1].lang == "en"
+
+
+def covered(spans):
+    out = {}
+    for r in spans.collect():
+        out.setdefault(r.uid, set()).update(range(r.start, r.end))
+    return out
+
+
+def test_prefix_doubling_finds_the_same_bytes(spark):
+    """Doubling over all positions, and the sampled positions of the query, against brute force."""
+    r = random.Random(7)
+    base = [cases.prose(30, k) for k in range(4)]
+    rows = [(k, cases.prose(r.randrange(8), 50 + k) + (r.choice(base)[r.randrange(40) :] if k % 3 else "") + cases.prose(9, 90 + k)) for k in range(60)]
+    rows += [(900, "a" * 400), (901, "ab" * 170), (902, None), (903, ""), (904, "x" * 99), (905, "y" * 100), (906, "y" * 100)]
+    docs = spark.createDataFrame(rows, "uid bigint, text string")
+    got = covered(doubling.repeated_spans(docs, Scratch(spark, "t")))
+    assert got == covered(suffix.repeated_spans(docs, Scratch(spark, "t")))
+    want = {i: n for i, _, n, _, _ in brute(rows) if n}
+    assert {i: len(s) for i, s in got.items()} == want
+    first = doubling.repeated_positions(docs.where("uid >= 905"), Scratch(spark, "t")).collect()
+    assert sorted((r.uid, r.pos, r.first_uid, r.first_pos) for r in first) == [(905, 0, 905, 0), (906, 0, 905, 0)]
+    assert doubling.repeated_spans(docs.limit(0), Scratch(spark, "t")).collect() == []
