@@ -8,6 +8,10 @@ import numpy as np
 from genopair.functions.encode import DOSAGE_LEVELS
 
 DOSAGES = 3
+# Genotypes of the alleles 0 to 3 are numbered below MORE_ALLELES; those with a later allele from there on.
+FEW_ALLELES = 4
+GENOTYPES = (FEW_ALLELES + 1) ** 2
+MORE_ALLELES = 32
 
 
 def dosage_cells(d: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -16,6 +20,11 @@ def dosage_cells(d: np.ndarray, r: np.ndarray) -> np.ndarray:
     return side(d) * (DOSAGES + 1) + side(r)
 
 
+def dosage_number(x: np.ndarray) -> np.ndarray:
+    """A sample's dosage as a number below 4, so that a pair's joint cell is 4 d + r."""
+    return np.where((x < 0) | (x >= DOSAGES), DOSAGES, x).astype(np.uint8)
+
+
 def code_of_cell(mode: str) -> list:
     """The code of each of the 16 joint cells, None where it is missing."""
     out = []
@@ -68,3 +77,34 @@ def mismatch_type_cells(d1, d2, r1, r2) -> tuple[np.ndarray, np.ndarray]:
     one = _change(_unshared(d1, d2, r1, r2), _unshared(r1, r2, d1, d2))
     slot2 = np.where((shared == 2) | ((shared == 1) & homozygous), 0, np.where(shared == 1, one, _change(d2, r2)))
     return np.where(known, slot1, 7).astype(np.int64), np.where(known, slot2, 7).astype(np.int64)
+
+
+def genotype_number(a1: np.ndarray, a2: np.ndarray) -> np.ndarray:
+    """One number for both alleles of a sample, so that a pair looks up one value of either side."""
+    known = (a1 >= 0) & (a2 >= 0)
+    few = np.where(known, a1 * (FEW_ALLELES + 1) + a2, GENOTYPES - 1)
+    return np.where(known & ((a1 >= FEW_ALLELES) | (a2 >= FEW_ALLELES)), MORE_ALLELES + a1 * 128 + a2, few).astype(np.int16)
+
+
+def _of_number(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    more, few = g - MORE_ALLELES, np.where(g == GENOTYPES - 1, -1, 0)
+    a1 = np.where(g >= MORE_ALLELES, more // 128, g // (FEW_ALLELES + 1))
+    a2 = np.where(g >= MORE_ALLELES, more % 128, g % (FEW_ALLELES + 1))
+    return np.where(few < 0, -1, a1), np.where(few < 0, -1, a2)
+
+
+def by_genotypes(cells) -> "Callable[[np.ndarray, np.ndarray], np.ndarray]":  # noqa: F821
+    """``cells(d1, d2, r1, r2)`` as a function of both genotype numbers: a look-up for few alleles, the codes themselves for more."""
+    both = np.arange(GENOTYPES)
+    d, r = np.repeat(both, GENOTYPES), np.tile(both, GENOTYPES)
+    table = cells(*_of_number(d), *_of_number(r)).astype(np.int8)
+
+    def of(d: np.ndarray, r: np.ndarray) -> np.ndarray:
+        out = np.empty(d.shape, np.int8)
+        more = (d.max(axis=1, initial=0) >= MORE_ALLELES) | (r.max(axis=1, initial=0) >= MORE_ALLELES)
+        out[~more] = table[(d[~more] * np.int16(GENOTYPES) + r[~more])] if more.any() else table[d * np.int16(GENOTYPES) + r]
+        if more.any():
+            out[more] = cells(*_of_number(d[more]), *_of_number(r[more]))
+        return out
+
+    return of

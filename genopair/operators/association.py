@@ -5,15 +5,21 @@ counts are at most nine rows per variant, whatever the number of samples, and ar
 on the map side before anything is shuffled.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from genopair.functions.stats import independence_test, neg_log_p, two_sided_normal_p
 from genopair.operators.pairs import VARIANT, with_outcome
 from genopair.operators.tables import LEVELS
+from genopair.session import ship_package
 
 NEWTON_STEPS = 25
 GRADIENT = 1e-8  # of a converged fit, for each case
+RESTING = 1e-13  # of a coefficient, below which a step changes nothing
+FITTED = ("_slope", "_information", "_determinant", "_gradient")
 
 
 # --- chi-square on contingency tables --------------------------------------------------
@@ -125,17 +131,20 @@ def logistic_factor(levels: DataFrame) -> DataFrame:
 def logistic_additive(levels: DataFrame) -> DataFrame:
     """Wald test of the slope of outcome on the numeric code, fitted by Newton steps on counts.
 
-    ``status`` is also not_converged, without estimates, where the gradient at the last step is not
-    small beside the number of cases.
+    Fits run in batches of rows, each until it settles. ``status`` is also not_converged, without
+    estimates, where the gradient at the last step is not small beside the number of cases.
     """
-    fit = F.aggregate(
-        F.sequence(F.lit(1), F.lit(NEWTON_STEPS)),
-        _coefficients(F.lit(0.0), F.lit(0.0)),
-        lambda beta, _: _newton_step(F.col("levels"), beta),
-    )
-    fitted = levels.withColumn("_fit", fit).withColumn("_sums", _score_sums(F.col("levels"), F.col("_fit")))
-    s = F.col("_sums")
-    det = s["h00"] * s["h11"] - s["h01"] * s["h01"]
+    ship_package(levels.sparkSession)
+    steps = NEWTON_STEPS
+
+    def fit(batches):
+        for batch in batches:
+            slope, information, determinant, gradient = additive_fits(batch["levels"], steps)
+            added = [pa.array(x, mask=~np.isfinite(x)) for x in (slope, information, determinant, gradient)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *FITTED])
+
+    schema = T.StructType([*levels.schema.fields, *(T.StructField(c, T.DoubleType()) for c in FITTED)])
+    fitted = levels.mapInArrow(fit, schema)
 
     def codes_with(side):
         return F.transform(F.filter("levels", lambda e: e[side] > 0), lambda e: e["code"])
@@ -148,10 +157,45 @@ def logistic_additive(levels: DataFrame) -> DataFrame:
     low, high = F.get("levels", 0), F.get("levels", F.size("levels") - 1)
     out = fitted.withColumns({"ref_code": low["code"], "test_code": F.when(many, high["code"]), "_many": many})
     cases = F.aggregate("levels", F.lit(0.0), lambda n, e: n + e["n0"] + e["n1"])
-    settled = F.coalesce(F.abs(s["g0"]) + F.abs(s["g1"]) <= GRADIENT * cases, F.lit(False))
-    beta = F.when(overlap, F.col("_fit")["b1"])
-    se = F.when(overlap & (det > 0), F.sqrt(s["h00"] / det))
-    return _wald(out, beta, se, overlap, "additive", settled).drop("_fit", "_sums")
+    settled = F.coalesce(F.col("_gradient") <= GRADIENT * cases, F.lit(False))
+    beta = F.when(overlap, F.col("_slope"))
+    se = F.when(overlap & (F.col("_determinant") > 0), F.sqrt(F.col("_information") / F.col("_determinant")))
+    return _wald(out, beta, se, overlap, "additive", settled).drop(*FITTED)
+
+
+def additive_fits(levels: pa.Array, steps: int) -> tuple[np.ndarray, ...]:
+    """Slope, information on the intercept, determinant of the information, and sum of the absolute gradient of each row's fit.
+
+    ``levels`` are lists of (code, n0, n1). A row rests once a step leaves its coefficients as they are.
+    """
+    width = np.diff(levels.offsets.to_numpy())
+    flat = levels.flatten()
+    row = np.repeat(np.arange(len(levels)), width)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)
+    code, n, n1 = (np.zeros((len(levels), int(width.max(initial=1)))) for _ in range(3))
+    zeros, ones = (flat.field(f).to_numpy(zero_copy_only=False).astype(float) for f in ("n0", "n1"))
+    code[row, place], n[row, place], n1[row, place] = flat.field("code").to_numpy(zero_copy_only=False), zeros + ones, ones
+    beta = np.zeros((len(levels), 2))
+
+    def sums(at):
+        x, p = code[at], 1 / (1 + np.exp(-(beta[at, :1] + beta[at, 1:] * code[at])))
+        rest, w = n1[at] - n[at] * p, n[at] * p * (1 - p)
+        return rest.sum(axis=1), (x * rest).sum(axis=1), w.sum(axis=1), (w * x).sum(axis=1), (w * x * x).sum(axis=1)
+
+    moving = np.arange(len(levels))
+    with np.errstate(all="ignore"):
+        for _ in range(steps):
+            if not len(moving):
+                break
+            g0, g1, h00, h01, h11 = sums(moving)
+            det = h00 * h11 - h01 * h01
+            step = np.where((det > 1e-12)[:, None], np.stack([h11 * g0 - h01 * g1, h00 * g1 - h01 * g0], axis=1) / det[:, None], 0.0)
+            after = beta[moving] + step
+            still = (after != beta[moving]).any(axis=1) & (np.abs(step) > RESTING * (1 + np.abs(after))).any(axis=1)
+            beta[moving] = after
+            moving = moving[still]
+        g0, g1, h00, h01, h11 = sums(np.arange(len(levels)))
+    return beta[:, 1], h00, h00 * h11 - h01 * h01, np.abs(g0) + np.abs(g1)
 
 
 def _wald(df: DataFrame, beta: Column, se: Column, fits: Column, model: str, settled: Column | None = None) -> DataFrame:
@@ -168,34 +212,3 @@ def _wald(df: DataFrame, beta: Column, se: Column, fits: Column, model: str, set
         )
         .drop("_many", "levels")
     )
-
-
-def _coefficients(b0: Column, b1: Column) -> Column:
-    return F.struct(b0.alias("b0"), b1.alias("b1"))
-
-
-def _score_sums(levels: Column, beta: Column) -> Column:
-    """Gradient and information of the log-likelihood, summed over the levels."""
-    names = ("g0", "g1", "h00", "h01", "h11")
-
-    def add(acc, e):
-        x, n1 = e["code"].cast("double"), e["n1"].cast("double")
-        n = n1 + e["n0"].cast("double")
-        p = 1 / (1 + F.exp(-(beta["b0"] + beta["b1"] * x)))
-        w = n * p * (1 - p)
-        terms = (n1 - n * p, x * (n1 - n * p), w, w * x, w * x * x)
-        return F.struct(*[(acc[k] + t).alias(k) for k, t in zip(names, terms)])
-
-    return F.aggregate(levels, F.struct(*[F.lit(0.0).alias(k) for k in names]), add)
-
-
-def _newton_step(levels: Column, beta: Column) -> Column:
-    # a one-element transform names the sums, so they are computed once per step
-    def moved(s):
-        det = s["h00"] * s["h11"] - s["h01"] * s["h01"]
-        solvable = det > 1e-12
-        b0 = beta["b0"] + F.when(solvable, (s["h11"] * s["g0"] - s["h01"] * s["g1"]) / det).otherwise(0.0)
-        b1 = beta["b1"] + F.when(solvable, (s["h00"] * s["g1"] - s["h01"] * s["g0"]) / det).otherwise(0.0)
-        return _coefficients(b0, b1)
-
-    return F.transform(F.array(_score_sums(levels, beta)), moved)[0]

@@ -75,15 +75,20 @@ def with_row_index(df: DataFrame, name: str = "i") -> DataFrame:
     one row per partition, which is small by construction.
     """
     marked = df.withColumn("_mid", F.monotonically_increasing_id())
+    counts = marked.groupBy(F.shiftright("_mid", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    return with_offsets(marked, counts, name)
+
+
+def with_offsets(marked: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+    """``name`` in place of ``_mid``, given how many rows (``_n``) each partition (``_part``) holds."""
     part, row = F.shiftright("_mid", 33), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).orderBy("_part").collect()
     offset, pairs = 0, []
-    for c in counts:
+    for c in counts.orderBy("_part").collect():
         pairs.append((c["_part"], offset))
         offset += c["_n"]
     if len(pairs) <= 1:
         return marked.withColumn(name, row).drop("_mid")
-    offsets = df.sparkSession.createDataFrame(pairs, "_part bigint, _offset bigint")
+    offsets = marked.sparkSession.createDataFrame(pairs, "_part bigint, _offset bigint")
     return (
         marked.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")

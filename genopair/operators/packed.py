@@ -2,23 +2,26 @@
 
 Genotype files store variants this way. Since a row holds every sample, both halves of a
 pair are in the same row, so pairing, encoding and counting need no shuffle of genotypes:
-tasks hold the pairs as arrays of slots and count a variant's joint genotypes at once. Only
-the counts travel.
+tasks look the pairs up as arrays of slots and count a variant's joint genotypes at once. Only
+the counts travel. Each row of the input is counted for itself, also where rows share a key.
 """
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genopair.functions.encode import MATCH_TYPES
-from genopair.functions.encode_arrays import allele_cells, code_of_cell, dosage_cells, mismatch_type_cells
-from genopair.operators.lookup import lookup_join, union_all
+from genopair.functions.encode_arrays import allele_cells, by_genotypes, code_of_cell, dosage_cells, dosage_number, genotype_number, mismatch_type_cells
+from genopair.operators.lookup import lookup_join
 from genopair.operators.pairs import VARIANT, outcome_of_case
-from genopair.operators.roster import histograms, pair_slots, pieces, scan
+from genopair.operators.roster import column, histograms, pair_slots, paired_steps, scan_counts, scan_rows, write_tiles
 
 VARIANT_KEY = ["chrom", "variant_idx"]
 CHUNK = 1000
+WAITING_CELLS = 128 << 20  # codes that a task of a transposition holds at once
 
 
 def unpack(packed: DataFrame, samples: DataFrame, values: tuple = ("dosage",), keys: list = VARIANT_KEY) -> DataFrame:
@@ -45,11 +48,8 @@ def packed_pairs(packed: DataFrame, samples: DataFrame, pairs: DataFrame, values
         return np.repeat(np.arange(n), m), [cases.take(pa.array(np.tile(np.arange(m), n))), *(c.cast(t) for c, t in zip(cells, arrow * 2))]
 
     arrow = [{"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}[k] for k in kinds]
-    found = [
-        scan(packed, keys, values, piece, rows_of, ", ".join([f"case_id {case}", *columns]), [None] * (1 + 2 * len(values)))
-        for piece in pieces(roster, F.col("case_id"))
-    ]
-    return union_all(found)
+    tiles = write_tiles(roster, F.col("case_id"))
+    return scan_rows(packed, keys, values, tiles, rows_of, ", ".join([f"case_id {case}", *columns]), [None] * (1 + 2 * len(values)))
 
 
 def _classes(outcomes: list) -> int:
@@ -102,9 +102,11 @@ def packed_mode_counts(
     names = ["n", *(f"n{v}_{o}" for o in outcomes for v in (0, 1))]
     counted = n_parts - 1 if groups else 1
 
-    def rows_of(sides, table):
-        classes = table["cls"].to_numpy()
-        found = histograms(dosage_cells(*sides), classes, 16, n_classes * n_parts)
+    def tally(sides, table):
+        d, r = sides
+        return histograms(d << 2 | r, column(table, "cls"), 16, n_classes * n_parts)
+
+    def rows_of(found):
         found = found.reshape(len(found), 16, n_parts, n_classes)[:, :, :counted]
         # variant, part, row, column
         sums = np.einsum("vcpk,rc,jk->vprj", found, in_row, in_column, optimize=True)
@@ -116,11 +118,8 @@ def packed_mode_counts(
 
     extra = ", ".join(["mode string", "grp bigint", "code int", *(f"{n} bigint" for n in names)])
     types = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * len(names)]
-    found = [scan(packed, keys, ("dosage",), piece.select(["d", "r", "cls"]), rows_of, extra, types) for piece in pieces(roster, F.col("case_id"))]
-    if len(found) == 1:
-        return found[0]
-    sums = [F.sum(n).alias(n) for n in names]
-    return union_all(found).groupBy(*keys, "mode", "grp", "code").agg(*sums)
+    tiles = write_tiles(roster.select("d", "r", "cls"), F.struct("d", "r"))
+    return scan_counts(packed, keys, ("dosage",), tiles, tally, rows_of, extra, types, dosage_number)
 
 
 def packed_code_counts(
@@ -136,46 +135,56 @@ def packed_code_counts(
     return packed_mode_counts(packed, samples, pairs, outcome_table, outcomes, (mode,), keys).drop("mode", "grp")
 
 
+def status_roster(slots: DataFrame, pairs: DataFrame, status: DataFrame) -> DataFrame:
+    """``case_id, d, r, cls``: class 0 for a case, 1 for a control, 2 for any other."""
+    number = F.when(F.col("status") == "case", 0).when(F.col("status") == "control", 1).otherwise(2)
+    return pair_slots(pairs, slots).join(status.select("case_id", "status"), "case_id", "left").select("case_id", "d", "r", number.alias("cls"))
+
+
 def packed_allele_counts(packed: DataFrame, slots: DataFrame, pairs: DataFrame, status: DataFrame, mode: str, keys: list = VARIANT) -> DataFrame:
     """Cases per code and status from packed alleles: ``code, n_case, n_control, n_other`` per variant; missing codes are left out."""
-    labels = ("case", "control")
-    number = F.lit(len(labels))
-    for k, name in enumerate(labels):
-        number = F.when(F.col("status") == name, k).otherwise(number)
-    roster = pair_slots(pairs, slots).join(status.select("case_id", "status"), "case_id", "left")
-    roster = roster.select("case_id", "d", "r", number.cast("int").alias("cls"))
     n_codes = {"count": 3, "presence": 2}[mode]
+    cells = by_genotypes(lambda *alleles: allele_cells(mode, *alleles))
 
-    def rows_of(sides, table):
-        found = histograms(allele_cells(mode, *sides), table["cls"].to_numpy(), n_codes + 1, len(labels) + 1)[:, :n_codes]
+    def tally(sides, table):
+        return histograms(cells(*sides), column(table, "cls"), n_codes + 1, 3)[:, :n_codes]
+
+    def rows_of(found):
         # every code of every variant, so that a variant nobody carries keeps its row
         v, c = np.divmod(np.arange(len(found) * n_codes), n_codes)
         return v, [c, *found[v, c].T]
 
     extra = "code int, n_case bigint, n_control bigint, n_other bigint"
     types = [pa.int32(), *[pa.int64()] * 3]
-    found = [scan(packed, keys, ("a1", "a2"), piece.select(["d", "r", "cls"]), rows_of, extra, types) for piece in pieces(roster, F.col("case_id"))]
-    if len(found) == 1:
-        return found[0]
-    return union_all(found).groupBy(*keys, "code").agg(*(F.sum(c).alias(c) for c in ("n_case", "n_control", "n_other")))
+    tiles = write_tiles(status_roster(slots, pairs, status).drop("case_id"), F.struct("d", "r"))
+    return scan_counts(packed, keys, ("a1", "a2"), tiles, tally, rows_of, extra, types, genotype_number)
 
 
 def packed_type_counts(packed: DataFrame, slots: DataFrame, pairs: DataFrame, keys: list = VARIANT) -> DataFrame:
     """Eight counts per variant over both slots of every pair: seven kinds of change and missing."""
-    roster = pair_slots(pairs, slots)
     names = [*MATCH_TYPES, "missing"]
+    # both slots' kinds in one look-up: 8 times the first's and the second's
+    cells = by_genotypes(lambda *alleles: (lambda one, two: 8 * one + two)(*mismatch_type_cells(*alleles)))
 
-    def rows_of(sides, table):
-        none = np.zeros(len(table), np.int64)
-        slot1, slot2 = mismatch_type_cells(*sides)
-        found = (histograms(slot1, none, 8, 1) + histograms(slot2, none, 8, 1))[:, :, 0]
-        return np.arange(len(found)), list(found.T)
+    def tally(sides, table):
+        found = histograms(cells(*sides), np.zeros(len(table), np.int64), 64, 1).reshape(-1, 8, 8)
+        return found.sum(axis=1) + found.sum(axis=2)
 
     extra = ", ".join(f"{n} bigint" for n in names)
-    found = [scan(packed, keys, ("a1", "a2"), piece, rows_of, extra, [pa.int64()] * 8) for piece in pieces(roster.select("case_id", "d", "r"), F.col("case_id"))]
-    if len(found) == 1:
-        return found[0]
-    return union_all(found).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in names))
+    tiles = write_tiles(pair_slots(pairs, slots).select("d", "r"), F.struct("d", "r"))
+    return scan_counts(packed, keys, ("a1", "a2"), tiles, tally, lambda found: (np.arange(len(found)), list(found.T)), extra, [pa.int64()] * 8, genotype_number)
+
+
+def _first_slots(samples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``case_id, d, r``: a case's first pair by slots."""
+    return pair_slots(pairs, samples).groupBy("case_id").agg(F.min(F.struct("d", "r")).alias("s")).select("case_id", "s.*")
+
+
+def _in_blocks(case: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the cases of a tile, and where each block of ``chunk`` case numbers begins in it, with the end."""
+    order = np.argsort(case, kind="stable")
+    first = np.flatnonzero(np.diff(case[order] // chunk, prepend=-1))
+    return order, np.append(first, len(case))
 
 
 def packed_codes(packed: DataFrame, samples: DataFrame, pairs: DataFrame, mode: str, chunk: int = CHUNK) -> DataFrame:
@@ -185,27 +194,90 @@ def packed_codes(packed: DataFrame, samples: DataFrame, pairs: DataFrame, mode:
     pairs has the code of its first pair by slots.
     """
     keys = [c for c in packed.columns if c != "dosage"]
-    ordered = case_order(pairs)
-    first = pair_slots(pairs, samples).groupBy("case_id").agg(F.min(F.struct("d", "r")).alias("s")).select("case_id", "s.*")
-    slots = ordered.join(first, "case_id", "left").select("case_idx", "d", "r")
-    block = F.floor(F.col("case_idx") / chunk).cast("int")
+    slots = case_order(pairs).join(_first_slots(samples, pairs), "case_id", "left").select("case_idx", "d", "r")
     codes = np.array([-128 if c is None else c for c in code_of_cell(mode)], np.int8)
 
     def rows_of(sides, table):
-        order = np.argsort(table["case_idx"].to_numpy(), kind="stable")
-        case = table["case_idx"].to_numpy()[order]
+        case = column(table, "case_idx")
+        order, first = _in_blocks(case, chunk)
         found = codes[dosage_cells(*sides)[:, order]]
-        first = np.concatenate([[0], np.flatnonzero(np.diff(case // chunk)) + 1, [len(case)]]) if len(case) else np.zeros(1, np.int64)
-        sizes = np.diff(first)
-        n, m = len(found), len(sizes)
-        offsets = np.concatenate([[0], np.cumsum(np.tile(sizes, n))]).astype(np.int32)
+        n, m = len(found), len(first) - 1
+        offsets = np.concatenate([[0], np.cumsum(np.tile(np.diff(first), n))]).astype(np.int32)
         flat = found.ravel()
         lists = pa.ListArray.from_arrays(offsets, pa.array(flat, mask=flat == -128))
-        return np.repeat(np.arange(n), m), [np.tile(case[first[:-1]] // chunk, n), lists]
+        return np.repeat(np.arange(n), m), [np.tile(case[order][first[:-1]] // chunk, n), lists]
+
+    # whole blocks to a tile
+    tiles = write_tiles(slots, F.floor(F.col("case_idx") / chunk))
+    return scan_rows(packed, keys, ("dosage",), tiles, rows_of, "block int, codes array<tinyint>", [pa.int32(), None])
+
 
-    # whole blocks to a piece
-    found = [scan(packed, keys, ("dosage",), piece, rows_of, "block int, codes array<tinyint>", [pa.int32(), None]) for piece in pieces(slots, block)]
-    return union_all(found)
+def packed_by_case(packed: DataFrame, samples: DataFrame, pairs: DataFrame, mode: str, chunk: int = CHUNK) -> DataFrame:
+    """The transposed matrix from packed rows: per case and run of ``chunk`` variant numbers, codes in variant order.
+
+    A task cuts its rows into tiles, the codes of up to ``chunk`` variants by those of ``chunk`` cases, so what
+    is shuffled are tiles of a megabyte, not cells; those of one place are merged in variant order. A
+    case has the codes of its first pair by slots.
+    """
+    kind, number = packed.schema["chrom"].dataType.simpleString(), packed.schema["variant_idx"].dataType.simpleString()
+    slots = case_order(pairs).join(_first_slots(samples, pairs), "case_id").select("case_id", "case_idx", "d", "r")
+    id_type = slots.schema["case_id"].dataType.simpleString()
+    codes = np.array([-128 if c is None else c for c in code_of_cell(mode)], np.int8)
+    tiles = write_tiles(slots, F.floor(F.col("case_idx") / chunk))
+    names = ["chrom", "block", "case_block", "variants", "cases", "codes"]
+
+    def cut(batches):
+        """Tiles of this task's rows. What is waiting for the rest of its run of variants is bounded."""
+        waiting, size = {}, 0
+        for batch in batches:
+            chrom, at = batch["chrom"].to_numpy(zero_copy_only=False), batch["variant_idx"].to_numpy(zero_copy_only=False)
+            for where, meetings in paired_steps(batch, ("dosage",), tiles):
+                of = defaultdict(list)
+                for i, place in enumerate(zip(chrom[where].tolist(), (at[where] // chunk).tolist())):
+                    of[place].append(i)
+                for k, _, sides in meetings:
+                    found = codes[dosage_cells(*sides)]
+                    for place, rows in of.items():
+                        waiting.setdefault((*place, k), []).append((at[where][rows], found[rows]))
+                    size += found.size
+                if size > WAITING_CELLS:
+                    yield from release(waiting)
+                    waiting, size = {}, 0
+        yield from release(waiting)
+
+    def release(waiting):
+        for k, table in tiles.tables():
+            case, ids = column(table, "case_idx"), table["case_id"].combine_chunks()
+            order, first = _in_blocks(case, chunk)
+            for (chrom, block), parts in ((place[:2], parts) for place, parts in waiting.items() if place[2] == k):
+                variants, found = np.concatenate([v for v, _ in parts]), np.concatenate([c for _, c in parts])
+                for lo, hi in zip(first[:-1], first[1:]):
+                    own = ids.take(pa.array(order[lo:hi]))
+                    columns = [
+                        pa.array([chrom], types[0]), pa.array([block], pa.int64()), pa.array([int(case[order[lo]] // chunk)], pa.int64()),
+                        pa.array([variants], pa.list_(types[1])), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own),
+                        pa.array([found[:, order[lo:hi]].tobytes()], pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def merge(table: pa.Table) -> pa.Table:
+        variants = np.concatenate([v.values.to_numpy() for v in table["variants"]])
+        cases = table["cases"][0].values
+        found = np.concatenate([np.frombuffer(c.as_py(), np.int8).reshape(-1, len(cases)) for c in table["codes"]])
+        order = np.argsort(variants, kind="stable")
+        flat, m = found[order].T.ravel(), len(cases)
+        entries = pa.StructArray.from_arrays([pa.array(np.tile(variants[order], m)), pa.array(flat, mask=flat == -128)], names=["variant_idx", "code"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * len(variants)), entries)
+        of = lambda c: pa.array([table[c][0].as_py()] * m, table.schema.field(c).type)
+        return pa.Table.from_arrays([cases, of("chrom"), of("block"), lists], names=["case_id", "chrom", "block", "codes"])
+
+    types = [pa.int32() if kind == "int" else pa.int64(), pa.int32() if number == "int" else pa.int64()]
+    cells = packed.select("chrom", "variant_idx", "dosage").mapInArrow(
+        cut, f"chrom {kind}, block bigint, case_block bigint, variants array<{number}>, cases array<{id_type}>, codes binary"
+    )
+    return cells.groupBy("chrom", "block", "case_block").applyInArrow(
+        merge, f"case_id {id_type}, chrom {kind}, block bigint, codes array<struct<variant_idx:{number},code:tinyint>>"
+    )
 
 
 def case_order(pairs: DataFrame) -> DataFrame:

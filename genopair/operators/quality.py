@@ -1,6 +1,6 @@
 """Variant quality filters and their reports."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,14 +48,18 @@ def variant_call_rate(encoded: DataFrame, n_cases, keys: list = VARIANT) -> Data
 
 
 def filter_call_rate(
-    encoded: DataFrame, n_cases, min_rate: float = MIN_CALL_RATE, keys: list = VARIANT, variants: DataFrame | None = None
+    encoded: DataFrame, n_cases, min_rate: float = MIN_CALL_RATE, keys: list = VARIANT, variants: DataFrame | None = None, bucketed: bool = False
 ) -> DataFrame:
     """The encoded rows of variants called in at least ``min_rate`` of all cases.
 
     ``encoded`` is read twice, once for the rates and once for the rows, so a saved matrix
     serves best. With the variant table given, the size of the kept list is bounded by it;
-    without, the list is measured, which takes a further pass.
+    without, the list is measured, which takes a further pass. A matrix in buckets by ``keys``, or
+    some of them (``bucketed=True``), is read once and not shuffled: a variant's rows lie together.
     """
+    if bucketed:
+        called = F.count("code").over(Window.partitionBy(*keys))
+        return encoded.withColumn("_called", called).where(call_rate("_called", n_cases) >= min_rate).drop("_called")
     rates = variant_call_rate(encoded, n_cases, keys).filter(F.col("call_rate") >= min_rate)
     bound = None if variants is None else variants.select(*keys)
     return lookup_join(encoded, rates.select(*keys), keys, "left_semi", salts=1, bound=bound)
@@ -71,6 +75,28 @@ def call_rate_report(rates: DataFrame, min_rate: float = MIN_CALL_RATE) -> DataF
     )
 
 
+def observed_filter(rows: DataFrame, keep: Column, name: str, chroms=range(1, 27)) -> tuple[DataFrame, Observation]:
+    """``rows`` where ``keep`` holds, and an observation of how many there are and were, by chromosome.
+
+    The counts come from the same pass that filters: they are known once an action has run on the
+    result. Chromosomes other than ``chroms`` are counted together, under null.
+    """
+    seen = Observation(name)
+    kept = F.coalesce(keep, F.lit(False))
+    chrom, known = F.col("chrom"), F.col("chrom").isin(*chroms)
+    places = [(str(c), chrom == c) for c in chroms] + [("other", ~F.coalesce(known, F.lit(False)))]
+    counts = [F.count_if(here & wanted).alias(f"{what}_{c}") for c, here in places for what, wanted in (("kept", kept), ("total", F.lit(True)))]
+    return rows.observe(seen, *counts).where(kept), seen
+
+
+def observed_report(spark: SparkSession, seen: Observation, chroms=range(1, 27)) -> DataFrame:
+    """``chrom, removed, total, percent_removed`` of an observed filter; chromosomes without rows are left out."""
+    found = seen.get
+    rows = [(None if c == "other" else int(c), found[f"total_{c}"] - found[f"kept_{c}"], found[f"total_{c}"]) for c in [*map(str, chroms), "other"]]
+    report = spark.createDataFrame([r for r in rows if r[2]], "chrom int, removed bigint, total bigint")
+    return report.withColumn("percent_removed", F.col("removed") / F.col("total") * 100)
+
+
 def drop_duplicate_snps(variants: DataFrame, scope: tuple = ("chrom",)) -> DataFrame:
     """Remove every copy of an id that occurs more than once in its scope.
 

@@ -1,21 +1,28 @@
-"""Pairs as small integers that every task of a scan can hold.
+"""Pairs as small integers that every task of a scan can look up.
 
-A pair is two array slots and a class number. Tasks get them as arrays, so genotypes are paired,
-coded and counted where they are read. The arrays are cut into pieces of bounded size, whatever
-the number of pairs; each piece is one pass over the genotypes, and counts of pieces are added.
+A pair is two array slots and a class number. Spark writes them to the shared folder as tiles, Arrow
+files of bounded size whatever the number of pairs; a task maps them into memory, so genotypes are
+paired, coded and counted where they are read. Every batch of genotypes meets every tile in the
+task, and counts are added there: one pass over the genotypes, the same rows for any number of
+tiles, and nothing of the pairs on the driver but the tiles' names.
 """
 
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genopair.session import ship_package
+from genopair.session import shared_folder, ship_package
+from genopair.storage import read_arrow, write_arrow
 
-PIECE_BYTES = 64 << 20
-CELLS_PER_STEP = 4 << 20
+TILE_BYTES = 64 << 20
+CELLS_PER_STEP = 1 << 18  # pairs by rows at a time: what is made of them stays in a processor's cache
+TALLY_BYTES = 32 << 20  # counts that wait for the rest of their batch
 
 ABSENT = -1
 
@@ -32,23 +39,74 @@ def pair_slots(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     return both.where("d IS NOT NULL OR r IS NOT NULL").select("case_id", "d", "r")
 
 
-def pieces(roster: DataFrame, order: Column) -> list[pa.Table]:
-    """The rows of a roster as tables of about ``PIECE_BYTES`` at most, cut by the hash of the id.
+@dataclass(frozen=True)
+class Tiles:
+    """The pairs of a scan: paths of Arrow files, and the most pairs one of them holds."""
 
-    The number of pieces follows from the measured size; the driver holds one while it is sent.
+    paths: tuple
+    most: int
+
+    def tables(self) -> Iterator[tuple[int, pa.Table]]:
+        """Each tile with its number. A mapped one costs nothing to look at again; any other is read anew, and one is held at a time."""
+        kept = self.__dict__.setdefault("_kept", {})
+        for k, path in enumerate(self.paths):
+            if k not in kept:
+                table, mapped = read_arrow(path)
+                if not mapped and len(self.paths) > 1:
+                    yield k, table
+                    continue
+                kept[k] = table
+            yield k, kept[k]
+
+    def __getstate__(self):
+        return {"paths": self.paths, "most": self.most}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+
+
+def write_tiles(roster: DataFrame, order: Column, by_case: bool = False) -> Tiles:
+    """The rows of a roster as tiles of about ``TILE_BYTES``, cut by the hash of ``order``.
+
+    Slots and class numbers become plain integers, ``ABSENT`` where there is none. ``by_case`` adds
+    ``case_no``, a number for each case of a tile; ``order`` must then keep a case in one tile.
     """
+    spark = roster.sparkSession
+    ship_package(spark)
+    plain = [F.coalesce(F.col(f.name).cast("int"), F.lit(ABSENT)).alias(f.name) if f.name in ("d", "r", "cls") else F.col(f.name) for f in roster.schema.fields]
+    roster = roster.select(*plain)
     wide = [f.name for f in roster.schema.fields if f.dataType.typeName() in ("string", "binary")]
     size = F.lit(8 * len(roster.columns)) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(0))
     total = roster.agg(F.sum(size.cast("bigint"))).first()[0] or 0
-    n = max(1, -(-total // PIECE_BYTES))
-    if n == 1:
-        return [roster.toArrow()]
-    cut = roster.withColumn("_piece", F.pmod(F.xxhash64(order), F.lit(n)))
-    return [cut.where(F.col("_piece") == k).drop("_piece").toArrow() for k in range(n)]
-
-
-def slots_of(table: pa.Table, name: str) -> np.ndarray:
-    return table[name].cast(pa.int64()).fill_null(ABSENT).to_numpy()
+    n = max(1, -(-total // TILE_BYTES))
+    folder = f"{shared_folder(spark)}/roster-{uuid.uuid4().hex[:12]}"
+
+    def write(table: pa.Table) -> pa.Table:
+        # A path of its own for each attempt: the one that Spark takes names the file that is read.
+        path = f"{folder}/{table['_tile'][0].as_py():06d}-{uuid.uuid4().hex[:8]}.arrow"
+        table = table.drop_columns(["_tile"])
+        if by_case:
+            codes = pc.dictionary_encode(table["case_id"].combine_chunks(), null_encoding="encode").indices
+            table = table.append_column("case_no", codes.cast(pa.int32()))
+        write_arrow(path, table)
+        return pa.table({"path": [path], "pairs": pa.array([len(table)], pa.int64())})
+
+    cut = roster.withColumn("_tile", F.pmod(F.xxhash64(order), F.lit(n)).cast("int"))
+    written = cut.groupBy("_tile").applyInArrow(write, "path string, pairs bigint").collect()  # one row per tile
+    if not written:
+        empty = roster.limit(0).toArrow()
+        if by_case:
+            empty = empty.append_column("case_no", pa.array([], pa.int32()))
+        write_arrow(f"{folder}/empty.arrow", empty)
+        return Tiles((f"{folder}/empty.arrow",), 0)
+    written.sort(key=lambda w: w["path"])
+    return Tiles(tuple(w["path"] for w in written), max(w["pairs"] for w in written))
+
+
+def column(table: pa.Table, name: str) -> np.ndarray:
+    """A column of plain integers of a tile, as it lies in the file."""
+    chunks = table[name].chunks
+    return chunks[0].to_numpy() if len(chunks) == 1 else table[name].to_numpy()
 
 
 def matrix(column: pa.Array, absent: int = ABSENT) -> np.ndarray:
@@ -69,15 +127,32 @@ def matrix(column: pa.Array, absent: int = ABSENT) -> np.ndarray:
     return out
 
 
-def paired_steps(batch: pa.RecordBatch, values: tuple, d: np.ndarray, r: np.ndarray) -> Iterator[tuple[slice, list[np.ndarray]]]:
-    """Rows of a batch, a few at a time, with the donors' and then the recipients' values of every pair."""
-    step = max(1, CELLS_PER_STEP // max(1, len(d)))
+def paired_steps(batch: pa.RecordBatch, values: tuple, tiles: Tiles, per_sample: Callable | None = None) -> Iterator[tuple[slice, Iterator]]:
+    """Rows of a batch, a few at a time, each with an iterator over the tiles.
+
+    That gives a tile's number, its table, and the donors' and then the recipients' values of its
+    pairs. ``per_sample`` makes one number of a sample's values first, so that one is looked up.
+    """
+    step = max(1, CELLS_PER_STEP // max(1, tiles.most))
     for at in range(0, batch.num_rows, step):
         part = batch.slice(at, step)
         rows = [matrix(part.column(part.schema.get_field_index(v))) for v in values]
-        # a slot beyond a row's list is absent as well
-        sides = [m[:, np.where(s < m.shape[1] - 1, s, ABSENT)] for s in (d, r) for m in rows]
-        yield slice(at, at + part.num_rows), sides
+        if per_sample is not None:
+            rows = [per_sample(*_same_width(rows))]
+
+        def meetings(rows=rows):
+            for k, table in tiles.tables():
+                # a slot beyond a row's list is absent as well
+                sides = [m[:, np.where(s < m.shape[1] - 1, s, ABSENT)] for s in (column(table, "d"), column(table, "r")) for m in rows]
+                yield k, table, sides
+
+        yield slice(at, at + part.num_rows), meetings()
+
+
+def _same_width(rows: list) -> list:
+    width = max(m.shape[1] for m in rows)
+    # the absent column stays the last one
+    return [m if m.shape[1] == width else np.concatenate([m, np.full((len(m), width - m.shape[1]), ABSENT, m.dtype)], axis=1) for m in rows]
 
 
 def histograms(cells: np.ndarray, classes: np.ndarray, n_cells: int, n_classes: int) -> np.ndarray:
@@ -87,24 +162,56 @@ def histograms(cells: np.ndarray, classes: np.ndarray, n_cells: int, n_classes:
     return flat.reshape(len(cells), n_cells, n_classes)
 
 
-def scan(df: DataFrame, keys: list, values: tuple, roster: pa.Table, rows_of: Callable, extra: str, types: list) -> DataFrame:
-    """One pass: ``rows_of(sides, roster)`` gives, for some rows of the scan, the number of each output row's
+def _output(df: DataFrame, keys: list, extra: str) -> tuple[str, list]:
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return f"{kinds}, {extra}", [*keys, *(c.strip().split(" ")[0] for c in extra.split(","))]
+
+
+def _rows(batch: pa.RecordBatch, keys: list, where: slice, row: np.ndarray, columns: list, types: list, names: list) -> pa.RecordBatch:
+    key_rows = pa.array(row + where.start)
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(k).take(key_rows) for k in range(len(keys))), *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types))], names=names
+    )
+
+
+def scan_counts(
+    df: DataFrame, keys: list, values: tuple, tiles: Tiles, tally: Callable, rows_of: Callable, extra: str, types: list, per_sample: Callable | None = None
+) -> DataFrame:
+    """One pass: ``tally(sides, tile)`` counts the pairs of a tile for some rows, in an array whose first axis is the row.
+
+    Counts of all tiles are added, and ``rows_of(sum)`` gives the number of each output row's input
+    row and the columns named in ``extra``.
+    """
+    ship_package(df.sparkSession)
+    schema, names = _output(df, keys, extra)
+
+    def run(batches):
+        for batch in batches:
+            waiting, first, size = [], 0, 0
+            for where, meetings in paired_steps(batch, values, tiles, per_sample):
+                total = None
+                for _, table, sides in meetings:
+                    part = tally(sides, table)
+                    total = part if total is None else total + part
+                waiting.append(total)
+                size += total.nbytes
+                if size > TALLY_BYTES or where.stop == batch.num_rows:
+                    yield _rows(batch, keys, slice(first, where.stop), *rows_of(np.concatenate(waiting)), types, names)
+                    waiting, first, size = [], where.stop, 0
+
+    return df.select(*keys, *values).mapInArrow(run, schema)
+
+
+def scan_rows(df: DataFrame, keys: list, values: tuple, tiles: Tiles, rows_of: Callable, extra: str, types: list) -> DataFrame:
+    """One pass: ``rows_of(sides, tile)`` gives, for some rows and a tile, the number of each output row's
     input row and the columns named in ``extra``."""
     ship_package(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(roster)
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    names = [c.strip().split(" ")[0] for c in extra.split(",")] if extra else []
+    schema, names = _output(df, keys, extra)
 
     def run(batches):
-        table = held.value
-        d, r = slots_of(table, "d"), slots_of(table, "r")
         for batch in batches:
-            for where, sides in paired_steps(batch, values, d, r):
-                row, columns = rows_of(sides, table)
-                key_rows = pa.array(row + where.start)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(key_rows) for k in range(len(keys))), *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types))],
-                    names=[*keys, *names],
-                )
-
-    return df.select(*keys, *values).mapInArrow(run, f"{kinds}, {extra}")
+            for where, meetings in paired_steps(batch, values, tiles):
+                for _, table, sides in meetings:
+                    yield _rows(batch, keys, where, *rows_of(sides, table), types, names)
+
+    return df.select(*keys, *values).mapInArrow(run, schema)

@@ -1,15 +1,21 @@
 """Contingency and frequency tables."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genopair.functions.encode import ALLELE_CODES, MATCH_TYPES
+from genopair.functions.encode import MATCH_TYPES
+from genopair.functions.encode_arrays import allele_cells, by_genotypes, genotype_number
 from genopair.operators.lookup import fits_broadcast, lookup_join
-from genopair.operators.packed import packed_allele_counts, packed_pairs
+from genopair.operators.packed import status_roster
 from genopair.operators.pairs import VARIANT
 from genopair.operators.quality import MIN_CALL_RATE, call_rate, repeated_positions
+from genopair.operators.roster import column, histograms, paired_steps, write_tiles
+from genopair.session import ship_package
 
 LEVELS = {"count": (0, 1, 2), "presence": (0, 1)}
+HELD_CELLS = 16 << 20  # sums by case that a task holds at once
 
 
 def contingency(
@@ -19,13 +25,15 @@ def contingency(
     on_repeat: str = "sum",
     repeated: DataFrame | None = None,
     floor: int = 0,
+    outside: bool = False,
 ) -> DataFrame:
     """Case/control counts of every code per position: ``case_0.., control_0..``.
 
     ``mode`` picks the levels: 'count' 0,1,2 and 'presence' 0,1. Missing codes and cases
     without a status are left out, but every position stays, with zeros. Where a position
     holds several variants, a case's codes are summed over them before counting and sums
-    outside the levels are dropped (``on_repeat='drop'`` removes such positions instead).
+    outside the levels are dropped (``on_repeat='drop'`` removes such positions instead);
+    ``outside=True`` adds their number.
 
     Given the ``repeated`` positions (from the variant table), only their rows are grouped
     by case; all others collapse on the map side to one row per position, status and code.
@@ -71,29 +79,135 @@ def contingency(
             )
         )
 
-    return tallied.groupBy("chrom", "pos").agg(*_cells(levels, floor))
+    out = [F.sum(F.when(F.col("status").isin("case", "control") & ~F.col("code").isin(*levels), F.col("n")).otherwise(0)).alias("outside")]
+    return tallied.groupBy("chrom", "pos").agg(*_cells(levels, floor), *(out if outside else []))
 
 
-def packed_contingency(packed: DataFrame, slots: DataFrame, pairs: DataFrame, status: DataFrame, mode: str = "count", floor: int = 0) -> DataFrame:
-    """``contingency`` from packed alleles: one scan gives counts per variant, and only these are shuffled.
+# A case's sum over the variants of a position before any of them is called.
+NO_CODE = np.int32(-1 << 31)
 
-    Positions that hold several variants need a case's codes summed; their rows alone are paired
-    case by case.
+
+def packed_contingency(
+    packed: DataFrame, slots: DataFrame, pairs: DataFrame, status: DataFrame, mode: str = "count", floor: int = 0, outside: bool = False
+) -> DataFrame:
+    """``contingency`` from packed alleles, in one scan of the genotypes.
+
+    Positions that hold several rows need a case's codes summed over them; those positions are known
+    from a look at the positions alone. A task counts every other row where it reads it, and adds up
+    the codes of a repeated position's rows by case in arrays, one for each tile of pairs. Only counts
+    and these arrays are shuffled, by position; their rows are then streamed in order, sums of several
+    tasks are added and counted.
     """
-    levels = LEVELS[mode]
-    counts = packed_allele_counts(packed, slots, pairs, status, mode)
-    cells = [
-        F.greatest(F.coalesce(F.sum(F.when(F.col("code") == c, F.col(f"n_{s}"))), F.lit(0)), F.lit(floor)).cast("bigint").alias(f"{s}_{c}")
-        for s in ("case", "control")
-        for c in levels
-    ]
-    # a variant has a row for each of its codes
-    table = counts.groupBy("chrom", "pos").agg(*cells, F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(levels)).drop("_n")
-    several = repeated_positions(packed.select("chrom", "pos"))
-    rows = lookup_join(packed, several, ["chrom", "pos"], "left_semi", salts=1)
-    paired = packed_pairs(rows, slots, pairs, ("a1", "a2"), VARIANT)
-    encoded = paired.select(*VARIANT, "case_id", ALLELE_CODES[mode]("d_a1", "d_a2", "r_a1", "r_a2").alias("code"))
-    return table.unionByName(contingency(encoded, status, mode, floor=floor))
+    levels = len(LEVELS[mode])
+    ship_package(packed.sparkSession)
+    tiles = write_tiles(status_roster(slots, pairs, status), F.col("case_id"), by_case=True)
+    cells = by_genotypes(lambda *alleles: allele_cells(mode, *alleles))
+    several = repeated_positions(packed.select("chrom", "pos")).withColumn("_rep", F.lit(True))
+    rows = lookup_join(packed.select("chrom", "pos", "a1", "a2"), several, ["chrom", "pos"], "left", salts=1)
+    rows = rows.select("chrom", "pos", "a1", "a2", F.coalesce("_rep", F.lit(False)).alias("rep"))
+    places = ["chrom", "pos"]
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in places)
+    counted = [f"{s}_{c}" for s in ("case", "control") for c in LEVELS[mode]] + ["outside"]
+
+    def tabulate(codes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Rows of codes, where ``levels`` is one outside the levels and ``levels + 1`` a missing one, as rows of ``counted``."""
+        found = histograms(codes, classes, levels + 2, 3)
+        return np.concatenate([found[:, :levels, 0], found[:, :levels, 1], found[:, levels : levels + 1, :2].sum(axis=2)], axis=1)
+
+    def sums(codes: np.ndarray, cases: np.ndarray) -> np.ndarray:
+        """A row's codes by case; a case with two pairs has the sum of both."""
+        out = np.full(int(cases.max(initial=-1)) + 1, NO_CODE, np.int32)
+        known = codes < levels
+        out[cases[known]] = 0
+        np.add.at(out, cases[known], codes[known].astype(np.int32))
+        return out
+
+    def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(a == NO_CODE, b, np.where(b == NO_CODE, a, a + b))
+
+    def scan(batches):
+        held = {}
+        for batch in batches:
+            chrom, pos = (batch[c].to_pylist() for c in places)
+            rep = batch["rep"].to_numpy(zero_copy_only=False)
+            for where, meetings in paired_steps(batch, ("a1", "a2"), tiles, genotype_number):
+                total, several_here = None, np.flatnonzero(rep[where])
+                for k, table, sides in meetings:
+                    # a missing code is the last of its cells, behind the one for sums outside the levels
+                    codes = cells(*sides)
+                    part = tabulate(np.where(codes == levels, levels + 1, codes), column(table, "cls"))
+                    total = part if total is None else total + part
+                    if not len(several_here):
+                        continue
+                    cases = column(table, "case_no")
+                    for i in several_here:
+                        here = chrom[where][i], pos[where][i], k
+                        held[here] = merged(held[here], sums(codes[i], cases)) if here in held else sums(codes[i], cases)
+                        if len(held) * max(1, tiles.most) > HELD_CELLS:
+                            yield from release(held)
+                yield from release(held, keep=(chrom[where][-1], pos[where][-1]) if len(several_here) else None)
+                single = np.flatnonzero(~rep[where])
+                if len(single):
+                    yield _position_rows(types, counted, [chrom[where][i] for i in single], [pos[where][i] for i in single], [-1] * len(single), total[single], [None] * len(single))
+        yield from release(held)
+
+    def release(held, keep=None):
+        """The sums of finished positions; rows of one position mostly lie side by side, so the last one may go on."""
+        for here in [h for h in held if h[:2] != keep]:
+            yield _position_rows(types, counted, [here[0]], [here[1]], [here[2]], np.zeros((1, len(counted)), np.int64), [held.pop(here).tobytes()])
+
+    def fold(batches):
+        """One row for each position, from rows in the order of position and tile."""
+        here, codes, total = None, None, None
+
+        def classes_of(k):
+            table = dict(tiles.tables())[k] if len(tiles.paths) > 1 else next(tiles.tables())[1]
+            cases = column(table, "case_no")
+            out = np.full(int(cases.max(initial=-1)) + 1, 2, np.int64)
+            out[cases] = column(table, "cls")
+            return out
+
+        def closed():
+            found = np.where(codes == NO_CODE, levels + 1, np.where((codes < 0) | (codes >= levels), levels, codes))
+            return tabulate(found[None, :], classes_of(here[2]))[0]
+
+        for batch in batches:
+            tile = batch["tile"].to_numpy()
+            counts = np.stack([batch[c].to_numpy() for c in counted], axis=1)
+            chrom, pos = (batch[c].to_pylist() for c in places)
+            single = np.flatnonzero(tile < 0)
+            if len(single):
+                yield _table_rows(types, counted, [chrom[i] for i in single], [pos[i] for i in single], counts[single])
+            for i in np.flatnonzero(tile >= 0):
+                now, more = (chrom[i], pos[i], int(tile[i])), np.frombuffer(batch["codes"][int(i)].as_py(), np.int32)
+                if now == here:
+                    codes = merged(codes, more)
+                    continue
+                if here is not None:
+                    total = closed() if total is None else total + closed()
+                    if now[:2] != here[:2]:
+                        yield _table_rows(types, counted, [here[0]], [here[1]], total[None, :])
+                        total = None
+                here, codes = now, more
+        if here is not None:
+            total = closed() if total is None else total + closed()
+            yield _table_rows(types, counted, [here[0]], [here[1]], total[None, :])
+
+    types = [pa.int32() if rows.schema[k].dataType.simpleString() == "int" else pa.int64() for k in places]
+    numbers = ", ".join(f"{c} bigint" for c in counted)
+    found = rows.mapInArrow(scan, f"{kinds}, tile int, {numbers}, codes binary")
+    found = found.repartition("chrom", "pos").sortWithinPartitions("chrom", "pos", "tile").mapInArrow(fold, f"{kinds}, {numbers}")
+    lifted = [F.greatest(F.col(c), F.lit(floor)).cast("bigint").alias(c) for c in counted[:-1]]
+    return found.select(*places, *lifted, *(["outside"] if outside else []))
+
+
+def _position_rows(types: list, counted: list, chrom: list, pos: list, tile: list, counts: np.ndarray, codes: list) -> pa.RecordBatch:
+    columns = [pa.array(chrom, types[0]), pa.array(pos, types[1]), pa.array(tile, pa.int32()), *map(pa.array, counts.T.astype(np.int64)), pa.array(codes, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["chrom", "pos", "tile", *counted, "codes"])
+
+
+def _table_rows(types: list, counted: list, chrom: list, pos: list, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(chrom, types[0]), pa.array(pos, types[1]), *map(pa.array, counts.T.astype(np.int64))], names=["chrom", "pos", *counted])
 
 
 def _cells(levels: tuple, floor: int) -> list:

@@ -3,9 +3,10 @@
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -43,6 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a table of their own in the shared folder: computed once, whatever reads them."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per session, for the tasks that run Python."""
     sc = spark.sparkContext

@@ -8,9 +8,7 @@ lines and counts them; each block then becomes one read task, which knows its li
 
 import json
 import logging
-import os
 import uuid
-import zlib
 from collections import defaultdict, namedtuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,22 +25,22 @@ from pyspark.sql.datasource import (
     LessThanOrEqual,
 )
 
+from genopair.operators.contigs import CONTIG_BASE, chromosome_number, contig_dictionary
 from genopair.operators.lookup import union_all, with_row_index
-from genopair.session import shared_folder, ship_package
+from genopair.session import shared_folder, ship_package, stored
+from genopair.storage import file_size as _size
+from genopair.storage import filesystem_of, write_file
+from genopair.storage import read_range as _bytes
 
 log = logging.getLogger(__name__)
 
-PlinkData = namedtuple("PlinkData", "variants samples packed")
+PlinkData = namedtuple("PlinkData", "variants samples packed contigs")
 
 # Public PLINK 1 format: magic bytes for variant-major files, then two bits per sample,
 # lowest first: 00 two copies of a1, 01 missing, 10 one copy, 11 none.
 MAGIC = b"\x6c\x1b\x01"
 MISSING = -1
 A1_COPIES = {0b00: 2, 0b01: MISSING, 0b10: 1, 0b11: 0}
-CHROM_CODES = {"X": 23, "Y": 24, "XY": 25, "MT": 26, "M": 26}
-# Other contigs are numbered from here on by the checksum of their name.
-CONTIG_BASE = 1_000_000
-CONTIG_MASK = (1 << 30) - 1
 
 TARGET_BYTES = 32 << 20  # genotype bytes per task, four genotypes each
 LEAST_BYTES = 1 << 20
@@ -50,39 +48,11 @@ MOST_TASKS = 100_000
 TYPICAL_BIM_LINE = 32
 BATCH_CELLS = 8 << 20  # decoded genotypes per Arrow batch
 
-INDEX_SCHEMA = "file int, start bigint, lines bigint, chroms array<int>, pos_lo bigint, pos_hi bigint"
+INDEX_SCHEMA = "file int, start bigint, lines bigint, contigs array<string>, pos_lo bigint, pos_hi bigint"
 VARIANT_SCHEMA = "chrom int, variant_idx bigint, snp string, cm double, pos bigint, a1 string, a2 string"
 PACKED_SCHEMA = VARIANT_SCHEMA + ", dosage array<tinyint>"
 
 
-def _filesystem(path):
-    from pyarrow import fs
-
-    if "://" not in path:
-        path = os.path.abspath(path)
-    return fs.FileSystem.from_uri(path)
-
-
-def _size(path):
-    filesystem, p = _filesystem(path)
-    info = filesystem.get_file_info(p)
-    return info.size if info.is_file else None
-
-
-def _bytes(path, start, length):
-    filesystem, p = _filesystem(path)
-    with filesystem.open_input_file(p) as f:
-        return f.read_at(length, start)
-
-
-def chrom_number(name: str):
-    """Chromosome code as an integer; X, Y, XY and MT by their PLINK numbers, other contigs by the checksum of their name."""
-    name = (name[3:] if name.lower().startswith("chr") else name).upper()
-    if name.isdigit():
-        return int(name)
-    return CHROM_CODES.get(name) or CONTIG_BASE + (zlib.crc32(name.encode()) & CONTIG_MASK)
-
-
 class _Range(InputPartition):
     def __init__(self, file, start, end):
         self.file, self.start, self.end = file, start, end
@@ -120,8 +90,7 @@ class BimIndexReader(DataSourceReader):
         fields = [line.split() for line in text.splitlines() if line.strip()]
         if fields:
             pos = [int(f[3]) for f in fields]
-            chroms = sorted({c for c in (chrom_number(f[0].decode()) for f in fields) if c is not None})
-            yield (part.file, start, len(fields), chroms, min(pos), max(pos))
+            yield (part.file, start, len(fields), sorted({f[0].decode() for f in fields}), min(pos), max(pos))
 
 
 def whole_lines(path, start, end, step=1 << 16):
@@ -149,9 +118,12 @@ def whole_lines(path, start, end, step=1 << 16):
 
 
 class _Block(InputPartition):
-    def __init__(self, prefix="", samples=0, start=0, lines=0, row=0, offset=0, chroms=(), pos_lo=0, pos_hi=0):
+    """Some lines of a trio. ``numbers`` are those of the contigs it holds, by name."""
+
+    def __init__(self, prefix="", samples=0, start=0, lines=0, row=0, offset=0, numbers=None, pos_lo=0, pos_hi=0):
         self.prefix, self.samples, self.start, self.lines, self.row, self.offset = prefix, samples, start, lines, row, offset
-        self.chroms, self.pos_lo, self.pos_hi = chroms, pos_lo, pos_hi
+        self.numbers, self.pos_lo, self.pos_hi = numbers or {}, pos_lo, pos_hi
+        self.chroms = sorted(set(self.numbers.values()))
 
 
 class BedSource(DataSource):
@@ -171,9 +143,7 @@ class BedSource(DataSource):
 
 class BedReader(DataSourceReader):
     def __init__(self, options):
-        filesystem, path = _filesystem(options["index"])
-        with filesystem.open_input_file(path) as f:
-            index = json.loads(f.read())
+        index = json.loads(_bytes(options["index"], 0, _size(options["index"])))
         self.blocks = [_Block(index["prefixes"][b[0]], *b[1:]) for b in index["blocks"]]
         self.genotypes = options.get("genotypes", "true") == "true"
         self.count_a2 = options.get("countAllele", "a1") == "a2"
@@ -194,7 +164,7 @@ class BedReader(DataSourceReader):
         if not block.lines:
             return
         names = _bim_lines(block)
-        wanted = [k for k, f in enumerate(names) if self._wanted(chrom_number(f[0]), int(f[3]))]
+        wanted = [k for k, f in enumerate(names) if self._wanted(block.numbers[f[0]], int(f[3]))]
         width = -(-block.samples // 4)
         step = max(1, BATCH_CELLS // max(1, block.samples))
         table = decode_table(self.count_a2)
@@ -202,7 +172,7 @@ class BedReader(DataSourceReader):
             rows = wanted[at : at + step]
             part = [names[k] for k in rows]
             columns = [
-                pa.array([chrom_number(f[0]) for f in part], pa.int32()),
+                pa.array([block.numbers[f[0]] for f in part], pa.int32()),
                 pa.array([block.offset + block.row + k for k in rows], pa.int64()),
                 pa.array([f[1] for f in part], pa.string()),
                 pa.array([float(f[2]) for f in part], pa.float64()),
@@ -297,12 +267,15 @@ def read_plink(
     region=None,
     count_allele: str = "a1",
     target_bytes: int | None = None,
+    contigs: DataFrame | None = None,
 ) -> PlinkData:
-    """``PlinkData(variants, samples, packed)`` of one or more file trios over the same samples.
+    """``PlinkData(variants, samples, packed, contigs)`` of one or more file trios over the same samples.
 
     ``packed`` has one row per variant with ``dosage array<tinyint>``; ``variants`` is the
     same without touching the genotypes. ``chroms`` and ``region=(chrom, start, end)`` skip
-    whole blocks before any genotype is read. A missing trio is reported and skipped.
+    whole blocks before any genotype is read. A missing trio is reported and skipped. ``contigs``
+    numbers the names that are no chromosomes (``contig_dictionary``); given a known dictionary, the
+    files' new names are added to it.
     """
     if count_allele not in ("a1", "a2"):
         raise ValueError("count_allele is 'a1' or 'a2'")
@@ -335,14 +308,16 @@ def read_plink(
         share = total // (2 * spark.sparkContext.defaultParallelism)
         target_bytes = max(min(TARGET_BYTES, max(LEAST_BYTES, share)), total // MOST_TASKS)
     block_bytes = max(4096, TYPICAL_BIM_LINE * target_bytes // max(1, width))
-    index = (
+    found = (
         spark.read.format("plink_bim_index")
         .option("files", json.dumps([p + ".bim" for p in present]))
         .option("blockBytes", str(block_bytes))
         .load()
-        .orderBy("file", "start")
-        .collect()  # one row per read task
     )
+    found = stored(found, "plink-blocks")
+    contigs = stored(contig_dictionary(found.select(F.explode("contigs").alias("contig")), contigs), "contigs")
+    index = found.orderBy("file", "start").collect()  # one row per read task
+    numbers = {r["contig"]: r["chrom"] for r in contigs.where(F.col("chrom") >= CONTIG_BASE).collect()}  # names that are no chromosomes
     of_file = defaultdict(list)
     for b in index:
         of_file[b["file"]].append(b)
@@ -350,8 +325,9 @@ def read_plink(
     for i, prefix in enumerate(present):
         row = 0
         for b in of_file[i]:
-            if _touches(b, chroms, region):
-                blocks.append((i, n, b["start"], b["lines"], row, offset, b["chroms"], b["pos_lo"], b["pos_hi"]))
+            own = {name: numbers.get(name) or chromosome_number(name) for name in b["contigs"]}
+            if _touches(set(own.values()), b, chroms, region):
+                blocks.append((i, n, b["start"], b["lines"], row, offset, own, b["pos_lo"], b["pos_hi"]))
             row += b["lines"]
         expected = 3 + row * width
         if _size(prefix + ".bed") != expected or _bytes(prefix + ".bed", 0, 3) != MAGIC:
@@ -360,10 +336,7 @@ def read_plink(
 
     # the list of blocks goes to the shared folder; plans and tasks only name it
     place = f"{shared_folder(spark)}/plink-index-{uuid.uuid4().hex[:12]}.json"
-    filesystem, path = _filesystem(place)
-    filesystem.create_dir(os.path.dirname(path), recursive=True)
-    with filesystem.open_output_stream(path) as f:
-        f.write(json.dumps({"prefixes": present, "blocks": blocks}).encode())
+    write_file(place, json.dumps({"prefixes": present, "blocks": blocks}).encode())
 
     def load(genotypes):
         reader = spark.read.format("plink_bed").option("index", place).option("genotypes", genotypes)
@@ -375,15 +348,15 @@ def read_plink(
             reader = reader.option("region", json.dumps(list(region)))
         return reader.load()
 
-    return PlinkData(load("false"), samples, load("true"))
+    return PlinkData(load("false"), samples, load("true"), contigs)
 
 
-def _touches(block, chroms, region) -> bool:
-    if chroms is not None and not set(chroms) & set(block["chroms"]):
+def _touches(numbers, block, chroms, region) -> bool:
+    if chroms is not None and not set(chroms) & numbers:
         return False
     if region is not None:
         chrom, start, end = region
-        return chrom in block["chroms"] and block["pos_lo"] <= end and block["pos_hi"] >= start
+        return chrom in numbers and block["pos_lo"] <= end and block["pos_hi"] >= start
     return True
 
 

@@ -1,18 +1,23 @@
 """Tables read by the pipelines: call sets, cases, outcomes, samples, HLA typings."""
 
+import re
 from collections import namedtuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from genopair.functions.ids import format_id
+from genopair.operators.contigs import SCHEMA as CONTIGS
 from genopair.operators.hla import CASE_LOCI, case_column
-from genopair.operators.lookup import first_by
+from genopair.operators.lookup import first_by, lookup_join
+from genopair.session import stored
 
 # Column names of the input files below are fixed values: they are what such files carry.
 
 CallSet = namedtuple("CallSet", "variants calls samples")
-PackedCallSet = namedtuple("PackedCallSet", "packed samples")
+Checked = namedtuple("Checked", "rows broken")
+PackedCallSet = namedtuple("PackedCallSet", "packed samples contigs")
 
 
 def read_delimited(spark: SparkSession, path, sep: str = "\t", header: bool = True) -> DataFrame:
@@ -20,6 +25,40 @@ def read_delimited(spark: SparkSession, path, sep: str = "\t", header: bool = Tr
     return spark.read.option("header", header).option("sep", sep).csv(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_checked(spark: SparkSession, path, schema: str, sep: str = ",", header: bool = True, most_broken: float = 0.01, quarantine: str | None = None) -> Checked:
+    """``Checked(rows, broken)`` of delimited text with the columns of ``schema``, a DDL string.
+
+    A row with too few or too many fields, or with a field that is no value of its column's type, is
+    broken: it is left out of ``rows`` and stands in ``broken`` as ``file, block, line, reason, text``; ``line`` counts
+    from 0 behind the block of the file that begins at byte ``block``. ``broken`` is written to ``quarantine``, or
+    to the shared folder. The read stops if more than ``most_broken`` of all rows are broken.
+    """
+    names = StructType.fromDDL(schema).names
+    raw = spark.read.schema(f"{schema}, {CORRUPT} string").option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+    raw = raw.option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")]
+    # Spark judges a row by the columns that a query asks for, so all are read, once, and kept.
+    read = stored(raw.select("*", *place), "checked")
+    blocks = read.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n"), F.count(CORRUPT).alias("n_broken"))
+    total, bad = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_broken"), F.lit(0))).first()
+    if bad > most_broken * total:
+        raise ValueError(f"{bad} of {total} rows are broken")
+    fields = F.size(F.split("text", re.escape(sep), -1))
+    reason = F.when(fields < len(names), "short").when(fields > len(names), "long").otherwise("unparsable")
+    broken = lookup_join(read.where(F.col(CORRUPT).isNotNull()), blocks.select("_file", "_block", "_first"), ["_file", "_block"])
+    broken = broken.select(F.col("_file").alias("file"), F.col("_block").alias("block"), (F.col("_id") - F.col("_first")).alias("line"), F.col(CORRUPT).alias("text"))
+    broken = broken.select("file", "block", "line", reason.alias("reason"), "text")
+    if quarantine is None:
+        broken = stored(broken, "quarantine")
+    else:
+        broken.write.parquet(quarantine)
+        broken = spark.read.schema(broken.schema).parquet(quarantine)
+    return Checked(read.where(F.col(CORRUPT).isNull()).select(*names), broken)
+
+
 def _in_file_order(raw: DataFrame) -> DataFrame:
     """Adds ``file_order``: file name, place of the block in it, and row in the block.
 
@@ -90,11 +129,17 @@ def read_callset(spark: SparkSession, path: str, chroms=None, min_an: int | None
 
 
 def read_packed(spark: SparkSession, path: str, chroms=None) -> PackedCallSet:
-    """Packed call set as written from PLINK or VCF; ``chroms=(first, last)`` prunes partitions."""
+    """Packed call set as written from PLINK or VCF; ``chroms=(first, last)`` prunes partitions.
+
+    ``contigs`` are the names behind the numbers, empty for a call set saved without them.
+    """
     packed = spark.read.parquet(f"{path}/variants")
     if chroms is not None:
         packed = packed.filter(F.col("chrom").between(*chroms))
-    return PackedCallSet(packed, spark.read.parquet(f"{path}/samples"))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/contigs")
+    saved = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    contigs = spark.read.parquet(f"{path}/contigs") if saved else spark.createDataFrame([], CONTIGS)
+    return PackedCallSet(packed, spark.read.parquet(f"{path}/samples"), contigs)
 
 
 def read_encoded(spark: SparkSession, path, chroms=None) -> DataFrame:

@@ -1,51 +1,71 @@
 """VCF text as packed genotypes, one row per record."""
 
 from collections import namedtuple
+from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genopair.operators.lookup import union_all, with_row_index
-from genopair.sources.plink import CHROM_CODES, CONTIG_BASE, CONTIG_MASK
+from genopair.operators.contigs import chromosome_code, chromosome_number, contig_dictionary, with_chrom
+from genopair.operators.lookup import union_all, with_offsets
+from genopair.session import stored
+from genopair.sources import vcf_blocks
+from genopair.storage import file_size
 
-VcfData = namedtuple("VcfData", "packed samples")
+VcfData = namedtuple("VcfData", "packed samples contigs")
 
 # columns before the first sample: CHROM POS ID REF ALT QUAL FILTER INFO FORMAT
 FIXED_COLUMNS = 9
 
 
-def read_vcf(spark: SparkSession, path, partitions: int | None = None, compressed: bool | None = None, chroms=None, region=None) -> VcfData:
-    """``VcfData(packed, samples)`` of one or more files over the same samples.
+def read_vcf(
+    spark: SparkSession, path, partitions: int | None = None, compressed: bool | None = None, chroms=None, region=None, contigs: DataFrame | None = None, range_bytes: int | None = None
+) -> VcfData:
+    """``VcfData(packed, samples, contigs)`` of one or more files over the same samples.
 
     ``packed`` holds ``chrom, contig, pos, snp, variant_idx, ref, alt, an, ac, numalt`` and the
     allele numbers of every sample in ``a1`` and ``a2`` (NULL when missing; a haploid call
     has no ``a2``). Samples are matched by name: a path whose ``#CHROM`` line lists them in
     another order than the first one's is put in that order, one with other samples is refused,
     and one without such a line, like the parts of a split file, follows the first. Records are
-    numbered without gaps, whatever is filtered. ``chroms`` and ``region=(chrom, start, end)``
-    drop records by their first two fields, before any other is looked at. A gzip file is one
-    split, so its records are spread out after reading.
+    numbered without gaps, whatever is filtered.
+
+    ``contigs`` numbers the names that are no chromosomes (``contig_dictionary``); given a known
+    dictionary, the files' new names are added to it. ``chroms`` and ``region=(chrom, start, end)``
+    name chromosomes by number, or any contig by name; they drop records by their first two
+    fields, before any other is looked at.
+
+    Block-gzip files are read in ranges of ``range_bytes``, a task each. Where every file has its
+    ``.tbi`` index, a region reads only the blocks that hold it; its records, and the dictionary, are then
+    numbered by what is read. Any other gzip file is one split, so its records are spread out after reading.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    found = [spark.read.text(p).filter(F.col("value").startswith("#CHROM")).first() for p in paths]
-    if found[0] is None:
-        raise ValueError(f"{paths[0]} has no #CHROM line")
-    headers = [found[0]["value"] if h is None else h["value"] for h in found]
-    names = headers[0].split("\t")[FIXED_COLUMNS:]
-    samples = spark.createDataFrame(list(enumerate(names)), "sample_idx bigint, sample_id string")
+    blocks = compressed is not False and vcf_blocks.in_blocks(paths)
     if compressed is None:
         compressed = all(p.endswith((".gz", ".bgz")) for p in paths)
+    groups, names = _groups(spark, vcf_blocks.data_files(paths), True) if blocks else _groups(spark, paths, False)
+    samples = spark.createDataFrame(list(enumerate(names)), "sample_idx bigint, sample_id string")
+    if blocks:
+        lines = _block_records(spark, groups, region, range_bytes or vcf_blocks.RANGE_BYTES)
+    else:
+        lines = union_all([_records(spark, group, header, k) for k, (header, group) in enumerate(groups.items())])
 
-    groups = {h: [p for p, own in zip(paths, headers) if own == h] for h in dict.fromkeys(headers)}
-    lines = union_all([_records(spark, group, header, k) for k, (header, group) in enumerate(groups.items())])
-    lines = with_row_index(lines, "variant_idx")
+    # One pass tells how many records, and which contigs, each partition has.
     name, position = F.substring_index("value", "\t", 1), F.substring_index(F.substring_index("value", "\t", 2), "\t", -1)
-    lines = lines.select("value", "variant_idx", "_order", chrom_code(name).alias("chrom"), position.cast("bigint").alias("pos"))
+    numbered = lines.withColumn("_mid", F.monotonically_increasing_id())
+    part = F.shiftright("_mid", 33)
+    seen = stored(numbered.groupBy(part.alias("_part"), name.alias("contig")).agg(F.count(F.lit(1)).alias("_n")), "contigs")
+    numbered = with_offsets(numbered, seen.groupBy("_part").agg(F.sum("_n").alias("_n")), "variant_idx")
+    contigs = stored(contig_dictionary(seen.select("contig"), contigs), "contigs")
+
+    kept = numbered.select("value", "variant_idx", "_order", name.alias("contig"), position.cast("bigint").alias("pos"))
     if chroms is not None:
-        lines = lines.filter(F.col("chrom").isin(*chroms))
+        kept = kept.filter(reduce(lambda a, b: a | b, [_is_contig(c) for c in chroms], F.lit(False)))
     if region is not None:
-        lines = lines.filter((F.col("chrom") == region[0]) & F.col("pos").between(region[1], region[2]))
-    if compressed:
+        kept = kept.filter(_is_contig(region[0]) & F.col("pos").between(region[1], region[2]))
+    lines = with_chrom(kept, contigs, F.col("contig")).drop("contig")
+    if compressed and not blocks:
         lines = lines.repartition(partitions) if partitions else lines.repartition("variant_idx")
 
     orders = [_order_of(names, h.split("\t")[FIXED_COLUMNS:], groups[h][0]) for h in groups]
@@ -83,7 +103,7 @@ def read_vcf(spark: SparkSession, path, partitions: int | None = None, compresse
             "_gt", lambda g: F.when(F.instr(g, "/") > 0, F.substring_index(g, "/", -1).try_cast("tinyint"))
         ).alias("a2"),
     )
-    return VcfData(packed, samples)
+    return VcfData(packed, samples, contigs)
 
 
 def _records(spark: SparkSession, paths: list, header: str, number: int) -> DataFrame:
@@ -105,14 +125,59 @@ def _order_of(names: list, own: list, path: str) -> list | None:
     return [at[n] for n in names]
 
 
-def chrom_code(name: Column) -> Column:
-    """Chromosome name to its integer code; any other contig has a code made from its name."""
-    bare = F.upper(F.regexp_replace(name, "^(?i)chr", ""))
-    code = bare.try_cast("int")
-    for text, number in CHROM_CODES.items():
-        code = F.when(bare == text, F.lit(number)).otherwise(code)
-    other = F.lit(CONTIG_BASE) + F.crc32(bare.cast("binary")).bitwiseAND(CONTIG_MASK)
-    return F.coalesce(code, F.when(F.length(bare) > 0, other.cast("int")))
+def _is_contig(wanted) -> Column:
+    """Whether the column ``contig`` is the chromosome of a number, or a contig of that very name."""
+    number = wanted if isinstance(wanted, int) else chromosome_number(wanted)
+    return F.coalesce(chromosome_code(F.col("contig")) == number, F.lit(False)) if number is not None else F.col("contig") == wanted
+
+
+def _groups(spark: SparkSession, paths: list, blocks: bool) -> tuple[dict, list]:
+    """Paths by their ``#CHROM`` line, in the order they are given, and the sample names of the first.
+
+    Lines come from one job over all paths, which hands equal ones over once. Those of a folder's
+    files are that folder's.
+    """
+    if blocks:
+        found = vcf_blocks.headers(spark, paths).where("header IS NOT NULL")
+        of_path = {p: p for p in paths}
+    else:
+        lines = spark.read.text(paths).filter(F.col("value").startswith("#CHROM"))
+        found = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("header"))
+        of_path = {urlsplit(p).path.rstrip("/"): p for p in paths}
+    header_of = {}
+    for row in found.groupBy("header").agg(F.sort_array(F.collect_set("file")).alias("files")).collect():
+        for file in row["files"]:
+            place = file if blocks else unquote(urlsplit(file).path)
+            while place and place not in of_path:
+                place = place.rpartition("/")[0]
+            # a pattern, or a path that reads otherwise than it is written, can only be one of one
+            given = of_path.get(place) or (paths[0] if len(paths) == 1 else None)
+            if given is None:
+                raise ValueError(f"{file} is in none of the given paths")
+            header_of[given] = min(header_of.get(given, row["header"]), row["header"])
+    if paths and paths[0] not in header_of:
+        raise ValueError(f"{paths[0]} has no #CHROM line")
+    first = header_of[paths[0]]
+    groups: dict[str, list] = {}
+    for p in paths:
+        groups.setdefault(header_of.get(p, first), []).append(p)
+    return groups, first.split("\t")[FIXED_COLUMNS:]
+
+
+def _block_records(spark: SparkSession, groups: dict, region, range_bytes: int) -> DataFrame:
+    """Record lines of block-gzip files, and which sample order each has."""
+    files = [f for group in groups.values() for f in group]
+    order = [k for k, group in enumerate(groups.values()) for _ in group]
+    if region is not None and all(file_size(f + ".tbi") is not None for f in files):
+        number = region[0] if isinstance(region[0], int) else chromosome_number(region[0])
+        wanted = lambda name: chromosome_number(name) == number if number is not None else name == region[0]
+        ranges = vcf_blocks.region_ranges(files, wanted, region[1], region[2], range_bytes)
+    else:
+        ranges = vcf_blocks.whole_ranges(files, range_bytes)
+    lines = vcf_blocks.read_lines(spark, files, ranges)
+    if len(groups) == 1:
+        return lines.select("value", F.lit(0).alias("_order"))
+    return lines.select("value", F.element_at(F.array(*[F.lit(k) for k in order]), F.col("file") + 1).alias("_order"))
 
 
 def _genotype(sample: Column, slot: Column) -> Column:

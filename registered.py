@@ -7,9 +7,9 @@ from pyspark.sql import types as T
 import fixture_views as fx
 import oracle_text as ot
 from genopair.functions import encode, hla as hla_f, ids, stats
-from genopair.operators import annotate, association, cohort, hla, lookup, packed, pairs, quality, tables
-from genopair.plans import callset, dosage
-from genopair.sources import plink, sinks, tables as sources, vcf
+from genopair.operators import annotate, association, cohort, contigs, hla, lookup, packed, pairs, quality, tables
+from genopair.plans import callset, dosage, restart
+from genopair.sources import buckets, plink, sinks, tables as sources, vcf
 
 QUERIES, ORACLE = {}, {}
 
@@ -146,11 +146,11 @@ def vcf_sample_orders(spark, sf_dir):
     """Two files that list the same samples in opposite orders; calls follow the names."""
     calls = fx.calls(spark, sf_dir)
     rows, ids, folder = fx.pack_calls(calls, ("a1", "a2")), calls.select("sample_id").distinct(), fx.new_folder(spark, "vcf")
-    first = fx.write_vcf(spark, rows.filter("variant_idx < 30").coalesce(1).sortWithinPartitions("variant_idx"), ids, f"{folder}/a")
+    first = fx.write_vcf(spark, rows.filter("variant_idx < 30"), ids, f"{folder}/a")
     other = fx.write_vcf(spark, rows.filter("variant_idx >= 30"), ids, f"{folder}/b", backwards=True)
-    # the record folder of the second file follows its own header
-    joined = spark.read.text(other[0]).unionByName(spark.read.text(other[1]))
-    joined.coalesce(1).write.text(f"{folder}/whole")
+    # the records of the second file lie beside its own header
+    spark.read.text(other[0]).write.text(f"{folder}/whole")
+    spark.read.text(other[1]).write.mode("append").text(f"{folder}/whole")
     data = vcf.read_vcf(spark, [*first, f"{folder}/whole"])
     index = ((F.col("pos") - 16000000) / 7919).cast("bigint")
     numbers = data.packed.agg(F.min("variant_idx"), F.max("variant_idx"), F.count_distinct("variant_idx")).first()
@@ -190,9 +190,70 @@ def contigs_apart(spark, sf_dir):
     data = vcf.read_vcf(spark, paths)
     pr = fx.pairs(spark, sf_dir).select("case_id", *[F.col(c).cast("string").alias(c) for c in ("did", "rid")])
     table = tables.packed_contingency(data.packed, data.samples, pr, outcome_status(spark, sf_dir), "count")
-    code = F.col("chrom")
-    contig = F.when(code == vcf.chrom_code(F.lit(CONTIGS[0])), CONTIGS[0]).when(code == vcf.chrom_code(F.lit(CONTIGS[1])), CONTIGS[1])
-    return table.withColumn("contig", contig).drop("chrom")
+    return contigs.with_contig(table, data.contigs).drop("chrom")
+
+
+def _block_vcf(spark, sf_dir, contig=None):
+    """The calls as a folder of block-gzip VCF files with indexes; small blocks, so that there are many."""
+    calls = fx.calls(spark, sf_dir)
+    name = F.concat(F.lit("chr"), F.col("chrom").cast("string")) if contig is None else contig
+    rows = fx.pack_calls(calls, ("a1", "a2")).withColumn("contig", name)
+    samples = calls.select("sample_id").distinct().withColumn("sample_idx", F.col("sample_id"))
+    path = fx.new_folder(spark, "vcf-blocks")
+    sinks.write_vcf(rows, samples, path, parts=3, block_bytes=1 << 12)
+    return path
+
+
+VCF_RANGE = 1 << 12  # compressed bytes of a read task
+
+
+@query(ot.sql(CALLS, select=f"SELECT {VCF_CELLS}, c.variant_idx FROM calls c"))
+def vcf_block_gzip(spark, sf_dir):
+    """Block-gzip VCF, written and read in parallel: ranges of blocks, lines put together across them."""
+    data = vcf.read_vcf(spark, _block_vcf(spark, sf_dir), range_bytes=VCF_RANGE)
+    numbers = data.packed.agg(F.min("variant_idx"), F.max("variant_idx"), F.count_distinct("variant_idx")).first()
+    if tuple(numbers) != (0, 63, 64):
+        raise ValueError(f"record numbers have gaps: {numbers}")
+    index = ((F.col("pos") - 16000000) / 7919).cast("bigint")
+    return packed.unpack(data.packed, data.samples, ("a1", "a2"), ["chrom", "pos", "snp"]).withColumn("variant_idx", index)
+
+
+@query(ot.sql(CALLS, select=f"SELECT {VCF_CELLS} FROM calls c WHERE c.chrom = 5 AND c.pos BETWEEN 16031676 AND 16300000"))
+def vcf_block_region(spark, sf_dir):
+    """A region through the files' indexes: only the blocks that hold it are read."""
+    data = vcf.read_vcf(spark, _block_vcf(spark, sf_dir), region=(5, 16031676, 16300000), range_bytes=VCF_RANGE)
+    return packed.unpack(data.packed, data.samples, ("a1", "a2"), ["chrom", "pos", "snp"])
+
+
+# Names that differ in case alone, and names with one checksum.
+SCAFFOLDS = ("scaffold_x", "Scaffold_X", "scvd54tb", "scod7vcb")
+SCAFFOLD_SQL = f"['{SCAFFOLDS[0]}', '{SCAFFOLDS[1]}', '{SCAFFOLDS[2]}', '{SCAFFOLDS[3]}'][variant_idx % 4 + 1]"
+
+
+@query(
+    ot.sql(
+        CALLS, PAIRS, OUTCOMES, STATUS,
+        f"renamed AS (SELECT {SCAFFOLD_SQL} AS chrom, 100 + variant_idx // 4 AS pos, snp, variant_idx, sample_id, a1, a2 FROM calls)",
+        ot.paired("paired", "renamed", "pairs", ("a1", "a2")), allele_sql("count"), ot.contingency("cont", "encoded", "status", (0, 1, 2)),
+        select="SELECT chrom AS contig, pos, case_0, case_1, case_2, control_0, control_1, control_2 FROM cont",
+    )
+)
+def contig_dictionary(spark, sf_dir):
+    """Scaffolds at the same positions, from two files, the second of which brings new names to the saved call set."""
+    calls = fx.calls(spark, sf_dir)
+    v = F.col("variant_idx")
+    rows = fx.pack_calls(calls, ("a1", "a2")).withColumn("pos", F.lit(100) + F.floor(v / 4))
+    name = F.element_at(F.array(*map(F.lit, SCAFFOLDS)), (v % 4).cast("int") + 1)
+    names, folder = calls.select("sample_id").distinct(), fx.new_folder(spark, "scaffolds")
+    first = fx.write_vcf(spark, rows.where(v % 4 < 2), names, f"{folder}/a", contig=name)
+    more = fx.write_vcf(spark, rows.where(v % 4 >= 2), names, f"{folder}/b", contig=name)
+    sinks.vcf_to_parquet(spark, first, f"{folder}/callset")
+    added = vcf.read_vcf(spark, more, contigs=sources.read_packed(spark, f"{folder}/callset").contigs)
+    sinks.add_packed_calls(added.packed, added.samples, added.contigs, f"{folder}/callset")
+    saved = sources.read_packed(spark, f"{folder}/callset")
+    pr = fx.pairs(spark, sf_dir).select("case_id", *[F.col(c).cast("string").alias(c) for c in ("did", "rid")])
+    table = tables.packed_contingency(saved.packed, saved.samples, pr, outcome_status(spark, sf_dir), "count")
+    return contigs.with_contig(table, saved.contigs).drop("chrom")
 
 
 @query(
@@ -225,6 +286,28 @@ def outcome_csv_scan(spark, sf_dir):
     return sources.read_outcomes(spark, path).drop("file_order")
 
 
+BROKEN = """
+listed AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'short' WHEN o_orderkey % 19 = 0 THEN 'long'
+  WHEN o_orderkey % 23 = 0 THEN 'unparsable' ELSE 'row' END AS reason FROM orders)"""
+
+
+@query(ot.sql(BROKEN, select="SELECT reason, count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM listed GROUP BY reason"))
+def broken_rows(spark, sf_dir):
+    """A CSV with short, long and unparsable rows: what is left out stands in quarantine, with its place in the file."""
+    k = F.col("o_orderkey")
+    good = F.concat_ws(",", k.cast("string"), (k * 2).cast("string"), F.lit("x"))
+    line = F.when(k % 17 == 0, F.concat_ws(",", k.cast("string"), F.lit("1"))).when(k % 19 == 0, F.concat(good, F.lit(",more")))
+    line = line.when(k % 23 == 0, F.concat_ws(",", k.cast("string"), F.lit("no number"), F.lit("x"))).otherwise(good)
+    path = fx.new_folder(spark, "broken")
+    fx.table(spark, sf_dir, "orders").repartition(4, "o_orderkey").select(line.alias("value")).write.text(path)
+    read = sources.read_checked(spark, path, "k bigint, twice int, name string", header=False, most_broken=0.5, quarantine=fx.new_folder(spark, "quarantine"))
+    if read.broken.select("file", "block", "line").distinct().count() != read.broken.count():
+        raise ValueError("two broken rows at one place")
+    broken = read.broken.select("reason", F.substring_index("text", ",", 1).cast("bigint").alias("k"))
+    both = broken.unionByName(read.rows.where("twice = 2 * k AND name = 'x'").select(F.lit("row").alias("reason"), "k"))
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys"))
+
+
 @query(ot.sql(SAMPLES, select='SELECT CAST(group_id AS VARCHAR) AS group_id, "group", subject_type, CAST(seq_id AS VARCHAR) AS seq_id FROM samples'))
 def sample_csv_scan(spark, sf_dir):
     path = fx.new_folder(spark, "samples")
@@ -603,6 +686,35 @@ def call_rate_filter(spark, sf_dir):
     return kept.select(*pairs.VARIANT, "case_id", "code")
 
 
+@query(
+    ot.sql(
+        CALLS, PAIRS, PAIRED, encoded_sql("count"), RATES,
+        select=f"SELECT {KEYS}, case_id, CAST(code AS INTEGER) AS code FROM encoded JOIN rates USING ({KEYS}) WHERE call_rate >= 0.95",
+    )
+)
+def call_rate_filter_bucketed(spark, sf_dir):
+    """The same on a matrix saved in buckets of variants: read once, without a shuffle of its rows."""
+    enc = pairs.encode_pairs(paired_dosages(spark, sf_dir), "count").select(*pairs.VARIANT, "case_id", "code")
+    path = fx.new_folder(spark, "bucketed")
+    buckets.write_bucketed(enc, path, sort_by=("pos", "snp"))
+    return quality.filter_call_rate(buckets.read_bucketed(spark, path), n_pairs(spark, sf_dir), bucketed=True)
+
+
+@query(
+    ot.sql(
+        CALLS, PAIRS, PAIRED, encoded_sql("count"), RATES,
+        select=f"""SELECT chrom, count(CASE WHEN call_rate < 0.95 THEN 1 END) AS removed, count(*) AS total,
+        {ot.r6("count(CASE WHEN call_rate < 0.95 THEN 1 END) / CAST(count(*) AS DOUBLE) * 100")} AS percent_removed FROM rates GROUP BY chrom""",
+    )
+)
+def call_rate_report_observed(spark, sf_dir):
+    """Kept and removed variants per chromosome, counted by the pass that filters and saves them."""
+    rates = quality.variant_call_rate(pairs.encode_pairs(paired_dosages(spark, sf_dir), "count"), n_pairs(spark, sf_dir))
+    kept, seen = quality.observed_filter(rates, F.col("call_rate") >= quality.MIN_CALL_RATE, "call rate")
+    sinks.write_table(kept, fx.new_folder(spark, "kept"))
+    return quality.observed_report(spark, seen)
+
+
 @query(
     ot.sql(
         CALLS, PAIRS, PAIRED, encoded_sql("count"), RATES,
@@ -701,6 +813,39 @@ def callset_association_presence(spark, sf_dir):
     return callset.packed_association_log_p(*_packed_callset(spark, sf_dir), "presence")
 
 
+@query(
+    ot.sql(
+        *CHI_ALLELE,
+        select=f"""SELECT chrom, pos, case_0, case_1, case_2, control_0, control_1, control_2, {ot.r6('stat')} AS stat,
+        {ot.r6('p_value')} AS p_value, status, {ot.r6('-ln(p_value)')} AS neg_log_p FROM tested WHERE p_value > 0""",
+    )
+)
+def association_restarted(spark, sf_dir):
+    """The association by chromosomes, stopped after two units and taken up: finished units are not computed again."""
+    rows, slots, samples = _packed_callset(spark, sf_dir)
+    folder = fx.new_folder(spark, "restart")
+    sinks.write_packed_calls(rows, slots, f"{folder}/callset")
+    saved = sources.read_packed(spark, f"{folder}/callset")
+    units = {"1-6": [*range(1, 7)], "7-14": [*range(7, 15)], "15-22": [*range(15, 23)]}
+    stopping = []
+
+    def work(chroms):
+        if stopping and chroms == units["15-22"]:
+            raise InterruptedError(stopping.pop())
+        return callset.packed_association_log_p(saved.packed.where(F.col("chrom").isin(*chroms)), saved.samples, samples, "count")
+
+    run = restart.Run(spark, f"{folder}/run", [f"{folder}/callset"], {"mode": "count"})
+    stopping.append("two units are done")
+    try:
+        run.execute(units, work)
+    except InterruptedError:
+        pass
+    again = restart.Run(spark, f"{folder}/run", [f"{folder}/callset"], {"mode": "count"})
+    if again.execute(units, work) != ["15-22"]:
+        raise ValueError("finished units were computed again")
+    return again.results()
+
+
 @query(ot.sql(*CHI_ALLELE, select=f"SELECT chrom, pos, case_0, case_1, case_2, control_0, control_1, control_2, {ot.r6('stat')} AS stat, {ot.r6('p_value')} AS p_value, status FROM tested"))
 def vcf_callset_association(spark, sf_dir):
     """VCF text converted to a packed call set, then tested without shuffling genotypes."""
@@ -921,6 +1066,21 @@ def matrix_by_case(spark, sf_dir):
     return rows.select("case_id", "chrom", "block", F.array_join(text, ",").alias("codes"))
 
 
+@query(
+    ot.sql(
+        CALLS, PAIRS, PAIRED, encoded_sql("count"),
+        select="""SELECT case_id, chrom, CAST(variant_idx // 10 AS BIGINT) AS block,
+        string_agg(CAST(variant_idx AS VARCHAR) || '=' || coalesce(CAST(code AS VARCHAR), '.'), ',' ORDER BY variant_idx) AS codes FROM encoded GROUP BY ALL""",
+    )
+)
+def matrix_by_case_packed(spark, sf_dir):
+    """The transposed matrix from packed rows: tiles are shuffled, not cells."""
+    rows, slots = _packed_calls(fx.calls(spark, sf_dir))
+    blocks = packed.packed_by_case(rows, slots, fx.pairs(spark, sf_dir), "count", 10)
+    text = F.transform("codes", lambda c: F.concat_ws("=", c["variant_idx"].cast("string"), F.coalesce(c["code"].cast("string"), F.lit("."))))
+    return blocks.select("case_id", "chrom", "block", F.array_join(text, ",").alias("codes"))
+
+
 @query(
     ot.sql(
         CALLS, PAIRS, PAIRED_ALLELES,
@@ -1055,6 +1215,35 @@ def contingency_repeats_dropped(spark, sf_dir):
     return tables.contingency(enc, outcome_status(spark, sf_dir), on_repeat="drop", repeated=repeated)
 
 
+OUTSIDE = """
+outside AS (
+  SELECT chrom, pos, count(CASE WHEN status IS NOT NULL AND code NOT IN (0, 1, 2) THEN 1 END) AS outside
+  FROM (SELECT e.chrom, e.pos, e.case_id, any_value(s.status) AS status, sum(e.code) AS code
+        FROM encoded e LEFT JOIN status s USING (case_id) GROUP BY e.chrom, e.pos, e.case_id)
+  GROUP BY chrom, pos)"""
+
+
+@query(ot.sql(*CROWDED, ot.contingency("cont", "encoded", "status", (0, 1, 2)), OUTSIDE, select="SELECT * FROM cont JOIN outside USING (chrom, pos)"))
+def contingency_repeated_positions_packed(spark, sf_dir):
+    """The same from packed rows in one scan of the genotypes, with the number of sums that no level holds."""
+    rows, slots = _packed_calls(fx.calls(spark, sf_dir), ("a1", "a2"))
+    return tables.packed_contingency(fx.crowd_positions(rows), slots, fx.pairs(spark, sf_dir), outcome_status(spark, sf_dir), "count", outside=True)
+
+
+@query(
+    ot.sql(
+        CALLS, "twice AS (SELECT *, 0 AS copy FROM calls UNION ALL SELECT *, 1 FROM calls WHERE variant_idx % 3 = 0)", PAIRS, OUTCOMES, STATUS,
+        ot.paired("paired", "twice", "pairs", ("a1", "a2"), f"{KEYS}, copy"), allele_sql("count"), ot.contingency("cont", "encoded", "status", (0, 1, 2)),
+        select="SELECT * FROM cont",
+    )
+)
+def contingency_repeated_rows(spark, sf_dir):
+    """Rows that repeat a whole variant key: each counts, as rows of other variants at the position do."""
+    rows, slots = _packed_calls(fx.calls(spark, sf_dir), ("a1", "a2"))
+    twice = rows.unionByName(rows.where(F.col("variant_idx") % 3 == 0))
+    return tables.packed_contingency(twice, slots, fx.pairs(spark, sf_dir), outcome_status(spark, sf_dir), "count")
+
+
 FLOORED = [*CHI_ALLELE[:-2], ot.contingency("cont", "encoded", "complete_status", (0, 1, 2), floor=1)]
 
 

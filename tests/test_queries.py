@@ -30,6 +30,16 @@ NAMES = [
     "vcf_sample_orders",
     "contigs_apart",
     "strong_associations",
+    "vcf_block_gzip",
+    "vcf_block_region",
+    "contig_dictionary",
+    "contingency_repeated_positions_packed",
+    "contingency_repeated_rows",
+    "matrix_by_case_packed",
+    "call_rate_filter_bucketed",
+    "call_rate_report_observed",
+    "association_restarted",
+    "broken_rows",
 ]
 
 

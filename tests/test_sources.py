@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import fixture_views as fx
-from genopair.operators import cohort, hla, packed
-from genopair.sources import plink, sinks, tables, vcf
+from genopair.operators import cohort, contigs, hla, packed
+from genopair.sources import bgzf, plink, sinks, tables, vcf, vcf_blocks
 from tests.conftest import rows
 
 CODES = {2: 0b00, None: 0b01, 1: 0b10, 0: 0b11}
@@ -171,7 +171,8 @@ def test_vcf(spark, folder, suffix):
     assert (got[100].a1, got[100].a2) == ([0, 1, None], [1, 1, None])
     assert (got[200].a1, got[200].a2) == ([0, 1, 2], [2, None, 1])
     assert (got[300].a1, got[300].a2) == ([0, None, 0], [0, None, None])
-    assert [got[p].chrom for p in (100, 200, 300)] == [1, 23, plink.chrom_number("chrUn_1")]
+    assert [got[p].chrom for p in (100, 200, 300)] == [1, 23, contigs.CONTIG_BASE]
+    assert rows(data.contigs) == [("X", 23), ("chr1", 1), ("chrUn_1", contigs.CONTIG_BASE)]
     assert [got[p].variant_idx for p in (100, 200, 300)] == [0, 1, 2] and got[300].contig == "chrUn_1"
     assert (got[100].an, got[100].ac, got[100].numalt) == (6, [2], 1)
     assert (got[200].alt, got[200].ac, got[200].numalt) == (["C", "G"], [1, 1], 2)
@@ -205,11 +206,179 @@ def test_vcf_region_leaves_other_records_alone(spark, folder):
     assert [r.pos for r in vcf.read_vcf(spark, f"{folder}/a.vcf", chroms=[23]).packed.collect()] == [200]
 
 
-def test_other_contigs_have_codes_of_their_own(spark):
-    names = ["1", "chrX", "MT", "GL000192.1", "chrUn_1", "HLA-A*01:01", ""]
-    got = [r.c for r in spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").select("k", vcf.chrom_code(F.col("n")).alias("c")).orderBy("k").collect()]
-    assert got[:3] == [1, 23, 26] and got[6] is None and len(set(got)) == len(got)
-    assert got[:6] == [plink.chrom_number(n) for n in names[:6]]
+NAMES = ["1", "chrX", "MT", "GL000192.1", "chrUn_1", "HLA-A*01:01", "scaffold_x", "Scaffold_X", "SCAF_HASH_A", "SCAF_HASH_B", "", "12345678"]
+
+
+def test_other_contigs_have_numbers_of_their_own(spark):
+    df = spark.createDataFrame([(n,) for n in NAMES + NAMES], "contig string")
+    found = contigs.contig_dictionary(df)
+    of = dict(rows(found))
+    assert len(of) == found.count() == len(NAMES) - 1 and (of["1"], of["chrX"], of["MT"]) == (1, 23, 26)
+    others = [of[n] for n in NAMES if n in of and contigs.chromosome_number(n) is None]
+    assert sorted(others) == list(range(contigs.CONTIG_BASE, contigs.CONTIG_BASE + len(others)))
+    # more names leave the numbers alone
+    more = contigs.contig_dictionary(df.unionByName(spark.createDataFrame([("new",), ("X",)], "contig string")), found)
+    assert dict(rows(more)) == of | {"new": max(others) + 1, "X": 23}
+    back = contigs.with_contig(contigs.with_chrom(df.withColumnRenamed("contig", "c"), more, F.col("c")).where("c <> 'X'"), more)
+    assert all(r.contig == r.c or r.c == "chrX" for r in back.collect() if r.c)
+    assert [r.chrom for r in contigs.with_chrom(df, found.where("contig = '1'"), F.col("contig")).where("contig = 'MT'").collect()] == [26, 26]
+
+
+def test_plink_contigs_by_name(spark, folder):
+    names = ["scaffold_x", "Scaffold_X", "1", "chr1", "chrUn"]
+    write_trio(f"{folder}/g", [[k % 3] * 4 for k in range(10)], "abcd", [names[k % 5] for k in range(10)])
+    data = plink.read_plink(spark, f"{folder}/g")
+    of = dict(rows(data.contigs))
+    assert of["1"] == of["chr1"] == 1 and len(set(of.values())) == 4
+    assert [r.chrom for r in data.packed.orderBy("variant_idx").collect()] == [of[names[k % 5]] for k in range(10)]
+    only = plink.read_plink(spark, f"{folder}/g", chroms=[of["Scaffold_X"]], contigs=data.contigs)
+    assert [r.variant_idx for r in only.variants.orderBy("variant_idx").collect()] == [1, 6] and dict(rows(only.contigs)) == of
+
+
+def test_a_call_set_grows_by_files_with_new_contigs(spark, folder):
+    def file(name, contigs_):
+        with open(f"{folder}/{name}.vcf", "w") as f:
+            f.write("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\n")
+            f.writelines(f"{c}\t{10 + k}\trs\tA\tC\t.\t.\t.\tGT\t0/1\t1/1\n" for k, c in enumerate(contigs_))
+        return f"{folder}/{name}.vcf"
+
+    sinks.vcf_to_parquet(spark, file("a", ["one", "two", "1"]), f"{folder}/c")
+    saved = tables.read_packed(spark, f"{folder}/c")
+    more = vcf.read_vcf(spark, file("b", ["ONE", "two", "three"]), contigs=saved.contigs)
+    sinks.add_packed_calls(more.packed, more.samples, more.contigs, f"{folder}/c")
+    whole = tables.read_packed(spark, f"{folder}/c")
+    of = dict(rows(whole.contigs))
+    assert len(set(of.values())) == 5 and rows(saved.contigs) == rows(whole.contigs.where("contig IN ('one', 'two', '1')"))
+    got = [(r.variant_idx, r.chrom) for r in whole.packed.orderBy("variant_idx").collect()]
+    assert got == list(enumerate(of[n] for n in ("one", "two", "1", "ONE", "two", "three")))
+    with pytest.raises(ValueError, match="other samples"):
+        sinks.add_packed_calls(more.packed, more.samples.limit(1), more.contigs, f"{folder}/c")
+    sinks.write_packed_calls(saved.packed, saved.samples, f"{folder}/bare")
+    assert tables.read_packed(spark, f"{folder}/bare").contigs.count() == 0
+
+
+def block_file(path, text, size, level=6):
+    with open(path, "wb") as f:
+        f.write(b"".join(bgzf.compress(text[at : at + size], level) for at in range(0, len(text), size)) + bgzf.END_OF_FILE)
+
+
+@pytest.mark.parametrize("size", [5, 23, 1000])
+@pytest.mark.parametrize("end", [b"", b"\n"])
+def test_ranges_of_blocks_give_each_line_once(folder, size, end):
+    text = b"\n".join(b"%d" % (k * 7919 ** (k % 5)) for k in range(120)) + b"\n\n" + b"x" * 300 + b"\nlast" + end
+    path = f"{folder}/a.gz"
+    block_file(path, text, size)
+    with gzip.open(path) as f:
+        assert f.read() == text
+    whole = text.split(b"\n")[: -1 if end else None]
+    total = bgzf.file_size(path)
+    for step in (1, 17, 64, 500, total):
+        got = [x for at in range(0, total, step) for group in bgzf.lines(bgzf.Blocks(path), at, min(at + step, total)) for x in group]
+        assert got == whole
+
+
+def test_bytes_that_look_like_a_block_are_none(folder):
+    fake = bgzf.compress(b"inner")[:18]
+    path = f"{folder}/a.gz"
+    block_file(path, fake * 40 + b"\n", 100, level=0)
+    starts = [at for at, _ in bgzf.Blocks(path).from_(0)]
+    size = bgzf.file_size(path)
+    assert [bgzf.Blocks(path).first_from(at) for at in range(size)] == [min([s for s in starts if s >= at], default=size) for at in range(size)]
+    assert not bgzf.is_block_gzip(gzip.compress(b"plain")) and bgzf.is_block_gzip(bgzf.END_OF_FILE)
+
+
+def test_the_index_finds_all_records_of_a_region(folder):
+    """A random table against brute force, through the written index."""
+    rng = np.random.default_rng(1)
+    records = sorted((f"c{rng.integers(3)}", int(rng.integers(1, 3_000_000)), int(rng.integers(1, 90_000))) for _ in range(3000))
+    text, places = b"#CHROM\n", []
+    for name, pos, length in records:
+        places.append(len(text))
+        text += b"%s\t%d\t%d\n" % (name.encode(), pos, length)
+    path = f"{folder}/a.gz"
+    block_file(path, text, 700)
+    starts = [(at, k * 700) for k, (at, _) in enumerate(bgzf.Blocks(path).from_(0))]
+    virtual = lambda at: starts[at // 700][0] << 16 | at % 700
+    builder = bgzf.IndexBuilder()
+    for (name, pos, length), at, after in zip(records, places, [*places[1:], len(text)]):
+        builder.add(name, pos - 1, pos - 1 + length, virtual(at), virtual(after) if after < len(text) else starts[-1][0] << 16)
+    index = bgzf.Index(builder.content())
+    assert index.names == ["c0", "c1", "c2"] and index.chunks("none", 0, 10) == []
+    for name, start, length in [("c0", 0, 10), ("c1", 1_000_000, 5), ("c2", 1_500_000, 60_000), ("c0", 0, 1 << 29), ("c1", 2_999_999, 1), ("c2", 5_000_000, 10)]:
+        want = {r for r in records if r[0] == name and r[1] - 1 < start + length and r[1] - 1 + r[2] > start}
+        got, read = [], 0
+        for a, b in index.chunks(name, start, start + length):
+            blocks = bgzf.Blocks(path)
+            got += [tuple(x.decode().split("\t")) for group in bgzf.lines(blocks, a >> 16, b >> 16, a & 0xFFFF, b & 0xFFFF) for x in group]
+            read += blocks.read
+        assert len(got) == len(set(got)) and want <= {(n, int(p), int(k)) for n, p, k in got}
+        assert length > 100_000 or read < len(starts) / 4
+
+
+def blocks_folder(spark, folder, n=400):
+    data = [(f"chr{1 + k % 3}", 100 + 37 * k, f"rs{k}", ["C"], [k % 2, 1, None], [1, k % 3, None]) for k in range(n)]
+    rows_ = spark.createDataFrame(data, "contig string, pos bigint, snp string, alt array<string>, a1 array<tinyint>, a2 array<tinyint>")
+    samples = spark.createDataFrame([(0, "A"), (1, "B"), (2, "C")], "sample_idx bigint, sample_id string")
+    sinks.write_vcf(rows_, samples, f"{folder}/v", parts=2, block_bytes=256)
+    return {d[2]: d for d in data}
+
+
+def test_block_gzip_vcf_in_many_tasks(spark, folder):
+    import glob
+    import os
+
+    want = blocks_folder(spark, folder)
+    assert sorted(os.listdir(f"{folder}/v")) == sorted(os.path.basename(f) for f in glob.glob(f"{folder}/v/part-*.vcf.gz*")) and len(glob.glob(f"{folder}/v/*.tbi")) == 2
+    one = sorted(glob.glob(f"{folder}/v/*.gz"))
+    for path, share in ((f"{folder}/v", 1.0), (one[0], None), (one, 1.0)):
+        data = vcf.read_vcf(spark, path, range_bytes=1000)
+        assert data.packed.rdd.getNumPartitions() > 4
+        got = data.packed.collect()
+        assert sorted(r.variant_idx for r in got) == list(range(len(got))) and (share is None or len(got) == len(want))
+        assert all((r.contig, r.pos, r.alt, r.a1, r.a2) == (want[r.snp][0], want[r.snp][1], ["C"], *want[r.snp][4:]) for r in got)
+        assert {r.chrom for r in got} <= {1, 2, 3} and [r.sample_id for r in data.samples.orderBy("sample_idx").collect()] == ["A", "B", "C"]
+    with pytest.raises(Exception, match="no task"):
+        spark.dataSource.register(vcf_blocks.BlockVcfSource)
+        bad = spark.range(10, numPartitions=2).select(F.lit("1").alias("contig"), F.col("id").alias("pos"), F.when(F.col("id") < 8, "1\t2\t3\t4\t5").otherwise(F.raise_error(F.lit("no task"))).alias("value"))
+        vcf_blocks.write_blocks(bad, "#h\n", f"{folder}/bad")
+    assert not os.path.exists(f"{folder}/bad") or os.listdir(f"{folder}/bad") == []
+
+
+def test_a_region_reads_few_blocks(spark, folder):
+    want = blocks_folder(spark, folder, 2000)
+    files = vcf_blocks.data_files([f"{folder}/v"])
+    total = sum(len(list(bgzf.Blocks(f).from_(0))) for f in files)
+    for region in ((2, 20_000, 21_000), ("chr3", 100, 400), (1, 70_000, 90_000), (9, 1, 100), (1, 1, 1 << 40)):
+        number = region[0] if isinstance(region[0], int) else 3
+        data = vcf.read_vcf(spark, f"{folder}/v", region=region, range_bytes=2000)
+        expected = sorted(d[1] for d in want.values() if d[0] == f"chr{number}" and region[1] <= d[1] <= region[2])
+        assert sorted(r.pos for r in data.packed.collect()) == expected
+        ranges = vcf_blocks.region_ranges(files, lambda n: contigs.chromosome_number(n) == number, region[1], region[2], 2000)
+        read = 0
+        for k, lo, hi, skip, stop in ranges:
+            blocks = bgzf.Blocks(files[k])
+            list(bgzf.lines(blocks, lo, hi, skip, stop))
+            read += blocks.read
+        assert region[2] > 50_000 or read <= total / 8
+    # without an index everything is read, and the same rows come out
+    one = sorted(files)[0]
+    import shutil
+
+    shutil.copy(one, f"{folder}/bare.vcf.gz")
+    bare = vcf.read_vcf(spark, f"{folder}/bare.vcf.gz", region=(1, 100, 30_000)).packed
+    assert rows(bare, "pos", "snp") == rows(vcf.read_vcf(spark, one, region=(1, 100, 30_000)).packed, "pos", "snp")
+
+
+def test_headers_of_many_files_in_one_job(spark, folder):
+    for k in range(30):
+        with open(f"{folder}/{k:02d}.vcf", "w") as f:
+            f.write(VCF)
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("headers", "headers")
+    groups, names = vcf._groups(spark, [f"{folder}/{k:02d}.vcf" for k in range(30)], False)
+    jobs = len(tracker.getJobIdsForGroup("headers"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert names == ["A", "B", "C"] and [len(g) for g in groups.values()] == [30] and jobs <= 3
 
 
 def test_tasks_of_the_bed_reader_do_not_carry_the_blocks(folder):
@@ -220,7 +389,7 @@ def test_tasks_of_the_bed_reader_do_not_carry_the_blocks(folder):
     for n in (10, 10_000):
         path = f"{folder}/index-{n}.json"
         with open(path, "w") as f:
-            f.write(json.dumps({"prefixes": ["p"], "blocks": [[0, 4, k, 1, k, 0, [1], 1, 2] for k in range(n)]}))
+            f.write(json.dumps({"prefixes": ["p"], "blocks": [[0, 4, k, 1, k, 0, {"1": 1}, 1, 2] for k in range(n)]}))
         reader = plink.BedReader({"index": path})
         assert len(reader.partitions()) == n
         sizes.append(len(pickle.dumps(reader)))
@@ -350,3 +519,19 @@ def test_fixture_files_equal_fixture_calls(spark, folder, sf_dir):
     data = vcf.read_vcf(spark, paths, compressed=True)
     got = packed.unpack(data.packed.withColumn("variant_idx", ((F.col("pos") - 16000000) / 7919).cast("bigint")), data.samples, ("a1", "a2"), ["variant_idx"])
     assert rows(got) == want
+
+
+def test_broken_rows_are_told_with_their_place(spark, folder):
+    with open(f"{folder}/a.csv", "w") as f:
+        f.write("a,b,c\n1,2,x\n3,4\n5,6,y,z\n7,seven,w\n8,9,\n")
+    with open(f"{folder}/b.csv", "w") as f:
+        f.write("a,b,c\n10,11,\"q,r\"\n")
+    read = tables.read_checked(spark, f"{folder}/*.csv", "a int, b int, c string", most_broken=0.5)
+    assert rows(read.rows) == [(1, 2, "x"), (8, 9, None), (10, 11, "q,r")]
+    assert sorted(r.a for r in read.rows.select("a").collect()) == [1, 8, 10] and read.rows.count() == 3
+    got = [(r.file.rsplit("/", 1)[1], r.block, r.line, r.reason, r.text) for r in read.broken.orderBy("line").collect()]
+    assert got == [("a.csv", 0, 1, "short", "3,4"), ("a.csv", 0, 2, "long", "5,6,y,z"), ("a.csv", 0, 3, "unparsable", "7,seven,w")]
+    with pytest.raises(ValueError, match="3 of 6"):
+        tables.read_checked(spark, f"{folder}/*.csv", "a int, b int, c string", most_broken=0.4)
+    clean = tables.read_checked(spark, f"{folder}/b.csv", "a int, b int, c string", quarantine=f"{folder}/q")
+    assert clean.broken.count() == 0 and clean.rows.count() == 1 and spark.read.parquet(f"{folder}/q").count() == 0

@@ -209,7 +209,7 @@ def test_packed_pairs_equal_long_pairs(cohort_data, monkeypatch):
     want = rows(pairs.pair_calls(packed.unpack(rows_, samples), cases, keys=packed.VARIANT_KEY))
     assert len(want) == 30 * 20
     assert rows(packed.packed_pairs(rows_, samples, cases)) == want
-    monkeypatch.setattr(roster, "PIECE_BYTES", 200)
+    monkeypatch.setattr(roster, "TILE_BYTES", 200)
     assert rows(packed.packed_pairs(rows_, samples, cases)) == want
 
 
@@ -220,7 +220,7 @@ def test_packed_counts_equal_long_counts(cohort_data, monkeypatch, mode):
     want = rows(association.code_counts(pairs.encode_pairs(paired, mode, packed.VARIANT_KEY), o, dosage.OUTCOMES, packed.VARIANT_KEY))
     got = packed.packed_code_counts(rows_, samples, cases, o, dosage.OUTCOMES, mode)
     assert rows(got) == want
-    monkeypatch.setattr(roster, "PIECE_BYTES", 200)
+    monkeypatch.setattr(roster, "TILE_BYTES", 200)
     assert rows(packed.packed_code_counts(rows_, samples, cases, o, dosage.OUTCOMES, mode)) == want
 
 
@@ -250,7 +250,7 @@ def test_packed_alleles_equal_long_alleles(spark, monkeypatch):
     for mode in ("count", "presence"):
         want = rows(tables.contingency(callset.encode_alleles(paired, mode), status, mode, repeated=quality.repeated_positions(rows_)))
         for size in (1 << 20, 150):
-            monkeypatch.setattr(roster, "PIECE_BYTES", size)
+            monkeypatch.setattr(roster, "TILE_BYTES", size)
             assert rows(tables.packed_contingency(rows_, slots, pr, status, mode)) == want
     want = rows(tables.mismatch_type_frequency(callset.encode_mismatch_types(paired)))
     assert rows(packed.packed_type_counts(rows_, slots, pr)) == want
@@ -279,7 +279,7 @@ def test_packed_codes_and_back(cohort_data, monkeypatch, chunk):
     assert without(codes) == want
     assert without(packed.pack(enc, order, chunk)) == want
     assert codes.agg(F.max(F.size("codes"))).first()[0] == min(chunk, 20)
-    monkeypatch.setattr(roster, "PIECE_BYTES", 100)
+    monkeypatch.setattr(roster, "TILE_BYTES", 100)
     assert without(packed.packed_codes(rows_, samples, cases, "count_directed", chunk)) == want
 
 
@@ -328,3 +328,103 @@ def test_an_unsettled_fit_is_told(cohort_data, monkeypatch):
     monkeypatch.setattr(association, "NEWTON_STEPS", 1)
     early = association.logistic_additive(levels).filter("status = 'not_converged'").collect()
     assert early and all(r.beta is None and r.p_value is None for r in early)
+
+
+def test_counts_are_of_rows_whatever_the_number_of_tiles(spark, monkeypatch):
+    """Two rows with one whole key: the same rows from one tile of pairs and from many."""
+    data = [(1, 10, "rs1", 1, [0, 1], [1, 1]), (1, 10, "rs1", 1, [0, 0], [0, 1]), (1, 20, "rs2", 2, [1, 0], [None, 0])]
+    rows_ = spark.createDataFrame(data, "chrom int, pos bigint, snp string, variant_idx bigint, a1 array<tinyint>, a2 array<tinyint>")
+    slots = spark.createDataFrame([("s0", 0), ("s1", 1)], "sample_id string, sample_idx bigint")
+    pr = spark.createDataFrame([("c1", "s0", "s1"), ("c2", "s1", "s0"), ("c3", "s0", "s0")], "case_id string, did string, rid string")
+    status = spark.createDataFrame([("c1", "case"), ("c2", "control"), ("c3", "case")], "case_id string, status string")
+    found = []
+    for size in (64 << 20, 8):
+        monkeypatch.setattr(roster, "TILE_BYTES", size)
+        found.append(
+            [
+                rows(tables.packed_contingency(rows_, slots, pr, status, "count")),
+                rows(packed.packed_allele_counts(rows_, slots, pr, status, "count")),
+                rows(packed.packed_type_counts(rows_, slots, pr)),
+            ]
+        )
+    assert found[0] == found[1]
+    table, counts, types = found[0]
+    assert [(r[1]) for r in table] == [10, 20] and len(counts) == 9 and len(types) == 3
+    # position 10: c1 and c2 differ by 1 and 1, that is 2 together; c3 by nothing
+    assert table[0] == (1, 10, 1, 0, 1, 0, 0, 1)
+
+
+def test_tiles_stay_in_the_shared_folder(spark, monkeypatch):
+    """The driver gets a path and a count for each tile, however many pairs there are."""
+    monkeypatch.setattr(roster, "TILE_BYTES", 4096)
+    sizes = []
+    for n in (1000, 4000):
+        pr = spark.range(n).select(F.col("id").alias("case_id"), F.col("id").cast("int").alias("d"), F.lit(None).cast("int").alias("r"))
+        tiles = roster.write_tiles(pr, F.col("case_id"), by_case=True)
+        found = [t for _, t in tiles.tables()]
+        assert sorted(x for t in found for x in t["case_id"].to_pylist()) == list(range(n))
+        assert max(t.nbytes for t in found) < 4 * 4096 and all(roster.column(t, "r").max() == roster.ABSENT for t in found)
+        sizes.append(len(tiles.paths))
+    assert sizes[1] > 3 * sizes[0]
+
+
+def test_many_alleles_are_coded_as_few_ones_are():
+    from genopair.functions import encode_arrays as ea
+
+    rng = np.random.default_rng(8)
+    for high in (3, 9, 100):
+        d1, d2, r1, r2 = (rng.integers(-1, high + 1, (40, 30)).astype(np.int16) for _ in range(4))
+        for mode in ("count", "presence"):
+            cells = ea.by_genotypes(lambda *a, m=mode: ea.allele_cells(m, *a))
+            got = cells(ea.genotype_number(d1, d2), ea.genotype_number(r1, r2))
+            assert (got == ea.allele_cells(mode, d1, d2, r1, r2)).all()
+
+
+@pytest.mark.parametrize("mode", ["count", "presence"])
+@pytest.mark.parametrize("size", [1 << 20, 120])
+def test_repeated_positions_from_packed_rows_in_one_scan(spark, monkeypatch, mode, size):
+    """Rows of one position all over the table, missing calls, sums outside the levels, a case with two pairs."""
+    rng = np.random.default_rng(5)
+    n, m = 20, 40
+    allele = lambda: [None if x < 0 else int(x) for x in rng.integers(-1, 6, n)]
+    # a third of all rows at one position, several at others
+    data = [(1 + v % 2, 100 if v % 3 == 0 else 200 + v // 4, f"rs{v}", v, allele(), allele()) for v in rng.permutation(m).tolist()]
+    data.append((3, 7, "none", 99, [None] * n, [None] * n))
+    rows_ = spark.createDataFrame(data, "chrom int, pos bigint, snp string, variant_idx bigint, a1 array<tinyint>, a2 array<tinyint>").repartition(5)
+    slots = spark.createDataFrame([(f"s{k}", k) for k in range(n)], "sample_id string, sample_idx bigint")
+    pr = spark.createDataFrame([(f"c{k}", f"s{k}", f"s{k + 10}") for k in range(10)] + [("c3", "s1", "s2"), ("c97", "x", "s5")], "case_id string, did string, rid string")
+    status = spark.createDataFrame([(f"c{k}", ("case", "control")[k % 2]) for k in range(9)], "case_id string, status string")
+    paired = pairs.pair_calls(packed.unpack(rows_, slots, ("a1", "a2"), pairs.VARIANT), pr, ("a1", "a2"))
+    want = tables.contingency(callset.encode_alleles(paired, mode), status, mode, repeated=quality.repeated_positions(rows_), outside=True)
+    monkeypatch.setattr(roster, "TILE_BYTES", size)
+    got = tables.packed_contingency(rows_, slots, pr, status, mode, outside=True)
+    assert rows(got, *want.columns) == rows(want) and want.agg(F.sum("outside")).first()[0] > 0
+    monkeypatch.setattr(tables, "HELD_CELLS", 1)
+    assert rows(tables.packed_contingency(rows_, slots, pr, status, mode, outside=True), *want.columns) == rows(want)
+
+
+def test_repeated_positions_read_genotypes_once(spark, folder):
+    from genopair.sources import sinks, tables as saved_tables
+
+    rows_ = spark.createDataFrame([(1, 10 + v // 2, f"rs{v}", v, [0, 1], [1, 1]) for v in range(8)], "chrom int, pos bigint, snp string, variant_idx bigint, a1 array<tinyint>, a2 array<tinyint>")
+    slots = spark.createDataFrame([("s0", 0), ("s1", 1)], "sample_id string, sample_idx bigint")
+    sinks.write_packed_calls(rows_, slots, f"{folder}/c")
+    calls = saved_tables.read_packed(spark, f"{folder}/c").packed
+    pr = spark.createDataFrame([("c1", "s0", "s1")], "case_id string, did string, rid string")
+    status = spark.createDataFrame([("c1", "case")], "case_id string, status string")
+    physical = tables.packed_contingency(calls, slots, pr, status)._jdf.queryExecution().executedPlan().toString()
+    assert sum("a1:array" in line for line in physical.splitlines() if "FileScan" in line) == 1
+
+
+@pytest.mark.parametrize("chunk,size", [(8, 1 << 20), (7, 100), (1000, 1 << 20)])
+def test_matrix_by_case_from_packed_rows(cohort_data, monkeypatch, chunk, size):
+    rows_, samples, cases, _ = cohort_data
+    enc = pairs.encode_pairs(packed.packed_pairs(rows_, samples, cases), "count", packed.VARIANT_KEY)
+    once = enc.filter("case_id <> 'c3'")
+    want = rows(packed.by_case(once, chunk))
+    monkeypatch.setattr(roster, "TILE_BYTES", size)
+    got = packed.packed_by_case(rows_.repartition(3), samples, cases, "count", chunk)
+    assert rows(got.filter("case_id <> 'c3'")) == want
+    assert got.filter("case_id = 'c3'").agg(F.sum(F.size("codes"))).first()[0] == 30
+    monkeypatch.setattr(packed, "WAITING_CELLS", 1)
+    assert rows(packed.packed_by_case(rows_, samples, cases, "count", chunk).filter("case_id <> 'c3'")) == want
