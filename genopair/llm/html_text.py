@@ -261,22 +261,20 @@ def neighbours(pages: DataFrame, scratch: Scratch) -> DataFrame:
     places = places.repartitionByRange("host", "path").sortWithinPartitions("host", "path").withColumn("part", F.spark_partition_id())
     places = scratch.write(places, "places")
     inside = Window.partitionBy("part", "host").orderBy("path")
-    step = lambda f, w: f(F.struct("path", "uid")).over(w)
-    near = places.select("*", step(F.lag, inside).alias("before"), step(F.lead, inside).alias("after"))
+    near = places.select("*", F.lag("uid").over(inside).alias("before"), F.lead("uid").over(inside).alias("after"))
     # A range's first and last places of a host: two rows for each range and host at a border.
     borders = near.where("before IS NULL OR after IS NULL").select("part", "host", "path", "uid")
     counts = borders.groupBy("host").agg(F.count_distinct("part").alias("parts")).where("parts > 1").select("host")
     across = Window.partitionBy("host").orderBy("path")
     borders = borders.join(F.broadcast(counts), "host", "left_semi")
-    borders = borders.select("host", "path", step(F.lag, across).alias("far_before"), step(F.lead, across).alias("far_after"))
+    borders = borders.select("host", "path", F.lag("uid").over(across).alias("far_before"), F.lead("uid").over(across).alias("far_after"))
     near = near.join(borders, ["host", "path"], "left")
-    found = F.array_compact(F.array(F.coalesce("before", "far_before")["uid"], F.coalesce("after", "far_after")["uid"]))
-    pairs = near.select("host", "path", F.explode(found).alias("other"))
-    keys = read.select(F.col("uid").alias("other"), "keys").dropDuplicates(["other"])
-    # Tables of their own, so that Spark can split the joins on a path or a page that many rows share.
-    lists = scratch.write(pairs.join(keys, "other").groupBy("host", "path").agg(F.sort_array(F.collect_list("keys")).alias("near")), "lists")
-    own = read.select("uid", "host", "path").distinct()
-    return scratch.write(own.join(lists, ["host", "path"]).select("uid", "near"), "near")
+    found = F.array_compact(F.array(F.coalesce("before", "far_before"), F.coalesce("after", "far_after")))
+    # A table of its own, so that Spark can split the join on a path that many rows share.
+    near = scratch.write(near.select("host", "path", found.alias("others")), "near")
+    asks = read.select("uid", "host", "path").distinct().join(near, ["host", "path"]).select("uid", F.explode("others").alias("other"))
+    keys = read.groupBy(F.col("uid").alias("other")).agg(F.any_value("keys").alias("keys"))
+    return asks.join(keys, "other").groupBy("uid").agg(F.sort_array(F.collect_list("keys")).alias("near"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
