@@ -112,15 +112,17 @@ class Slice:
     """The tokens of some texts, text after text, and their alignment."""
 
     def __init__(self, a: Vocabulary, b: Vocabulary, texts: list[str]):
-        size = [len(t.encode("utf-8")) + 1 for t in texts]
+        none = np.zeros(0, np.int64)
         filled = [k for k, t in enumerate(texts) if t]
-        ids_a, ids_b = [[]] * len(texts), [[]] * len(texts)
+        ids_a, ids_b = [none] * len(texts), [none] * len(texts)
         for k, x, y in zip(filled, a.encode([texts[k] for k in filled]), b.encode([texts[k] for k in filled])):
             whole = b" " + texts[k].encode("utf-8")
-            if b"".join(map(a.bytes.__getitem__, x)) == whole == b"".join(map(b.bytes.__getitem__, y)):
-                ids_a[k], ids_b[k] = x, y
+            x, spelt = np.array(x, np.int64), b"".join(map(b.bytes.__getitem__, y))
+            # merges of a text's own bytes spell it if they are as long
+            if spelt == whole and a.lengths[x].sum() == len(whole):
+                ids_a[k], ids_b[k] = x, np.array(y, np.int64)
         self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        self.a, self.b = (np.fromiter((i for x in ids for i in x), np.int64, n.sum()) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b)))
+        self.a, self.b = (np.concatenate([none, *ids], dtype=np.int64) for ids in (ids_a, ids_b))
         doc = np.arange(len(texts))
         self.doc_a, self.doc_b = np.repeat(doc, self.n_a), np.repeat(doc, self.n_b)
         # Offsets in the texts that have tokens, one behind the other.
@@ -158,9 +160,17 @@ class Slice:
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Text and pair key of each link. Two tokens that overlap share one stretch between neighbouring ends of either kind."""
-        a, b = self.vocabularies
-        ends = np.union1d(self.end_a, self.end_b)
-        at_a, at_b = np.searchsorted(self.end_a, ends), np.searchsorted(self.end_b, ends)
+        _, b = self.vocabularies
+        n = len(self.a)
+        both = np.isin(self.end_a, self.end_b, assume_unique=True) if n else np.zeros(0, bool)
+        # Ends of A, and those of B alone, merged; an end's tokens are the first ones that reach it.
+        alone = np.ones(len(self.b), bool)
+        alone[np.searchsorted(self.end_b, self.end_a[both])] = False
+        order = np.argsort(np.concatenate([self.end_a, self.end_b[alone]]), kind="stable")
+        of_a = order < n
+        of_b = ~of_a
+        of_b[of_a] = both
+        at_a, at_b = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
         return self.doc_a[at_a], self.a[at_a] * len(b.bytes) + self.b[at_b]
 
 
