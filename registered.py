@@ -9,7 +9,7 @@ import oracle_text as ot
 from genopair.functions import encode, hla as hla_f, ids, stats
 from genopair.operators import annotate, association, cohort, contigs, hla, lookup, packed, pairs, quality, tables
 from genopair.plans import callset, dosage, restart
-from genopair.sources import buckets, plink, sinks, tables as sources, vcf
+from genopair.sources import buckets, hml, plink, sinks, tables as sources, vcf
 
 QUERIES, ORACLE = {}, {}
 
@@ -1568,6 +1568,38 @@ def typing_report_xml(spark, sf_dir):
     )
 
 
+HEADER = {"GeneratedBy": "typing service", "MessageReceived": "2018-04-01 00:00:12.345"}
+
+
+@query(
+    ot.sql(
+        *_report_sql("II"), fx.SEQUENCES_SQL,
+        """phases AS (
+          SELECT sample_id, locus, 'ref' || CAST(ref1 AS VARCHAR) AS ref_id, type1 AS allele FROM report
+          UNION ALL SELECT sample_id, locus, 'ref' || CAST(ref2 AS VARCHAR), type2 FROM report WHERE ref2 IS NOT NULL),
+        found AS (SELECT * FROM phases JOIN seqs USING (allele))""",
+        select=f"""SELECT 'property' AS kind, unnest(['{"', '".join(HEADER)}']) AS name, unnest(['{"', '".join(HEADER.values())}']) AS value
+        UNION ALL SELECT 'property', 'SampleCount', CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT case_id, role, sample_id FROM report)
+        UNION ALL SELECT 'HLA-' || locus || ' Exon2', CAST(sample_id AS VARCHAR) || ' ' || ref_id, exon2 FROM found
+        UNION ALL SELECT 'HLA-' || locus || ' Exon3', CAST(sample_id AS VARCHAR) || ' ' || ref_id, replace(exon3, '*', '') FROM found WHERE replace(exon3, '*', '') <> ''""",
+    )
+)
+def typing_report_document(spark, sf_dir):
+    """The report as one document, parsed again: its header with the counted samples, and every sequence."""
+    rows = _report_rows(spark, sf_dir, "II")
+    report = hla.typing_report(rows, hla.sequence_blocks(rows, _sequences_for(rows), "II"), "II")
+    path = fx.new_folder(spark, "hml-document")
+    hml.write_hml_document(report, path, "typings", HEADER, ("999", "999999-2018-4-1"), "999")
+    whole = fx.new_folder(spark, "hml-whole") + ".xml"
+    hml.join_document(path, whole)
+    names = spark.read.format("xml").schema("_name string, _value string").option("rowTag", "property").load(whole)
+    header = names.select(F.lit("property").alias("kind"), F.col("_name").alias("name"), F.col("_value").alias("value"))
+    samples = spark.read.format("xml").schema(report.schema).option("rowTag", "sample").load(whole)
+    blocks = samples.select("_id", F.explode("typing").alias("t")).select("_id", F.explode("t.consensus-sequence.consensus-sequence-block").alias("b"))
+    name = F.concat_ws(" ", F.col("_id").cast("string"), F.col("b._reference-sequence-id"))
+    return header.unionByName(blocks.select(F.col("b._description").alias("kind"), name.alias("name"), F.col("b.sequence").alias("value")))
+
+
 @query(
     """SELECT 'F' || CAST(c_custkey AS VARCHAR) AS old_fid, 'I' || CAST(c_custkey AS VARCHAR) AS old_iid, 'F' || CAST(c_custkey AS VARCHAR) AS fid,
     'RAND' || CAST(1000000 + (c_custkey * {a} + {b}) % 9000000 AS VARCHAR) AS iid FROM customer""".format(**dict(zip("ab", cohort.affine_key(1))))

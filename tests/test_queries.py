@@ -40,6 +40,7 @@ NAMES = [
     "call_rate_report_observed",
     "association_restarted",
     "broken_rows",
+    "typing_report_document",
 ]
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from genopair.operators import pairs, quality
 from genopair.plans import restart
-from genopair.sources import buckets
+from genopair.sources import buckets, hml
 from tests.conftest import rows
 
 
@@ -83,3 +83,25 @@ def test_an_observed_filter_counts_what_it_drops(spark):
     by_chrom = quality.call_rate_report(rates.withColumn("chrom", F.when(F.col("chrom") < 27, F.col("chrom"))), 0.6)
     assert rows(quality.observed_report(spark, seen), "chrom", "removed", "total", "percent_removed") == rows(by_chrom, "chrom", "removed", "total", "percent_removed")
     assert pairs.VARIANT == ["chrom", "pos", "snp", "variant_idx"]
+
+
+def test_a_document_counts_its_samples(spark, folder):
+    import xml.etree.ElementTree as ET
+
+    report = spark.range(50, numPartitions=5).select(F.col("id").alias("_id"), F.concat(F.lit("a & <b> "), F.col("id").cast("string")).alias("note"))
+    hml.write_hml_document(report, f"{folder}/d", 'a "project"', {"GeneratedBy": "x & y"}, ("9", "8"), "7")
+    assert hml.join_document(f"{folder}/d", f"{folder}/one.xml") == os.path.getsize(f"{folder}/one.xml")
+    root = ET.parse(f"{folder}/one.xml").getroot()
+    assert root.tag == "hml" and root.get("project-name") == 'a "project"'
+    assert {p.get("name"): p.get("value") for p in root.iter("property")} == {"GeneratedBy": "x & y", "SampleCount": "50"}
+    assert root.find("hmlid").attrib == {"root": "9", "extension": "8"} and root.find("reporting-center").get("reporting-center-id") == "7"
+    assert sorted((int(s.get("id")), s.find("note").text) for s in root.iter("sample")) == [(k, f"a & <b> {k}") for k in range(50)]
+    with pytest.raises(ValueError, match="holds files"):
+        hml.write_hml_document(report, f"{folder}/d", "x")
+    bad = report.withColumn("note", F.when(F.col("_id") < 40, F.col("note")).otherwise(F.raise_error(F.lit("stopped"))))
+    with pytest.raises(Exception, match="stopped"):
+        hml.write_hml_document(bad, f"{folder}/bad", "x")
+    assert not os.path.exists(f"{folder}/bad") or os.listdir(f"{folder}/bad") == []
+    hml.write_hml_document(report.limit(0), f"{folder}/none", "x")
+    hml.join_document(f"{folder}/none", f"{folder}/none.xml")
+    assert ET.parse(f"{folder}/none.xml").getroot().find("property").get("value") == "0"
