@@ -2,9 +2,12 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import fixture_views as fx
+from genopair.functions import encode_arrays
 from genopair.operators import association, packed, pairs, quality, roster, tables
 from genopair.plans import callset, dosage
 from tests.conftest import rows
@@ -428,3 +431,41 @@ def test_matrix_by_case_from_packed_rows(cohort_data, monkeypatch, chunk, size):
     assert got.filter("case_id = 'c3'").agg(F.sum(F.size("codes"))).first()[0] == 30
     monkeypatch.setattr(packed, "WAITING_CELLS", 1)
     assert rows(packed.packed_by_case(rows_, samples, cases, "count", chunk).filter("case_id <> 'c3'")) == want
+
+
+def test_joint_counts_of_uneven_rows():
+    """Pairs by joint cell and class: rows of several lengths, missing lists and values, slots beyond a list, pairs in many tiles."""
+    rng = np.random.default_rng(5)
+    lists = [None if k == 3 else [None if x == 3 else int(x) for x in rng.integers(0, 4, 200 - 30 * (k % 4))] for k in range(11)]
+    d, r = (rng.integers(-1, 230, 700).astype(np.int32) for _ in range(2))
+    r[d < 0] = 5
+    cls = rng.choice([0, 2, 3, 6], 700).astype(np.int32)
+
+    class Some:
+        def tables(self):
+            for k in range(3):
+                yield k, roster._in_classes(pa.table({"d": d[k::3], "r": r[k::3], "cls": cls[k::3]}))
+
+    want = np.zeros((11, 16, 7), np.int64)
+    for row, values in enumerate(lists):
+        number = lambda s: 3 if values is None or s < 0 or s >= len(values) or values[s] is None else values[s]
+        for a, b, c in zip(d.tolist(), r.tolist(), cls.tolist()):
+            want[row, 4 * number(a) + number(b), c] += 1
+    for kind in (pa.int8(), pa.int32()):
+        found = roster.joint_counts(pa.array(lists, pa.list_(kind)), Some(), 7, encode_arrays.dosage_number)
+        assert (found == want).all()
+
+
+def test_dosages_are_counted_where_they_are_made(spark, folder):
+    """The grid's lists never leave the task that counts them: one step of Python, and the rows are those of the plain formula."""
+    spark.range(60).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment")).write.parquet(f"{folder}/customer.parquet")
+    spark.range(40).select((F.col("id") * 31 + 1).alias("p_partkey")).write.parquet(f"{folder}/part.parquet")
+    grid = fx.grid_packed(spark, folder, cells=300)
+    assert grid.rdd.getNumPartitions() >= 8
+    plain = fx.grid_variants(spark, folder).withColumn("dosage", F.transform(F.sequence(F.lit(0), F.lit(59)), lambda c: fx.grid_dosage(c, F.col("variant_idx"))))
+    assert grid.count() == 40 and grid.exceptAll(plain).isEmpty() and plain.exceptAll(grid).isEmpty()
+    counts = packed.packed_mode_counts(grid, fx.grid_samples(spark, folder), fx.grid_pairs(spark, folder), fx.grid_outcomes(spark, folder), dosage.OUTCOMES, ("count",))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+    listed = packed.packed_mode_counts(plain, fx.grid_samples(spark, folder), fx.grid_pairs(spark, folder), fx.grid_outcomes(spark, folder), dosage.OUTCOMES, ("count",))
+    assert rows(counts) == rows(listed)
