@@ -469,3 +469,23 @@ def test_dosages_are_counted_where_they_are_made(spark, folder):
     assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
     listed = packed.packed_mode_counts(plain, fx.grid_samples(spark, folder), fx.grid_pairs(spark, folder), fx.grid_outcomes(spark, folder), dosage.OUTCOMES, ("count",))
     assert rows(counts) == rows(listed)
+
+
+def test_lists_are_made_once_for_the_long_form(spark, folder):
+    """No filter on the lists' size has them made again, before they are spread; pairs of known partitions meet without a shuffle."""
+    spark.range(60).select(F.col("id").alias("c_custkey")).write.parquet(f"{folder}/customer.parquet")
+    spark.range(40).select((F.col("id") * 31 + 1).alias("p_partkey")).write.parquet(f"{folder}/part.parquet")
+    grid = fx.grid_packed_plain(spark, folder, cells=300)
+    assert grid.exceptAll(fx.grid_packed(spark, folder)).isEmpty() and grid.count() == 40
+    calls = packed.unpack(grid, fx.grid_samples(spark, folder))
+    plan = calls._jdf.queryExecution().executedPlan().toString()
+    assert calls.count() == 40 * 60 and "size(" not in plan
+    paired = pairs.pair_calls(calls, fx.grid_pairs(spark, folder), ("dosage",), packed.VARIANT_KEY)
+    plan = paired._jdf.queryExecution().executedPlan().toString()
+    assert paired.count() == 40 * 30 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_unpack_drops_rows_without_calls(spark):
+    rows_ = spark.createDataFrame([(1, 1, [0, None]), (1, 2, []), (1, 3, None)], "chrom int, variant_idx bigint, dosage array<tinyint>")
+    slots = spark.createDataFrame([("a", 0), ("b", 1)], "sample_id string, sample_idx bigint")
+    assert rows(packed.unpack(rows_, slots)) == [(1, 1, "a", 0), (1, 1, "b", None)]
