@@ -74,12 +74,13 @@ def read_vcf(
     info, alt = F.get(f, 7), F.split(F.get(f, 4), ",")
     no_alt = F.get(f, 4) == "."
     slot = F.array_position(F.split(F.get(f, 8), ":"), "GT").cast("int")
-    in_line = F.slice(f, FIXED_COLUMNS + 1, F.lit(max(len(names), 1)))
-    in_order = in_line
-    for k, order in enumerate(orders):
-        if order is not None:
-            places = F.array(*[F.lit(i) for i in order])
-            in_order = F.when(F.col("_order") == k, F.transform(places, lambda i: F.get(in_line, i))).otherwise(in_order)
+    in_order = F.slice(f, FIXED_COLUMNS + 1, F.lit(max(len(names), 1)))
+    if any(order is not None for order in orders):
+        # a row for each other order, since a plan with a literal for each sample, at every record, grows with their square
+        other = [(k, order) for k, order in enumerate(orders) if order is not None]
+        lines = lines.join(F.broadcast(spark.createDataFrame(other, "_order int, _places array<int>")), "_order", "left")
+        in_other = F.transform("_places", lambda i: F.get(f, i + FIXED_COLUMNS))
+        in_order = F.when(F.col("_places").isNotNull(), in_other).otherwise(in_order)
     calls = F.when(complete, in_order).otherwise(
         F.raise_error(F.concat(F.lit("record with a wrong number of fields at "), F.get(f, 0), F.lit(":"), F.get(f, 1)))
     )
