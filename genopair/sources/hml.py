@@ -1,9 +1,10 @@
 """Typing reports as one XML document: a header that counts its samples, and the samples."""
 
 import uuid
+from collections import namedtuple
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -18,6 +19,8 @@ SAMPLE_COUNT = "SampleCount"
 
 COPY_BYTES = 8 << 20
 
+HmlData = namedtuple("HmlData", "properties samples")
+
 
 class _Part(WriterCommitMessage):
     def __init__(self, name, samples):
@@ -111,3 +114,25 @@ def join_document(path: str, to: str) -> int:
             for at in range(0, file_size(part), COPY_BYTES):
                 size += out.write(read_range(part, at, COPY_BYTES))
     return size
+
+
+def read_hml_document(spark: SparkSession, path, schema) -> HmlData:
+    """``HmlData(properties, samples)``: name and value of the document's properties, and its ``sample`` elements as rows of ``schema``.
+
+    Spark's XML reader gives a whole file to one task. Here a line ends where a sample does, so tasks read ranges
+    of the file; what stands before a line's sample, as the header does, is looked through for properties. Documents
+    are as ``write_hml_document`` writes them: elements with end tags, no markup quoted in comments or CDATA.
+    """
+    lines = spark.read.option("lineSep", "</sample>").text(path)
+    value = F.col("value")
+    start = F.regexp_instr(value, F.lit(r"<sample[\s>]"))
+    # the last line is the document's end, or what a sample cut off leaves, which is refused
+    before = F.when(start > 0, F.substring(value, F.lit(1), start - 1)).otherwise(value)
+    found = lines.select(F.explode(F.regexp_extract_all(before, F.lit(r"(<property\s[^>]*>)"), 1)).alias("p"))
+    parsed = F.from_xml(F.concat(F.regexp_replace("p", r"/?>$", ">"), F.lit("</property>")), "_name string, _value string", {"rowTag": "property"})
+    properties = found.select(parsed.alias("p")).select(F.col("p._name").alias("name"), F.col("p._value").alias("value"))
+    element = F.concat(F.substring(value, start, F.length(value)), F.lit("</sample>"))
+    whole = F.when(F.contains(value, F.lit("</hml>")), F.raise_error(F.lit("a sample without its end"))).otherwise(element)
+    # columns of a generator, so that each sample is parsed once whatever is read of it
+    samples = lines.where(start > 0).select(F.inline_outer(F.array(F.from_xml(whole, schema, {"rowTag": "sample", "mode": "FAILFAST"}))))
+    return HmlData(properties, samples)

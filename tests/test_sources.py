@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import fixture_views as fx
 from genopair.operators import cohort, contigs, hla, packed
-from genopair.sources import bgzf, plink, sinks, tables, vcf, vcf_blocks
+from genopair.sources import bgzf, hml, plink, sinks, tables, vcf, vcf_blocks
 from tests.conftest import rows
 
 CODES = {2: 0b00, None: 0b01, 1: 0b10, 0: 0b11}
@@ -557,3 +557,27 @@ def test_other_sample_orders_stay_out_of_the_plan(spark, folder):
         plan = data.packed._jdf.queryExecution().analyzed().toString()
         sizes.append(len(re.sub(r"\bs\d+\b\s?", "", plan)))  # the names themselves, in the lines that are looked for
     assert max(sizes) < 1.2 * min(sizes)
+
+
+def test_document_is_read_in_ranges(spark, folder):
+    """A document of one file by many tasks, each sample and property once; a document that is cut off is refused."""
+    report = spark.range(500).select(
+        F.lit("888").alias("_center-code"), F.col("id").alias("_id"), F.concat(F.lit("a <b> & </c> \n é "), F.col("id")).alias("collection-method")
+    )
+    properties = {"GeneratedBy": 'x > "y" & <z>', "Empty": ""}
+    hml.write_hml_document(report, f"{folder}/parts", "p", properties, ("1", "2"), "3")
+    hml.join_document(f"{folder}/parts", f"{folder}/whole.xml")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        read = hml.read_hml_document(spark, f"{folder}/whole.xml", report.schema)
+        assert read.samples.rdd.getNumPartitions() > 4
+        assert rows(read.samples) == rows(report)
+        assert sorted((r.name, r.value or "") for r in read.properties.collect()) == sorted([*properties.items(), ("SampleCount", "500")])
+        text = open(f"{folder}/whole.xml").read()
+        with open(f"{folder}/cut.xml", "w") as f:
+            f.write(text[: text.rindex("</sample>")] + "\n</hml>\n")
+        with pytest.raises(Exception, match="a sample without its end"):
+            hml.read_hml_document(spark, f"{folder}/cut.xml", report.schema).samples.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
