@@ -581,3 +581,10 @@ def test_document_is_read_in_ranges(spark, folder):
             hml.read_hml_document(spark, f"{folder}/cut.xml", report.schema).samples.collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_typed_cases_are_spread(spark, folder):
+    """One small file of customers: the typings made from it come from several tasks."""
+    spark.range(50).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{folder}/customer.parquet")
+    cases = fx.typed_cases(spark, folder, hla.TYPED_LOCI, hla.typing_column)
+    assert cases.count() == 50 and cases.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
