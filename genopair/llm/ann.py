@@ -149,9 +149,9 @@ def nearest(vectors: DataFrame, asks: Column, k: int = NEIGHBOURS, beam: int = B
                 out[2].extend(-sc for sc, _ in found)
         return out
 
-    indexes = scratch.write(build_indexes(points, build, shards), "indexes")
+    indexes = build_indexes(points, build, shards, scratch)
     queries = rows.where(asks)
-    found = search_indexes(indexes, queries, queries.count(), shards, search, "query_id bigint, vec_id bigint, score double", size["d"] or 1)
+    found = search_indexes(indexes, queries, queries.count(), search, "query_id bigint, vec_id bigint, score double", scratch, size["d"] or 1)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

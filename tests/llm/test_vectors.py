@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from genopair.llm import ann, embedding_dedup, graph, vectors
-from genopair.llm.common import mix64
+from genopair.llm.common import Scratch, mix64
+from genopair.storage import read_pickled
 
 SF = "/root/testdata/sf0.1"
 SCHEMA = "vec_id bigint, embedding array<float>, label int, v string, shard string, rank string, score string"
@@ -97,6 +98,41 @@ def test_an_audit_sees_rare_links():
     assert sorted(zip(row.tolist(), point.tolist())) == [(0, 77), (0, 500), (1, 3)]
 
 
+def test_links_of_a_dense_group_are_found_some_at_a_time(monkeypatch):
+    """The places of all beams together, and the links held at once, stay bounded where everything is linked with everything."""
+    x = embedding_dedup._unit(np.r_[1, np.zeros(7)] + 0.01 * np.random.default_rng(6).normal(size=(900, 8)))
+    asked = []
+
+    class Seen(Narrow):
+        def search(self, queries, beam):
+            asked.append(len(queries) * beam)
+            return super().search(queries, beam)
+
+    monkeypatch.setattr(embedding_dedup, "BEAM_CELLS", 20_000)
+    of = embedding_dedup._Search((x, np.arange(900), np.ones(900, int), Seen(x), np.arange(900)), 0.95)
+    parts = list(of.parts(x, np.arange(900)))
+    assert max(asked) <= 20_000 and max(len(row) for row, _ in parts) <= 20_000
+    assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*parts)))) == [(a, b) for a in range(900) for b in range(900) if a != b]
+
+
+def test_indexes_are_files_that_tasks_map(spark):
+    """An index of any size is a path in Spark's rows, and its arrays are the file's own bytes."""
+    scratch = Scratch(spark, "mapped")
+    points = spark.createDataFrame([(k, [float(k), 1.0], k % 3) for k in range(30)], "vec_id bigint, v array<double>, shard int")
+    indexes = vectors.build_indexes(points, lambda t: (t["vec_id"].to_numpy(), vectors.matrix(t["v"]), "named"), 4, scratch)
+    assert sorted(r.shard for r in indexes.collect()) == [0, 1, 2] and dict(indexes.dtypes) == {"shard": "int", "path": "string"}
+    ids, x, name = read_pickled(indexes.first().path)
+    assert name == "named" and not x.flags.owndata and not x.flags.writeable and (x[:, 0] == ids).all()
+
+    def search(index, asked):
+        q = asked["vec_id"].to_numpy()
+        return np.repeat(q, len(index[0])), np.tile(index[0], len(q)), (vectors.matrix(asked["v"]) @ index[1].T).ravel()
+
+    # thirty blocks
+    found = vectors.search_indexes(indexes, points.select("vec_id", "v"), 30 << 20, search, "a bigint, b bigint, s double", scratch, 1)
+    assert sorted(map(tuple, found.collect())) == [(a, b, a * b + 1.0) for a in range(30) for b in range(30)]
+
+
 def exact(rows, query, k):
     good = sorted({(i, tuple(v)) for i, v in usable(rows)})
     q = dict(good)[query]
