@@ -456,6 +456,33 @@ def test_joint_counts_of_uneven_rows():
         assert (found == want).all()
 
 
+@pytest.mark.parametrize("kind", [pa.int8(), pa.int32()])
+def test_joint_counts_of_one_side_and_in_steps(monkeypatch, kind):
+    """The recipients' numbers alone are what the joint cells add up to, for any steps of pairs, slots and rows."""
+    rng = np.random.default_rng(9)
+    content, valid = rng.integers(-2, 5, 3 + 9 * 300), rng.random(3 + 9 * 300) < 0.9
+    # a slice of lists whose nulls lie on values that would count
+    lists = pa.ListArray.from_arrays(pa.array([0, 3, *range(303, 304 + 8 * 300, 300)], pa.int32()), pa.array(content, kind, mask=~valid)).slice(1)
+    d, r = (rng.integers(-1, 310, 900).astype(np.int32) for _ in range(2))
+    r[d < 0] = 5
+    table = roster._in_classes(pa.table({"d": d, "r": r, "cls": rng.choice([0, 1, 4], 900).astype(np.int32)}))
+
+    class One:
+        def tables(self):
+            yield 0, table
+
+    both = roster.joint_counts(lists, One(), 5, encode_arrays.dosage_number)
+    assert both.sum() == 9 * 900
+    for x in range(3):
+        assert (both.reshape(9, 4, 4, 5)[:, :, x].sum(axis=(1, 2)) == [sum(0 <= s < len(v) and v[s] == x for s in r.tolist()) for v in lists.to_pylist()]).all()
+    monkeypatch.setattr(roster, "PAIRS_PER_STEP", 128)
+    monkeypatch.setattr(roster, "SLOTS_PER_STEP", 64)
+    monkeypatch.setattr(roster, "PACKED_BYTES", 1)
+    assert (roster.joint_counts(lists, One(), 5, encode_arrays.dosage_number) == both).all()
+    one = roster.joint_counts(lists, One(), 5, encode_arrays.dosage_number, ("r",))
+    assert (one == both.reshape(9, 4, 4, 5).sum(axis=1)).all()
+
+
 def test_dosages_are_counted_where_they_are_made(spark, folder):
     """The grid's lists never leave the task that counts them: one step of Python, and the rows are those of the plain formula."""
     spark.range(60).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment")).write.parquet(f"{folder}/customer.parquet")
