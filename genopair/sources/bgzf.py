@@ -165,6 +165,40 @@ def lines(blocks: Blocks, start: int, end: int, skip: int | None = None, stop: i
         yield [rest]
 
 
+def pieces(blocks: Blocks, start: int, end: int, separator: bytes) -> Iterator[list[bytes]]:
+    """The text cut at ``separator``, of the blocks that begin in [start, end), block by block; what follows the last separator is a piece, if there is any.
+
+    Ranges cut anywhere give each piece once together: a range has those that begin in its blocks, and reads on
+    behind them to the end of its last one. The bytes before its blocks tell whether a separator ends at their begin.
+    """
+    first = blocks.first_from(start)
+    if first >= min(end, blocks.size):
+        return
+    held, before = b"", blocks.first_from(max(0, first - 2 * MOST_BYTES))
+    for at, text in blocks.from_(before):
+        if at >= first:
+            break
+        held = (held + text)[-len(separator) :]
+    inside = before == 0 and not held
+    for at, text in blocks.from_(first):
+        if at >= end and not (inside and held):
+            return
+        found = (held + text).split(separator)
+        held = found.pop()
+        if not inside:
+            if not found:
+                held = held[-len(separator) :]
+                continue
+            found, inside = found[1:], True
+        if at >= end and found:
+            yield found[:1]
+            return
+        if found:
+            yield found
+    if inside and held:
+        yield [held]
+
+
 # --- the index --------------------------------------------------------------------------------------
 
 

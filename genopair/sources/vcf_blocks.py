@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from genopair.session import shared_folder, ship_package
 from genopair.sources.bgzf import END_OF_FILE, MOST_IN_BLOCK, Blocks, Index, IndexBuilder, compress, is_block_gzip, lines
-from genopair.storage import file_size, files_in, filesystem_of, read_range, write_file
+from genopair.storage import file_size, files_in, filesystem_of, make_folder, read_range, remove_folder, write_file
 
 RANGE_BYTES = 16 << 20  # compressed bytes of a read task
 BATCH_BYTES = 8 << 20  # text of an Arrow batch
@@ -167,6 +167,8 @@ class BlockVcfWriter(DataSourceArrowWriter):
         self.block = int(options.get("blockBytes", MOST_IN_BLOCK))
         self.waiting = f"{self.path}/_temporary-{uuid.uuid4().hex[:12]}"
         self.overwrite = overwrite
+        # made here and by no task, so that one that is still stopping does not make it anew once it is cleared
+        make_folder(self.waiting)
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -197,7 +199,6 @@ class BlockVcfWriter(DataSourceArrowWriter):
             if file is None and values:
                 out = f"{self.waiting}/{name}"
                 filesystem, p = filesystem_of(out)
-                filesystem.create_dir(p.rsplit("/", 1)[0], recursive=True)
                 file = filesystem.open_output_stream(p, compression=None)  # the blocks are compressed already
                 text += read_range(self.header, 0, file_size(self.header))
             for contig, pos, value in zip(contigs, positions, values):
@@ -213,7 +214,8 @@ class BlockVcfWriter(DataSourceArrowWriter):
             flush(min(self.block, len(text)))
         file.write(END_OF_FILE)
         file.close()
-        write_file(out + ".tbi", index.content())
+        with filesystem.open_output_stream(p + ".tbi", compression=None) as f:
+            f.write(index.content())
         return _Part([name, name + ".tbi"])
 
     def commit(self, messages):
@@ -224,15 +226,10 @@ class BlockVcfWriter(DataSourceArrowWriter):
         for m in messages:
             for name in m.names if m else []:
                 filesystem.move(f"{filesystem_of(self.waiting)[1]}/{name}", f"{path}/{name}")
-        self._clear()
+        remove_folder(self.waiting)
 
     def abort(self, messages):
-        self._clear()
-
-    def _clear(self):
-        filesystem, waiting = filesystem_of(self.waiting)
-        if filesystem.get_file_info(waiting).type.name == "Directory":
-            filesystem.delete_dir(waiting)
+        remove_folder(self.waiting)
 
 
 def write_blocks(records: DataFrame, header: str, path: str, block_bytes: int = MOST_IN_BLOCK, mode: str = "append") -> None:

@@ -583,6 +583,57 @@ def test_document_is_read_in_ranges(spark, folder):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_a_compressed_document_is_read_in_ranges(spark, folder, monkeypatch):
+    """Its parts and the whole are block-gzip, the same text in less space, and many tasks give each sample and property once."""
+    import gzip
+    import os
+
+    report = spark.range(9000).select(
+        F.lit("888").alias("_center-code"), F.col("id").alias("_id"), F.concat(F.lit("a <b> & </c> \n é "), F.sha2(F.col("id").cast("string"), 512)).alias("collection-method")
+    )
+    properties = {"GeneratedBy": 'x > "y" & <z>', "Empty": ""}
+    for name, compressed in (("plain", False), ("packed", True)):
+        hml.write_hml_document(report, f"{folder}/{name}", "p", properties, ("1", "2"), "3", compressed=compressed)
+    assert hml.join_document(f"{folder}/packed", f"{folder}/whole.xml.gz") == os.path.getsize(f"{folder}/whole.xml.gz")
+    for parts in ("plain", "packed"):
+        hml.join_document(f"{folder}/{parts}", f"{folder}/{parts}.xml")
+    hml.join_document(f"{folder}/plain", f"{folder}/other.xml.gz")
+    text = open(f"{folder}/plain.xml", "rb").read()
+    assert [gzip.open(f"{folder}/{f}").read() for f in ("whole.xml.gz", "other.xml.gz")] == [text] * 2 and open(f"{folder}/packed.xml", "rb").read() == text
+    assert sum(os.path.getsize(f"{folder}/packed/{f}") for f in os.listdir(f"{folder}/packed")) == os.path.getsize(f"{folder}/whole.xml.gz") < 0.6 * len(text)
+    monkeypatch.setattr(hml, "RANGE_BYTES", 100_000)
+    read = hml.read_hml_document(spark, f"{folder}/whole.xml.gz", report.schema)
+    assert read.samples.rdd.getNumPartitions() > 4
+    assert rows(read.samples) == rows(report)
+    assert sorted((r.name, r.value or "") for r in read.properties.collect()) == sorted([*properties.items(), ("SampleCount", "9000")])
+    with open(f"{folder}/cut.xml.gz", "wb") as f:
+        f.writelines(hml._blocks([text[: text.rindex(b"</sample>")], b"\n</hml>\n"]))
+    with pytest.raises(Exception, match="a sample without its end"):
+        hml.read_hml_document(spark, f"{folder}/cut.xml.gz", report.schema).samples.collect()
+
+
+def test_pieces_of_ranges_cut_anywhere(folder):
+    """Separators on the borders of blocks and of ranges, empty pieces and empty blocks: each piece once."""
+    import random
+
+    draw = random.Random(3)
+    for n in range(150):
+        text = b"".join(draw.choice([b"<>", b"<>", b"<", b">", b"a" * draw.randrange(9)]) for _ in range(draw.randrange(1, 60)))
+        path, at = f"{folder}/{n}.gz", 0
+        with open(path, "wb") as f:
+            while at < len(text):
+                size = draw.randrange(0, 12)
+                f.write(bgzf.compress(text[at : at + size]))
+                at += size
+            f.write(bgzf.END_OF_FILE)
+        want = text.split(b"<>")
+        want = want if want[-1] else want[:-1]
+        size = bgzf.Blocks(path).size
+        cuts = [0, *sorted(draw.randrange(size) for _ in range(draw.randrange(6))), size]
+        got = [p for lo, hi in zip(cuts, cuts[1:]) for group in bgzf.pieces(bgzf.Blocks(path), lo, hi, b"<>") for p in group]
+        assert got == want, (n, cuts)
+
+
 def test_typed_cases_are_spread(spark, folder):
     """One small file of customers: the typings made from it come from several tasks."""
     spark.range(50).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{folder}/customer.parquet")
