@@ -23,6 +23,7 @@ SAMPLE_COUNT = "SampleCount"
 COPY_BYTES = 8 << 20
 RANGE_BYTES = 2 << 20  # of a compressed document that a task reads
 BATCH_BYTES = 4 << 20
+ROWS_AT_ONCE = 512  # samples of which a task holds copies
 
 HmlData = namedtuple("HmlData", "properties samples")
 
@@ -83,9 +84,10 @@ class HmlWriter(DataSourceArrowWriter):
         def elements():
             nonlocal samples
             for batch in iterator:
-                for element in batch.column(0).to_pylist():
-                    samples += 1
-                    yield element.encode() + b"\n"
+                for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    for element in batch.column(0).slice(at, ROWS_AT_ONCE).to_pylist():
+                        samples += 1
+                        yield element.encode() + b"\n"
 
         with filesystem.open_output_stream(p, compression=None) as f:
             for content in self._in_file(elements()):
